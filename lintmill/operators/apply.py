@@ -11,6 +11,7 @@ from lintmill.functions.text import strip, strings, swap
 from lintmill.operators.matching import code_hits
 from lintmill.operators.modify import order_chunk
 from lintmill.operators.skew import running_total, salted_join
+from lintmill.session import materialize
 
 PYTHON_TYPES = ("replace", "insert", "delete")
 CELL_TYPES = ("replace", "insert", "delete", "modify")
@@ -67,7 +68,7 @@ def apply_in_order(
     )
     results = ops.filter("_after is not null").select(*keys, "code", F.col("_after").alias("text")).distinct()
     texts = numbered.select(*keys, "text").union(results.select(*keys, "text")).distinct()
-    hits = code_hits(texts, codes, keys)
+    hits = materialize(code_hits(texts, codes, keys), "hits")
 
     # Codes that meet: on one text, or because one's result holds the other.
     crowded = hits.groupBy(*keys, "text").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")

@@ -78,16 +78,14 @@ def attach(findings: DataFrame, matched: DataFrame, places: DataFrame) -> DataFr
     return spread_join(findings, matched, ["file_path", "line_number"], "seq", counts=places)
 
 
-def spot_lines(placed: DataFrame, lines: DataFrame) -> DataFrame:
-    """Spots joined to the source line they mean (1-based); others drop out."""
-    numbered = lines.select("path", F.col("line_no").alias("line_number"), "line")
-    return placed.join(numbered, ["path", "line_number"])
+def finding_lines(findings: DataFrame, pairs: DataFrame, files: DataFrame, source: DataFrame) -> DataFrame:
+    """Findings with the source line they point at; those outside the file drop out.
 
-
-def finding_lines(findings: DataFrame, pairs: DataFrame, files: DataFrame, lines: DataFrame) -> DataFrame:
-    """Findings with ``path`` and ``line`` of the source line they point at."""
+    ``source`` comes from :func:`python_source` and/or :func:`notebook_source`.
+    """
     places = spots(findings)
-    return attach(findings, spot_lines(spot_files(places, pairs, files), lines), places)
+    meant = spot_files(places, pairs, files).join(source, ["path", "line_number"])
+    return attach(findings, meant, places)
 
 
 def cell_spans(cells: DataFrame) -> DataFrame:
@@ -140,6 +138,31 @@ def cell_lines(cells: DataFrame) -> DataFrame:
     )
 
 
+def python_source(lines: DataFrame) -> DataFrame:
+    """Lines as rewriting reads them: (path, kind, line_number, cell_index, place, line).
+
+    ``line_number`` is what findings give, ``place`` the 0-based line in the cell
+    or file.
+    """
+    return lines.select(
+        "path", F.lit("python").alias("kind"), F.col("line_no").alias("line_number"),
+        F.lit(0).alias("cell_index"), (F.col("line_no") - 1).alias("place"), "line",
+    )
+
+
+def notebook_source(cells: DataFrame) -> DataFrame:
+    """Code cell lines, numbered through the notebook."""
+    starts = running_total(
+        cells.filter("cell_type = 'code'").withColumn("_n", F.size("source")),
+        ["path"], "cell_index", "_n", "_start",
+    )
+    return starts.select("path", "cell_index", "_start", F.posexplode("source").alias("place", "line")).select(
+        "path", F.lit("notebook").alias("kind"),
+        (F.col("_start") + F.col("place") + 1).cast("int").alias("line_number"),
+        "cell_index", "place", "line",
+    )
+
+
 def _cut(texts: DataFrame, codes: DataFrame, keys: list[str]) -> DataFrame:
     """Pieces of each text that are as long as some code of the same key."""
     lengths = codes.groupBy(*keys).agg(F.collect_set(F.length("code")).alias("_lengths"))

@@ -47,78 +47,43 @@ def _assemble(df: DataFrame, seq: Column, **columns: Column) -> DataFrame:
     )
 
 
-def _from_findings(
-    located: DataFrame, cell: Column, line_number: Column, issue_type: Column,
-    rules: str, prefix: str, emit_noop: bool, extra: dict[str, Rule] | None,
+def from_findings(
+    findings: DataFrame, pairs: DataFrame, files: DataFrame, source: DataFrame, *,
+    rules: str = "compat", prefix: str = V.NAME_PREFIX, emit_noop: bool = True,
+    extra: dict[str, Rule] | None = None,
 ) -> DataFrame:
+    """Modifications of the source lines that findings point at."""
     clean = F.col("_clean")
+    new = rewrite(clean, F.col("category"), F.col("message"), rules, prefix, extra)
+    # The rewritten text is compared with the line as it stands, indentation
+    # included, so an untouched indented line counts as changed. Filtering the
+    # one-element array keeps the costly rewrite from being evaluated twice.
+    before = F.col("line") if emit_noop else clean
     changed = (
-        located.withColumn("_clean", strip(F.col("line")))
-        .withColumn("_new", rewrite(clean, F.col("category"), F.col("message"), rules, prefix, extra))
-        # The rewritten text is compared with the line as it stands, indentation
-        # included, so an untouched indented line counts as changed.
-        .filter(F.col("_new") != F.col("line"))
+        matching.finding_lines(findings, pairs, files, source)
+        .withColumn("_clean", strip(F.col("line")))
+        .withColumn("_new", F.explode(F.filter(F.array(new), lambda text: text != before)))
         .withColumn("_new", strip(F.col("_new")))
     )
-    if not emit_noop:
-        changed = changed.filter(F.col("_new") != clean)
     none = F.lit(None)
     return _assemble(
         changed, _order(0, F.col("seq"), none, none),
-        cell_index=cell, line_number=line_number, original=clean, modified=F.col("_new"),
+        cell_index=F.col("cell_index"), line_number=F.col("place"),
+        original=clean, modified=F.col("_new"),
         reason=F.concat(F.lit("Fix "), F.col("category"), F.lit(" issue: "), F.col("message")),
-        issue_type=issue_type, confidence=classify.confidence(F.col("message")),
+        issue_type=F.when(F.col("kind") == "python", F.col("category")).otherwise(F.col("issue_type")),
+        confidence=classify.confidence(F.col("message")),
     )
 
 
-def python_modifications(
-    findings: DataFrame, pairs: DataFrame, files: DataFrame, lines: DataFrame, *,
-    rules: str = "compat", prefix: str = V.NAME_PREFIX, emit_noop: bool = True,
-    extra: dict[str, Rule] | None = None,
-) -> DataFrame:
-    """Finding-driven modifications of Python files."""
-    located = matching.finding_lines(findings, pairs, files, lines)
-    return _from_findings(
-        located, F.lit(0), F.col("line_number") - 1, F.col("category"), rules, prefix, emit_noop, extra
-    )
-
-
-def notebook_modifications(
-    findings: DataFrame, pairs: DataFrame, notebooks: DataFrame, cells: DataFrame, *,
-    rules: str = "compat", prefix: str = V.NAME_PREFIX, emit_noop: bool = True,
-    extra: dict[str, Rule] | None = None,
-) -> DataFrame:
-    """Finding-driven modifications of notebook cells."""
-    places = matching.spots(findings)
-    placed = matching.spot_files(places, pairs, notebooks)
-    in_cells = matching.spot_cells(placed, matching.cell_spans(cells))
-    numbered = matching.cell_lines(cells).withColumnRenamed("line_no", "cell_line")
-    located = matching.attach(
-        findings, in_cells.join(numbered, ["path", "cell_index", "cell_line"]), places
-    )
-    return _from_findings(
-        located, F.col("cell_index"), F.col("cell_line"), F.col("issue_type"),
-        rules, prefix, emit_noop, extra,
-    )
-
-
-def _proactive(lines: DataFrame, cell: Column, line_number: Column, finding_type, kind: str) -> DataFrame:
-    clean = F.col("_clean")
-    hits = lines.withColumn("_clean", strip(F.col("line"))).filter(needs_catalog_config(clean))
+def proactive(source: DataFrame, finding_type="bigint") -> DataFrame:
+    """Modifications that need no finding."""
+    clean, scores = F.col("_clean"), V.PROACTIVE_CONFIDENCE
+    hits = source.withColumn("_clean", strip(F.col("line"))).filter(needs_catalog_config(clean))
     return _assemble(
-        hits, _order(1, F.lit(None).cast(finding_type), cell, line_number),
-        cell_index=cell, line_number=line_number, original=clean, modified=catalog_config(clean),
+        hits, _order(1, F.lit(None).cast(finding_type), F.col("cell_index"), F.col("place")),
+        cell_index=F.col("cell_index"), line_number=F.col("place"),
+        original=clean, modified=catalog_config(clean),
         reason=F.lit(V.PROACTIVE_REASON), issue_type=F.lit("proactive"),
-        confidence=F.lit(V.PROACTIVE_CONFIDENCE[kind]),
-    )
-
-
-def proactive_python(lines: DataFrame, finding_type="bigint") -> DataFrame:
-    """Modifications that need no finding; ``line_no`` counts from 1."""
-    return _proactive(lines, F.lit(0), F.col("line_no") - 1, finding_type, "python")
-
-
-def proactive_notebook(cells: DataFrame, finding_type="bigint") -> DataFrame:
-    return _proactive(
-        matching.cell_lines(cells), F.col("cell_index"), F.col("line_no"), finding_type, "notebook"
+        confidence=F.when(F.col("kind") == "python", scores["python"]).otherwise(scores["notebook"]),
     )

@@ -109,14 +109,15 @@ def _or_zero(column: Column, zero=0) -> Column:
     return F.coalesce(column, F.lit(zero))
 
 
-def statistics(files: DataFrame, analysis: DataFrame, mods: DataFrame, validations: DataFrame) -> DataFrame:
-    """One row; every table is reduced to one row before they meet."""
+def statistics(analysis: DataFrame, mods: DataFrame, validations: DataFrame) -> DataFrame:
+    """One row; every table is reduced to one row before they meet.
+
+    ``analysis`` has a row for every file, with or without findings.
+    """
     parts = {
-        "f": files.agg(F.struct(
+        "a": analysis.agg(F.struct(
             F.count(F.lit(1)).alias("files"),
             _or_zero(F.sum("code_cell_count")).cast("long").alias("code_cells"),
-        )),
-        "a": analysis.agg(F.struct(
             _or_zero(F.sum("findings")).alias("findings"),
             _or_zero(F.sum("effort_hours"), 0.0).alias("effort"),
             *[F.count_if(F.col("complexity") == c).alias(c) for c in ("low", "medium", "high")],
@@ -127,10 +128,10 @@ def statistics(files: DataFrame, analysis: DataFrame, mods: DataFrame, validatio
             F.count_if(F.coalesce("is_valid", F.lit(False))).alias("passed"),
         )),
     }
-    row = files.sparkSession.range(1).select(*[df.scalar().alias(name) for name, df in parts.items()])
-    n = F.col("f.files")
+    row = analysis.sparkSession.range(1).select(*[df.scalar().alias(name) for name, df in parts.items()])
+    n = F.col("a.files")
     return row.select(
-        n.alias("total_files"), F.col("f.code_cells").alias("total_code_cells"),
+        n.alias("total_files"), F.col("a.code_cells").alias("total_code_cells"),
         F.col("a.findings").alias("total_findings"),
         F.round(_per(F.col("a.findings"), n), 1).alias("findings_per_file"),
         F.col("a.low").alias("low_files"), F.col("a.medium").alias("medium_files"),

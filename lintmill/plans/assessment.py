@@ -1,31 +1,95 @@
-"""A whole assessment as one DataFrame graph.
+"""A whole assessment: findings and sources in, result tables out.
 
-Stages are functions from DataFrames to DataFrames; nothing runs until a table
-of the result is written or read.
+Stages are functions from DataFrames to DataFrames. Tables that several stages
+read are written once to the shared folder, when first asked for.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintmill.functions.rewrite import Rule
-from lintmill.operators import apply, findings as finding_ops, matching, modify, planning, reporting, validate
+from lintmill.operators import apply, matching, modify, planning, reporting, validate
+from lintmill.operators import findings as finding_ops
+from lintmill.session import materialize
+
+FILE_COLUMNS = ["path", "filename", "file_type", "cell_count", "code_cell_count"]
+MATCHERS = {"contains": matching.match_contains, "basename": matching.match_basename}
 
 
-@dataclass
 class Assessment:
-    files: DataFrame
-    findings: DataFrame
-    pairs: DataFrame
-    analysis: DataFrame
-    plans: DataFrame
-    modifications: DataFrame
-    checked: DataFrame
-    validations: DataFrame
-    conversions: DataFrame
+    """Tables of one run over Python files (``files``, ``lines``), notebooks
+    (``notebooks``, ``cells``) or both."""
+
+    def __init__(
+        self,
+        findings: DataFrame,
+        files: DataFrame | None = None,
+        lines: DataFrame | None = None,
+        notebooks: DataFrame | None = None,
+        cells: DataFrame | None = None,
+        *,
+        match: str = "contains",
+        parse: bool = True,
+        rules: str = "compat",
+        emit_noop: bool = True,
+        extra: dict[str, Rule] | None = None,
+    ):
+        self._parsed = findings
+        self.match, self.parse = match, parse
+        self.rewriting = {"rules": rules, "emit_noop": emit_noop, "extra": extra}
+        corpora = [df.select(*FILE_COLUMNS) for df in (files, notebooks) if df is not None]
+        self.files = reduce(DataFrame.unionByName, corpora)
+        sources = []
+        if lines is not None:
+            sources.append(matching.python_source(lines))
+        if cells is not None:
+            sources.append(matching.notebook_source(cells))
+        self.source = reduce(DataFrame.unionByName, sources)
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        return materialize(self._parsed, "findings")
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """Which lint path means which file name."""
+        return materialize(MATCHERS[self.match](self.findings, self.files), "pairs")
+
+    @cached_property
+    def analysis(self) -> DataFrame:
+        totals = finding_ops.finding_totals(self.findings)
+        per_file = matching.totals_per_file(totals, self.pairs, self.files)
+        return materialize(finding_ops.analyse_files(self.files, per_file), "analysis")
+
+    @property
+    def plans(self) -> DataFrame:
+        return planning.plan(self.analysis)
+
+    @cached_property
+    def modifications(self) -> DataFrame:
+        driven = modify.from_findings(self.findings, self.pairs, self.files, self.source, **self.rewriting)
+        kind = self.findings.schema["seq"].dataType
+        return materialize(driven.unionByName(modify.proactive(self.source, kind)), "modifications")
+
+    @property
+    def checked(self) -> DataFrame:
+        return validate.check(self.modifications, parse=self.parse)
+
+    @property
+    def issues(self) -> DataFrame:
+        return validate.issues(self.checked)
+
+    @cached_property
+    def validations(self) -> DataFrame:
+        return validate.validations(self.files, self.checked)
+
+    @property
+    def conversions(self) -> DataFrame:
+        return apply.conversions(self.files, self.modifications)
 
     @property
     def file_report(self) -> DataFrame:
@@ -35,7 +99,7 @@ class Assessment:
 
     @property
     def statistics(self) -> DataFrame:
-        return reporting.statistics(self.files, self.analysis, self.modifications, self.validations)
+        return reporting.statistics(self.analysis, self.modifications, self.validations)
 
     @property
     def risk(self) -> DataFrame:
@@ -63,7 +127,7 @@ class Assessment:
             "migration_plans": self.plans,
             "code_modifications": self.modifications,
             "validation_results": self.validations,
-            "validation_issues": validate.issues(self.checked),
+            "validation_issues": self.issues,
             "converted_files": self.conversions,
             "file_reports": self.file_report,
             "final_report": self.final_report,
@@ -71,55 +135,8 @@ class Assessment:
         }
 
 
-def assess(
-    findings: DataFrame,
-    files: DataFrame | None = None,
-    lines: DataFrame | None = None,
-    notebooks: DataFrame | None = None,
-    cells: DataFrame | None = None,
-    *,
-    match: str = "contains",
-    rules: str = "compat",
-    emit_noop: bool = True,
-    extra: dict[str, Rule] | None = None,
-    parse: bool = True,
-) -> Assessment:
-    """Assess Python files (``files``, ``lines``), notebooks (``notebooks``,
-    ``cells``) or both against one set of findings."""
-    seq_type = findings.schema["seq"].dataType
-    matcher = {"contains": matching.match_contains, "basename": matching.match_basename}[match]
-    corpora = [df for df in (files, notebooks) if df is not None]
-    columns = ["path", "filename", "file_type", "cell_count", "code_cell_count"]
-    every = corpora[0].select(*columns)
-    for other in corpora[1:]:
-        every = every.unionByName(other.select(*columns))
-
-    pairs = matcher(findings, every)
-    options = {"rules": rules, "emit_noop": emit_noop, "extra": extra}
-    parts = []
-    if files is not None:
-        parts += [
-            modify.python_modifications(findings, pairs, files, lines, **options),
-            modify.proactive_python(lines, seq_type),
-        ]
-    if notebooks is not None:
-        parts += [
-            modify.notebook_modifications(findings, pairs, notebooks, cells, **options),
-            modify.proactive_notebook(cells, seq_type),
-        ]
-    mods = parts[0]
-    for part in parts[1:]:
-        mods = mods.unionByName(part)
-
-    totals = finding_ops.finding_totals(findings)
-    analysis = finding_ops.analyse_files(every, matching.totals_per_file(totals, pairs, every))
-    checked = validate.check(mods, parse=parse)
-    return Assessment(
-        files=every, findings=findings, pairs=pairs, analysis=analysis,
-        plans=planning.plan(analysis), modifications=mods, checked=checked,
-        validations=validate.validations(every, checked),
-        conversions=apply.conversions(every, mods),
-    )
+def assess(findings: DataFrame, *corpus: DataFrame, **options) -> Assessment:
+    return Assessment(findings, *corpus, **options)
 
 
 def python_files(lines: DataFrame) -> DataFrame:

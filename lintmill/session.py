@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", name: str = "lintmill", **conf) -> SparkSession:
@@ -15,6 +16,7 @@ def local_session(cores: str = "8", name: str = "lintmill", **conf) -> SparkSess
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -22,8 +24,26 @@ def local_session(cores: str = "8", name: str = "lintmill", **conf) -> SparkSess
 
 
 def scratch_path(spark: SparkSession, kind: str) -> str:
-    """A new folder name under the shared folder named by spark.checkpoint.dir."""
+    """A new folder name under the shared folder named by spark.checkpoint.dir.
+
+    A local session that names none gets a temporary folder; a cluster must
+    name one, as executors have to reach it.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("spark.checkpoint.dir must name a shared folder")
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
+        root = tempfile.mkdtemp(prefix="lintmill-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, kind: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    For tables that several later steps read: each is computed once, and a lost
+    executor costs no more than its own tasks.
+    """
+    path = scratch_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
