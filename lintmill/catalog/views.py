@@ -109,12 +109,17 @@ def _view(spark: SparkSession, sf: str, text: str, name: str) -> DataFrame:
     return spark.sql(text, **{name: table(spark, sf, name)})
 
 
+def _as_read(log: DataFrame) -> DataFrame:
+    """The raw line as a stored value; else its making would be repeated in filters."""
+    return log.select("seq", F.explode(F.array("raw")).alias("raw"))
+
+
 def lint(spark, sf):
-    return _view(spark, sf, LINT, "events")
+    return _as_read(_view(spark, sf, LINT, "events"))
 
 
 def notebook_lint(spark, sf):
-    return _view(spark, sf, NOTEBOOK_LINT, "events")
+    return _as_read(_view(spark, sf, NOTEBOOK_LINT, "events"))
 
 
 def code(spark, sf):

@@ -9,8 +9,8 @@ from lintmill import fixed_values as V
 
 
 def strip(text: Column) -> Column:
-    """Drop leading and trailing Unicode whitespace (``trim`` only drops spaces)."""
-    return F.regexp_replace(text, rf"^{V.S}+|{V.S}+\z", "")
+    """Drop leading and trailing Unicode whitespace (plain ``trim`` only drops spaces)."""
+    return F.btrim(text, F.lit(V.SPACES))
 
 
 def strip_chars(text: Column, chars: str) -> Column:

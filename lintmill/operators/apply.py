@@ -10,7 +10,7 @@ from lintmill import fixed_values as V
 from lintmill.functions.text import strip, strings, swap
 from lintmill.operators.matching import code_hits
 from lintmill.operators.modify import order_chunk
-from lintmill.operators.skew import running_total, salted_join
+from lintmill.operators.skew import running_total, salted_join, spread_join
 from lintmill.session import materialize
 
 PYTHON_TYPES = ("replace", "insert", "delete")
@@ -67,7 +67,8 @@ def apply_in_order(
         F.max(F.col("change_type") == "insert").alias("_inserts")
     )
     results = ops.filter("_after is not null").select(*keys, "code", F.col("_after").alias("text")).distinct()
-    texts = numbered.select(*keys, "text").union(results.select(*keys, "text")).distinct()
+    sizes = numbered.groupBy(*keys, "text").agg(F.count(F.lit(1)).alias("n"))
+    texts = sizes.select(*keys, "text").union(results.select(*keys, "text")).distinct()
     hits = materialize(code_hits(texts, codes, keys), "hits")
 
     # Codes that meet: on one text, or because one's result holds the other.
@@ -83,7 +84,9 @@ def apply_in_order(
         .union(codes.filter(F.col("_inserts") | (F.col("code") == "")).select(*keys, "code"))
         .distinct().withColumn("_tangled", F.lit(True))
     )
-    touched = salted_join(numbered.select(*keys, "line_no", "text"), hits, [*keys, "text"], "line_no")
+    touched = spread_join(
+        numbered.select(*keys, "line_no", "text"), hits, [*keys, "text"], "line_no", sizes
+    )
     holds = hits.select(*keys, "code", F.col("text").alias("_after")).withColumn("_stays", F.lit(True))
 
     def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:

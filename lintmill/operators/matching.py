@@ -14,38 +14,72 @@ from lintmill.functions.text import base_name, strip
 from lintmill.operators.skew import running_total, salted_join, spread_join
 
 
-def pieces(df: DataFrame, text: str, lengths: Column, name: str) -> DataFrame:
-    """One row per distinct substring of ``text`` that has one of the lengths."""
-    whole, n = F.col(text), F.col("_n")
-    starts = F.sequence(F.lit(1), F.length(whole) - n + 1)
-    found = F.when(n == 0, F.array(F.lit(""))).otherwise(
-        F.transform(starts, lambda i: F.substring(whole, i, n))
+_TAIL, _SLOTS, _SHORT = 3, 1024, -1
+
+
+def length_index(codes: DataFrame, code: str, keys: list[str]) -> DataFrame:
+    """Per key, the lengths codes have by a hash of their last characters.
+
+    A map of at most 1025 entries, each with the lengths that occur, so its size
+    does not grow with the number of codes.
+    """
+    tail = F.when(
+        F.length(code) >= _TAIL, F.pmod(F.xxhash64(F.right(code, F.lit(_TAIL))), F.lit(_SLOTS))
+    ).otherwise(_SHORT).cast("int")
+    per_tail = codes.groupBy(*keys, tail.alias("_tail")).agg(F.collect_set(F.length(code)).alias("_lengths"))
+    return per_tail.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("_tail", "_lengths"))).alias("_index")
     )
+
+
+def pieces(df: DataFrame, text: str, index: Column, name: str) -> DataFrame:
+    """One row per substring of ``text`` that may equal an indexed code.
+
+    Only substrings that end like a code and have the length of such a code are
+    cut out. A substring that occurs twice may come twice.
+    """
+    end, n = F.col("_end"), F.col("_n")
+    last = F.substring(F.col(text), end - _TAIL + 1, F.lit(_TAIL))
+    tail = F.when(end >= _TAIL, F.pmod(F.xxhash64(last), F.lit(_SLOTS)).cast("int")).otherwise(-2)
+    none = F.expr("cast(array() as array<int>)")
+    lengths = F.concat(F.coalesce(index[tail], none), F.coalesce(index[F.lit(_SHORT)], none))
     return (
-        df.withColumn("_n", F.explode(lengths)).filter(n <= F.length(whole))
-        .withColumn(name, F.explode(F.array_distinct(found))).drop("_n")
+        df.withColumn("_end", F.explode(F.sequence(F.lit(0), F.length(text))))
+        .withColumn("_n", F.explode(lengths))
+        .filter((n <= end) & ((n > 0) | (end == 0)))
+        .withColumn(name, F.substring(F.col(text), end - n + 1, n))
+        .drop("_end", "_n")
     )
 
 
 def match_contains(paths: DataFrame, names: DataFrame) -> DataFrame:
     """Pairs (file_path, filename) where the lint path contains the file name.
 
-    Both sides are made distinct first. Each path is cut into its substrings of
-    the lengths that file names have (a set no larger than the longest name), so
-    the containment test becomes an equi join: no pair is looked at in vain.
+    Both sides are made distinct first. Paths are cut into the substrings that
+    may be file names, so the containment test becomes an equi join: no path is
+    compared with a name it does not hold.
     """
     lint = paths.select("file_path").distinct()
     known = names.select("filename").distinct()
-    lengths = known.agg(F.collect_set(F.length("filename"))).scalar()
-    cut = pieces(lint, "file_path", lengths, "filename")
-    return salted_join(cut, known, ["filename"], "file_path").select("file_path", "filename")
+    index = length_index(known, "filename", []).scalar()
+    cut = pieces(lint.withColumn("_index", index), "file_path", F.col("_index"), "filename").drop("_index")
+    return _pairs(cut, known).distinct()
 
 
 def match_basename(paths: DataFrame, names: DataFrame) -> DataFrame:
     """Exact match on the last path segment."""
     lint = paths.select("file_path").distinct().withColumn("filename", base_name(F.col("file_path")))
-    known = names.select("filename").distinct()
-    return salted_join(lint, known, ["filename"], "file_path").select("file_path", "filename")
+    return _pairs(lint, names.select("filename").distinct())
+
+
+def _pairs(named: DataFrame, known: DataFrame) -> DataFrame:
+    counts = _count(named, ["filename"])
+    joined = spread_join(named, known, ["filename"], "file_path", counts)
+    return joined.select("file_path", "filename")
+
+
+def _count(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
 def totals_per_file(totals: DataFrame, pairs: DataFrame, files: DataFrame) -> DataFrame:
@@ -59,18 +93,21 @@ def totals_per_file(totals: DataFrame, pairs: DataFrame, files: DataFrame) -> Da
     per_name = totals.join(pairs, "file_path").groupBy("filename").agg(
         *[F.sum(c).alias(c) for c in numbers], *[F.max(c).alias(c) for c in flags]
     )
-    return salted_join(files.select("path", "filename"), per_name, ["filename"], "path").drop("filename")
+    named = files.select("path", "filename")
+    return spread_join(named, per_name, ["filename"], "path", _count(named, ["filename"])).drop("filename")
 
 
 def spots(findings: DataFrame) -> DataFrame:
     """Distinct places findings point at, with the number of findings ``n``."""
-    return findings.groupBy("file_path", "line_number").agg(F.count(F.lit(1)).alias("n"))
+    return _count(findings, ["file_path", "line_number"])
 
 
 def spot_files(places: DataFrame, pairs: DataFrame, files: DataFrame) -> DataFrame:
     """Spots with the ``path`` of every file they belong to."""
-    named = salted_join(places.drop("n"), pairs, ["file_path"], "line_number")
-    return salted_join(named, files.select("path", "filename"), ["filename"], "line_number").drop("filename")
+    spot = places.drop("n")
+    meant = spread_join(spot, pairs, ["file_path"], "line_number", _count(spot, ["file_path"]))
+    named = files.select("path", "filename")
+    return spread_join(named, meant, ["filename"], "path", _count(named, ["filename"])).drop("filename")
 
 
 def attach(findings: DataFrame, matched: DataFrame, places: DataFrame) -> DataFrame:
@@ -164,11 +201,11 @@ def notebook_source(cells: DataFrame) -> DataFrame:
 
 
 def _cut(texts: DataFrame, codes: DataFrame, keys: list[str]) -> DataFrame:
-    """Pieces of each text that are as long as some code of the same key."""
-    lengths = codes.groupBy(*keys).agg(F.collect_set(F.length("code")).alias("_lengths"))
+    """Pieces of each text that may be a code of the same key."""
+    index = length_index(codes, "code", keys)
     return pieces(
-        salted_join(texts, lengths, keys, "text"), "text", F.col("_lengths"), "code"
-    ).drop("_lengths")
+        salted_join(texts, index, keys, "text"), "text", F.col("_index"), "code"
+    ).drop("_index")
 
 
 def code_hits(texts: DataFrame, codes: DataFrame, keys: list[str]) -> DataFrame:
@@ -177,7 +214,7 @@ def code_hits(texts: DataFrame, codes: DataFrame, keys: list[str]) -> DataFrame:
     ``texts`` holds distinct (keys, text), ``codes`` distinct (keys, code).
     """
     cut = _cut(texts.select(*keys, "text"), codes, keys)
-    return salted_join(cut, codes.select(*keys, "code"), [*keys, "code"], "text")
+    return salted_join(cut, codes.select(*keys, "code"), [*keys, "code"], "text").distinct()
 
 
 def first_matching_line(lines: DataFrame, mods: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -192,9 +229,9 @@ def first_matching_line(lines: DataFrame, mods: DataFrame, keys: list[str] | Non
         .agg(F.min("line_no").alias("line_no"))
     )
     wanted = mods.withColumn("code", strip(F.col("original_code")))
-    codes = wanted.select(*keys, "code").distinct()
+    codes = _count(wanted, [*keys, "code"])
     first = (
         _cut(texts, codes, keys).groupBy(*keys, "code").agg(F.min("line_no").alias("first_line"))
-        .join(codes, [*keys, "code"])
+        .join(codes.drop("n"), [*keys, "code"])
     )
-    return salted_join(wanted, first, [*keys, "code"], "seq").drop("code")
+    return spread_join(wanted, first, [*keys, "code"], "seq", codes).drop("code")
