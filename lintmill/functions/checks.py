@@ -7,6 +7,7 @@ import warnings
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lintmill import fixed_values as V
 from lintmill.functions.text import count_of, has, has_any_case, present, strings
@@ -19,7 +20,7 @@ def bracket_issues(code: Column) -> Column:
     ])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def parse_error(code: pd.Series) -> pd.Series:
     """Message of the first parse error, NULL where the code compiles."""
     seen: dict[str, str | None] = {}

@@ -85,7 +85,7 @@ class Assessment:
 
     @cached_property
     def validations(self) -> DataFrame:
-        return validate.validations(self.files, self.checked)
+        return materialize(validate.validations(self.files, self.checked), "validations")
 
     @property
     def conversions(self) -> DataFrame:
@@ -97,17 +97,19 @@ class Assessment:
             self.files, self.analysis, self.plans, self.modifications, self.validations
         )
 
-    @property
+    @cached_property
     def statistics(self) -> DataFrame:
-        return reporting.statistics(self.analysis, self.modifications, self.validations)
+        return materialize(
+            reporting.statistics(self.analysis, self.modifications, self.validations), "statistics"
+        )
 
-    @property
+    @cached_property
     def risk(self) -> DataFrame:
-        return reporting.risk(self.plans, self.validations)
+        return materialize(reporting.risk(self.plans, self.validations), "risk")
 
-    @property
+    @cached_property
     def timeline(self) -> DataFrame:
-        return reporting.timeline(self.plans)
+        return materialize(reporting.timeline(self.plans), "timeline")
 
     @property
     def final_report(self) -> DataFrame:
