@@ -77,6 +77,11 @@ def _prefix_quoted(line: Column, call: str, prefix: str) -> Column:
     return F.aggregate(F.regexp_extract_all(line, F.lit(call), 1), line, both)
 
 
+def spark_rule_safe(line: Column, message: Column, prefix: str = V.NAME_PREFIX) -> Column:
+    """Qualifies every plain name in read and save calls, in either quote style."""
+    return _prefix_quoted(_prefix_quoted(line, V.READ_CALL, prefix), V.SAVE_CALL, prefix)
+
+
 def _general(line: Column, message: Column, prefix: str, from_name: str, join_name: str) -> Column:
     calls = [
         (from_name, "FROM ", ""),
@@ -117,7 +122,7 @@ COMPAT_RULES: dict[str, Rule] = {
     "imports": imports_rule,
     "databricks": platform_rule,
 }
-SAFE_RULES: dict[str, Rule] = {**COMPAT_RULES, "sql": sql_rule_safe}
+SAFE_RULES: dict[str, Rule] = {**COMPAT_RULES, "spark": spark_rule_safe, "sql": sql_rule_safe}
 
 
 def rewrite(

@@ -61,17 +61,15 @@ def notebook_json(cells: DataFrame, metadata: DataFrame) -> DataFrame:
 
     A notebook is one JSON value, so this gathers the cells of each notebook.
     """
-    cell = F.struct(
-        "cell_index",
-        F.struct(
-            "cell_type", F.expr("cast(map() as map<string,string>)").alias("metadata"), "source"
-        ).alias("cell"),
-    )
+    fields = F.to_json(F.struct("cell_type", "source"))
+    cell = F.concat(F.lit('{"metadata": {}, '), fields.substr(F.lit(2), F.length(fields)))
     texts = cells.groupBy("path").agg(
-        F.to_json(F.struct(
-            F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["cell"]).alias("cells")
-        )).alias("_cells")
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("cell_index", cell.alias("cell")))), lambda c: c["cell"]),
+            ", ",
+        ).alias("_cells")
     )
+
     def entry(e: Column) -> Column:
         key = F.to_json(F.struct(e["key"].alias("k")))  # {"k":"..."}
         return F.concat(key.substr(F.lit(6), F.length(key) - 6), F.lit(": "), e["value"])
@@ -80,6 +78,6 @@ def notebook_json(cells: DataFrame, metadata: DataFrame) -> DataFrame:
     return texts.join(metadata, "path").select(
         "path",
         F.concat(
-            F.expr("substring(_cells, 1, length(_cells) - 1)"), F.lit(', "metadata": {'), entries, F.lit("}}")
+            F.lit('{"cells": ['), "_cells", F.lit('], "metadata": {'), entries, F.lit("}}")
         ).alias("content"),
     )

@@ -9,25 +9,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lintmill.operators.findings import parse_findings, severity_counts
-from lintmill.sources.readers import log_position
 
 
 def lint_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Findings from log files that appear in a folder."""
-    raw = spark.readStream.format("text").load(folder)
-    return parse_findings(raw.select(log_position().alias("seq"), F.col("value").alias("raw")))
+    """Lines ``(seq, raw)`` of log files that appear in a folder.
 
+    A stream cannot number rows, so ``seq.row`` is filled in per batch.
+    """
+    place = F.struct(
+        F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"),
+        F.lit(None).cast("bigint").alias("row"),
+    )
+    return spark.readStream.format("text").load(folder).select(place.alias("seq"), F.col("value").alias("raw"))
+
+
+def write_findings(raw: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Parse log lines batch by batch until all present input is read.
+
+    Each batch writes its own folder below ``out``; a retried batch overwrites it.
+    """
+    numbered = raw.schema["seq"].dataType.typeName() == "struct"
+
+    def save(lines: DataFrame, batch: int) -> None:
+        if numbered:
+            lines = lines.withColumn("seq", F.col("seq").withField("row", F.monotonically_increasing_id()))
+        parse_findings(lines).write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-def write_findings(findings: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Append findings to a Parquet table until all present input is read."""
     return (
-        findings.writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", checkpoint).outputMode("append")
+        raw.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
 
-def write_severity_counts(findings: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def write_severity_counts(raw: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Keep running counts per file and severity in a table.
 
     Each batch writes the counts that changed under its own batch folder; a
@@ -38,7 +52,7 @@ def write_severity_counts(findings: DataFrame, out: str, checkpoint: str) -> Str
         changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     return (
-        severity_counts(findings).writeStream.foreachBatch(save)
+        severity_counts(parse_findings(raw)).writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint).outputMode("update")
         .trigger(availableNow=True).start()
     )
