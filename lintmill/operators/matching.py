@@ -82,6 +82,12 @@ def _count(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+def matched_files(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """The files (path, filename) that some lint path means."""
+    names = pairs.select("filename").distinct()
+    return salted_join(files.select("path", "filename"), names, ["filename"], "path")
+
+
 def totals_per_file(totals: DataFrame, pairs: DataFrame, files: DataFrame) -> DataFrame:
     """Totals per lint path to totals per file ``path``.
 

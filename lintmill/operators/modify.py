@@ -79,7 +79,7 @@ def from_findings(
 def proactive(source: DataFrame, finding_type="bigint") -> DataFrame:
     """Modifications that need no finding."""
     clean, scores = F.col("_clean"), V.PROACTIVE_CONFIDENCE
-    hits = source.withColumn("_clean", strip(F.col("line"))).filter(needs_catalog_config(clean))
+    hits = source.filter(needs_catalog_config(F.col("line"))).withColumn("_clean", strip(F.col("line")))
     return _assemble(
         hits, _order(1, F.lit(None).cast(finding_type), F.col("cell_index"), F.col("place")),
         cell_index=F.col("cell_index"), line_number=F.col("place"),

@@ -42,7 +42,7 @@ class Assessment:
         self.match, self.parse = match, parse
         self.rewriting = {"rules": rules, "emit_noop": emit_noop, "extra": extra}
         corpora = [df.select(*FILE_COLUMNS) for df in (files, notebooks) if df is not None]
-        self.files = reduce(DataFrame.unionByName, corpora)
+        self._corpus = reduce(DataFrame.unionByName, corpora)
         sources = []
         if lines is not None:
             sources.append(matching.python_source(lines))
@@ -54,6 +54,16 @@ class Assessment:
     def findings(self) -> DataFrame:
         return materialize(self._parsed, "findings")
 
+    @cached_property
+    def files(self) -> DataFrame:
+        """Names and cell counts of all files, without their contents."""
+        return materialize(self._corpus, "files")
+
+    @cached_property
+    def targets(self) -> DataFrame:
+        """The files that findings mean."""
+        return materialize(matching.matched_files(self.pairs, self.files), "targets")
+
     @cached_property
     def pairs(self) -> DataFrame:
         """Which lint path means which file name."""
@@ -62,7 +72,7 @@ class Assessment:
     @cached_property
     def analysis(self) -> DataFrame:
         totals = finding_ops.finding_totals(self.findings)
-        per_file = matching.totals_per_file(totals, self.pairs, self.files)
+        per_file = matching.totals_per_file(totals, self.pairs, self.targets)
         return materialize(finding_ops.analyse_files(self.files, per_file), "analysis")
 
     @property
@@ -71,7 +81,7 @@ class Assessment:
 
     @cached_property
     def modifications(self) -> DataFrame:
-        driven = modify.from_findings(self.findings, self.pairs, self.files, self.source, **self.rewriting)
+        driven = modify.from_findings(self.findings, self.pairs, self.targets, self.source, **self.rewriting)
         kind = self.findings.schema["seq"].dataType
         return materialize(driven.unionByName(modify.proactive(self.source, kind)), "modifications")
 
