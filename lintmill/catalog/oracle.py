@@ -166,6 +166,11 @@ COUNTED = ["findings", "errors", "warnings", "infos", *[f"cat_{c}" for c in V.CA
 _zeroed = ", ".join(f"coalesce(t.{c}, 0) AS {c}" for c in COUNTED)
 _summed = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in COUNTED)
 
+# One alternative per quote style; a literal ends at the first quote of its style.
+_QUOTES = ('"""', "''''''", '"', "''")
+_EXEC = (r"(?i)execute\s*\(\s*[frub]*\s*(?:" + "|".join(rf"{x}([\s\S]*?){x}" for x in _QUOTES) + ")")
+_WRITE = r'(?i)\b(INSERT\s+INTO|UPDATE|DELETE\s+FROM)\s+([`\[\]"\w.]+)'
+
 _cell_key = "(conv_id + 3 * turn + i) % 6"
 _advice = "', '".join
 
@@ -309,11 +314,10 @@ finalrow AS (SELECT stats.*, riskrow.*, timerow.*, (SELECT count(*) FROM fileana
   FROM stats, riskrow, timerow),
 done AS (SELECT DISTINCT p.filename AS path FROM issues i JOIN pairs p ON i.file_path = p.file_path
   WHERE i.seq <= (SELECT max(seq) / 2 FROM issues) AND p.filename LIKE '%.py'),
-statements AS (SELECT seq, file, concat(regexp_extract(code, p, 1), regexp_extract(code, p, 2), regexp_extract(code, p, 3),
-    regexp_extract(code, p, 4)) AS statement
-  FROM stmt, (SELECT '(?i)execute\\s*\\(\\s*[frub]*\\s*(?:\"\"\"([\\s\\S]*?)\"\"\"|''''''([\\s\\S]*?)''''''|\"([\\s\\S]*?)\"|''([\\s\\S]*?)'')' AS p) x),
-writes AS (SELECT file, statement, unnest(regexp_extract_all(statement, w, 1)) AS op, unnest(regexp_extract_all(statement, w, 2)) AS target
-  FROM statements, (SELECT '(?i)\\b(INSERT\\s+INTO|UPDATE|DELETE\\s+FROM)\\s+([`\\[\\]\"\\w.]+)' AS w) x),
+statements AS (SELECT seq, file, concat({", ".join(f"regexp_extract(code, '{_EXEC}', {g})" for g in (1, 2, 3, 4))}) AS statement
+  FROM stmt),
+writes AS (SELECT file, statement, unnest(regexp_extract_all(statement, '{_WRITE}', 1)) AS op,
+    unnest(regexp_extract_all(statement, '{_WRITE}', 2)) AS target FROM statements),
 lineage AS (SELECT file, upper(op) AS operation, trim(target, '`"[]') AS "table",
     replace(substring(statement, 1, 120), chr(10), ' ') AS preview FROM writes),
 history AS (SELECT file_path, CAST(floor(seq / 20) AS BIGINT) AS run, count(*) AS findings,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -131,42 +133,61 @@ def _free_changes(touched: DataFrame, ops: DataFrame, holds: DataFrame, keys: li
 
 
 def _played(lines: DataFrame, ops: DataFrame, keys: list[str]) -> DataFrame:
-    """Play changes through in sequence over the lines they may touch."""
-    n_keys = len(keys)
-
-    def play(key, line_rows: pd.DataFrame, op_rows: pd.DataFrame) -> pd.DataFrame:
-        # The frames may differ in columns only when a side is empty.
-        state = [
-            [int(no), 0, text]
-            for no, text in line_rows.sort_values("line_no")[["line_no", "line"]].itertuples(index=False)
-        ]
-        for kind, code, new in op_rows.sort_values("_rank")[
-            ["change_type", "code", "modified_code"]
-        ].itertuples(index=False):
-            at = next((i for i, row in enumerate(state) if code in row[2]), None)
-            if at is None:
-                continue
-            if kind == "delete":
-                del state[at]
-            elif kind == "insert":
-                state.insert(at, [state[at][0], None, new])
-            else:
-                state[at][2] = new
-        part: dict[int, int] = {}
-        rows = []
-        for no, _, text in state:
-            part[no] = part.get(no, -1) + 1
-            rows.append((*key[:n_keys], no, part[no], text))
-        return pd.DataFrame(rows, columns=[*keys, "line_no", "part", "line"])
+    """Play changes through in sequence over the lines they may touch.
 
+    Rows of a key come in order, lines first, then changes, and are taken one by
+    one: only the lines a key's changes may touch are held, never the changes.
+    """
+    n_keys = len(keys)
+    names = [*keys, "line_no", "part", "line"]
+
+    def play(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, []
+
+        def finished() -> pd.DataFrame:
+            part: dict[int, int] = {}
+            rows = []
+            for no, text in state:
+                part[no] = part.get(no, -1) + 1
+                rows.append((*key, no, part[no], text))
+            return pd.DataFrame(rows, columns=names)
+
+        for batch in batches:
+            for row in batch.itertuples(index=False, name=None):
+                if row[:n_keys] != key:
+                    if state:
+                        yield finished()
+                    key, state = row[:n_keys], []
+                kind, number, text, code = row[n_keys:]
+                if kind == "line":
+                    state.append((int(number), text))
+                    continue
+                at = next((i for i, (_, held) in enumerate(state) if code in held), None)
+                if at is None:
+                    continue
+                if kind == "delete":
+                    del state[at]
+                elif kind == "insert":
+                    state.insert(at, (state[at][0], text))
+                else:
+                    state[at] = (state[at][0], text)
+        if state:
+            yield finished()
+
+    none = F.lit(None)
+    empty_seq = none.cast(ops.schema["seq"].dataType)
+    stream = lines.select(
+        *keys, F.lit("line").alias("kind"), F.col("line_no").alias("number"), F.col("line").alias("text"),
+        F.lit("").alias("code"), F.lit(0).alias("_turn"), empty_seq.alias("_seq"),
+    ).unionByName(ops.select(
+        *keys, F.col("change_type").alias("kind"), none.cast("int").alias("number"),
+        F.col("modified_code").alias("text"), "code", F.lit(1).alias("_turn"), F.col("seq").alias("_seq"),
+    ))
     types = dict(lines.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", line_no int, part int, line string"
-    ranked = running_total(
-        ops.withColumn("_one", F.lit(1)), keys, "seq", "_one", "_rank", chunk=F.col("_chunk_key")
-    ).select(*keys, "_rank", "change_type", "code", "modified_code")
     return (
-        lines.select(*keys, "line_no", "line").groupBy(*keys)
-        .cogroup(ranked.groupBy(*keys)).applyInPandas(play, schema)
+        stream.repartition(*keys).sortWithinPartitions(*keys, "_turn", "number", "_seq")
+        .select(*keys, "kind", "number", "text", "code").mapInPandas(play, schema)
     )
 
 

@@ -45,7 +45,12 @@ def choose(lineage: DataFrame, file: str | None = None, table: str | None = None
 
 
 def listing(lineage: DataFrame) -> DataFrame:
-    return lineage.select("file", "operation", "table", "preview").orderBy("file", "table", "operation")
+    """Sorted by file, table and operation; equal rows may span several tasks."""
+    return (
+        lineage.select("file", "operation", "table", "preview")
+        .withColumn("_tie", F.monotonically_increasing_id())
+        .orderBy("file", "table", "operation", "_tie").drop("_tie")
+    )
 
 
 def options(lineage: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -23,6 +24,11 @@ def local_session(cores: str = "8", name: str = "lintmill", **conf) -> SparkSess
     return builder.getOrCreate()
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="lintmill-")
+
+
 def scratch_path(spark: SparkSession, kind: str) -> str:
     """A new folder name under the shared folder named by spark.checkpoint.dir.
 
@@ -33,8 +39,7 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     if not root:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder all executors share")
-        root = tempfile.mkdtemp(prefix="lintmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 

@@ -153,6 +153,19 @@ def file_lines(files: DataFrame) -> DataFrame:
     )
 
 
+def entries(spark: SparkSession, path: str, n: int = 50) -> DataFrame:
+    """The first ``n`` files of a folder by name, for display."""
+    listed = _load(spark, path, "binaryFile")
+    if listed is None:
+        return spark.createDataFrame([], "path string, length long")
+    return listed.select(_plain_path(F.col("path")).alias("path"), "length").orderBy("path").limit(n)
+
+
+def preview(files: DataFrame, n: int = 20) -> DataFrame:
+    """The first ``n`` lines of each file, for display."""
+    return files.select("path", F.array_join(F.slice("lines", 1, n), "\n").alias("preview"))
+
+
 def with_cell_counts(files: DataFrame) -> DataFrame:
     """Python files carry no cells; their counts are 0."""
     return files.withColumns({"cell_count": F.lit(0), "code_cell_count": F.lit(0)})

@@ -6,7 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from lintmill.functions.text import clean_utf8, strip
-from lintmill.operators import apply, lineage
+from lintmill.operators import apply, lineage, reporting
 from lintmill.operators import findings as found
 from lintmill.plans.assessment import assess
 from lintmill.sources import readers, writers
@@ -28,6 +28,17 @@ def test_python_files(spark, tmp_path):
     assert rows(tree, "filename", "content")[1:] == [("bad.py", "x = ''\n"), ("c.py", "y = '�'")]
 
 
+def test_display_caps(spark, tmp_path):
+    for n in range(5):
+        (tmp_path / f"{n}.py").write_text("\n".join(f"line {i}" for i in range(30)))
+    assert [r.path[-4:] for r in readers.entries(spark, str(tmp_path), 3).collect()] == ["0.py", "1.py", "2.py"]
+    assert readers.entries(spark, str(tmp_path / "gone")).count() == 0
+    shown = readers.preview(readers.scan_python(spark, str(tmp_path))).first().preview
+    assert shown.split("\n") == [f"line {i}" for i in range(20)]
+    errors = spark.createDataFrame([(s, f"e{s}") for s in range(9)], "seq int, message string")
+    assert [r.message for r in reporting.first_errors(errors).collect()] == ["e0", "e1", "e2"]
+
+
 def test_text_helpers(spark):
     df = spark.createDataFrame([("　\x1f a b \x85\n",)], "t string")
     assert df.select(strip(F.col("t"))).first()[0] == "a b"
