@@ -278,8 +278,8 @@ filereport AS (SELECT a.path, f.filename, a.cell_count, a.code_cell_count, {", "
     4 AS preparation_steps, 4 AS code_changes, 4 AS testing_steps, 4 AS deployment_steps, a.n_risks AS risks_identified,
     m.total_modifications, m.average_confidence, m.high_confidence_changes, m.low_confidence_changes,
     m.total_modifications AS replace_changes,
-    CASE WHEN m.file_path IS NOT NULL THEN 0 END AS insert_changes, CASE WHEN m.file_path IS NOT NULL THEN 0 END AS delete_changes,
-    CASE WHEN m.file_path IS NOT NULL THEN 0 END AS modify_changes,
+    CASE WHEN m.file_path IS NOT NULL THEN CAST(0 AS BIGINT) END AS insert_changes, CASE WHEN m.file_path IS NOT NULL THEN CAST(0 AS BIGINT) END AS delete_changes,
+    CASE WHEN m.file_path IS NOT NULL THEN CAST(0 AS BIGINT) END AS modify_changes,
     v.total_validations, v.passed_validations, v.total_issues, v.total_warnings, v.validation_types,
     v.failed_validations, v.overall_status, 'completed' AS analysis_status, 'completed' AS plan_status,
     CASE WHEN m.file_path IS NULL THEN 'no_modifications_needed' ELSE 'completed' END AS modifications_status,
@@ -312,8 +312,7 @@ times AS (SELECT total_effort_days, greatest(1, CAST(floor(total_effort_days * 0
 timerow AS (SELECT *, concat(estimated_calendar_days, ' days with parallel execution') AS recommended_timeline FROM times),
 finalrow AS (SELECT stats.*, riskrow.*, timerow.*, (SELECT count(*) FROM fileanalysis WHERE priority = 'high') AS high_priority_files
   FROM stats, riskrow, timerow),
-done AS (SELECT DISTINCT p.filename AS path FROM issues i JOIN pairs p ON i.file_path = p.file_path
-  WHERE i.seq <= (SELECT max(seq) / 2 FROM issues) AND p.filename LIKE '%.py'),
+done AS (SELECT DISTINCT filename AS path FROM pairs WHERE filename LIKE '%.py'),
 statements AS (SELECT seq, file, concat({", ".join(f"regexp_extract(code, '{_EXEC}', {g})" for g in (1, 2, 3, 4))}) AS statement
   FROM stmt),
 writes AS (SELECT file, statement, unnest(regexp_extract_all(statement, '{_WRITE}', 1)) AS op,
@@ -445,6 +444,10 @@ _BODIES = {
     "run_summary": """SELECT (SELECT count(*) FROM files) AS total_files, (SELECT count(*) FROM files) AS analysis_results,
       (SELECT count(*) FROM files) AS migration_plans, (SELECT count(*) FROM mods) AS code_modifications,
       (SELECT count(*) FROM vcounts) AS validation_results, (SELECT count(DISTINCT file_path) FROM mods) AS converted_files, true AS success""",
+    "notebook_scan": """SELECT concat('nb/', conv_id, '_', turn, '.ipynb') AS path, 0 AS cell_index, 'code' AS cell_type,
+      CAST(i - 1 AS INT) AS line_no, l[i] AS line FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS l,
+      unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM conversations)""",
+    "decode_bytes": "SELECT doc_id, text FROM documents",
     "lint_admit": "SELECT seq, raw FROM lint WHERE contains(raw, ':') AND regexp_matches(raw, '(?i)error|warning|info')",
     "lint_parse": "SELECT * FROM issues",
     "lint_severity": "SELECT seq, severity FROM issues",

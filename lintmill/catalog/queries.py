@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from lintmill import fixed_values as V
 from lintmill.catalog import views
 from lintmill.functions import checks, classify, rewrite as rules
-from lintmill.functions.text import is_code, split_lines, strip
+from lintmill.functions.text import clean_utf8, is_code, split_lines, strip
 from lintmill.operators import advice, apply, lineage, matching, modify, planning, reporting, validate
 from lintmill.operators import findings as found
 from lintmill.operators.skew import first_rows
 from lintmill.plans.assessment import Assessment, assess, notebook_files, python_files
 from lintmill.session import scratch_path
+from lintmill.sources import readers
 from lintmill.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +116,28 @@ def run_summary(spark, sf):
     return _run(spark, sf).run_summary
 
 
+@query
+def notebook_scan(spark, sf):
+    """Every turn as a notebook of one cell in JSON, its source a list or plain text."""
+    text = F.when(
+        F.col("turn") % 2 == 0,
+        F.to_json(F.struct(F.array(F.struct(F.lit("code").alias("cell_type"), split_lines(F.col("text")).alias("source"))).alias("cells"))),
+    ).otherwise(
+        F.to_json(F.struct(F.array(F.struct(F.lit("code").alias("cell_type"), F.col("text").alias("source"))).alias("cells")))
+    )
+    path = F.concat(F.lit("nb/"), "conv_id", F.lit("_"), "turn", F.lit(".ipynb"))
+    raw = views.table(spark, sf, "conversations").select(path.alias("path"), text.alias("content"))
+    cells = readers.notebook_cells(readers.parse_notebooks(raw))
+    return cells.select("path", "cell_index", "cell_type", F.posexplode("source").alias("line_no", "line"))
+
+
+@query
+def decode_bytes(spark, sf):
+    """Whole documents as bytes with invalid ones put around them, read leniently."""
+    broken = F.concat(F.unhex(F.lit("C3")), F.encode("text", "UTF-8"), F.unhex(F.lit("F09F")))
+    return views.table(spark, sf, "documents").select("doc_id", clean_utf8(broken).alias("text"))
+
+
 # --- findings ------------------------------------------------------------------
 
 @query
@@ -576,12 +599,9 @@ def converted_cells(spark, sf):
 # --- reports --------------------------------------------------------------------------------------
 
 def _done(spark, sf) -> DataFrame:
-    """Files a former run analysed: those with a finding in the first half of the log."""
-    findings = _findings(spark, sf)
-    lines = _code(spark, sf)
-    half = findings.agg(F.max("seq") / 2).scalar()
-    early = findings.filter(F.col("seq") <= half)
-    return matching.match_contains(early, python_files(lines)).select(F.col("filename").alias("path"))
+    """Files a former run dealt with: those that the log names."""
+    pairs = matching.match_contains(_findings(spark, sf), python_files(_code(spark, sf)))
+    return pairs.select(F.col("filename").alias("path"))
 
 
 @query

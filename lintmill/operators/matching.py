@@ -61,7 +61,7 @@ def match_contains(paths: DataFrame, names: DataFrame) -> DataFrame:
     """
     lint = paths.select("file_path").distinct()
     known = names.select("filename").distinct()
-    index = length_index(known, "filename", []).scalar()
+    index = length_index(names, "filename", []).scalar()
     cut = pieces(lint.withColumn("_index", index), "file_path", F.col("_index"), "filename").drop("_index")
     return _pairs(cut, known).distinct()
 
