@@ -707,7 +707,7 @@ def riskiest_files(spark, sf):
 
 def _event_stream(spark, sf) -> DataFrame:
     schema = views.table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/events.parquet")
 
 
 def _log_stream(spark, sf) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Row types shared by sources, operators and sinks."""
+"""Row types the sources yield."""
 
 from pyspark.sql import types as T
 
@@ -7,7 +7,7 @@ def _fields(spec):
     return T.StructType([T.StructField(n, t) for n, t in spec])
 
 
-_S, _I, _L, _D, _B = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType()
+_S, _I, _L = T.StringType(), T.IntegerType(), T.LongType()
 _AS = T.ArrayType(_S)
 
 CELL = _fields([("cell_type", _S), ("source", _AS)])
@@ -31,12 +31,3 @@ FINDING = _fields([
     ("issue_type", _S), ("severity", _S), ("message", _S), ("code_snippet", _S),
     ("suggested_fix", _S), ("category", _S), ("tag", _S),
 ])
-
-MODIFICATION = _fields([
-    ("seq", _L), ("file_path", _S), ("cell_index", _I), ("line_number", _I), ("change_type", _S),
-    ("original_code", _S), ("modified_code", _S), ("reason", _S), ("issue_type", _S),
-    ("confidence_level", _D), ("requires_testing", _B), ("breaking_change", _B),
-    ("documentation_needed", _B),
-])
-
-LINEAGE = _fields([("file", _S), ("operation", _S), ("table", _S), ("preview", _S)])

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lintmill.functions import checks, rewrite, scoring
 from lintmill.functions.text import present
+from lintmill.operators import advice
 from lintmill.operators import findings as found
 from lintmill.operators import validate
 
@@ -118,3 +119,44 @@ def test_clean_file_passes(spark):
         ("a", "syntax", True, 0), ("a", "compatibility", True, 0), ("a", "logic", True, 0),
         ("b", "syntax", False, 2), ("b", "compatibility", True, 0), ("b", "logic", True, 0),
     }
+
+
+def test_missing_values_get_defaults(spark):
+    df = spark.createDataFrame([("a", None, None)], "file_path string, line_number int, confidence_level double")
+    row = found.with_defaults(df, found.MODIFICATION_DEFAULTS).first()
+    assert (row.file_path, row.cell_index, row.line_number, row.change_type) == ("a", -1, 0, "replace")
+    assert (row.confidence_level, row.requires_testing, row.breaking_change) == (0.8, True, False)
+
+
+TEXT = """Intro
+- not in a section
+## 1. Preparation_Steps
+1. Back up
+  - check owners
+2.
+prose is skipped
+Code review notes
+- still there
+CODE and other CHANGES
+3.5- edit
+TESTING
+"""
+
+
+def test_sections_of_a_text(spark):
+    df = spark.createDataFrame([("d", TEXT)], "doc string, text string")
+    out = advice.sections(advice.as_lines(df, "doc", "text"))
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: r.pos):
+        got.setdefault(r.section, []).append(r.step)
+    assert got["preparation_steps"] == ["Back up", "check owners", "still there"]
+    assert got["code_changes"] == ["edit"]
+    assert sorted(got["testing_steps"]) == [
+        "Execute notebook in test environment", "Run integration tests", "Validate output and performance"]
+    assert len(got["deployment_steps"]) == 3
+
+
+def test_advice_lines(spark):
+    text = "# heading\n- one\n\n \t\n--two --\n  # note\n3. three\nfour\nfive\nsix"
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(advice.advice_lines(F.col("t"))).first()[0] == ["one", "two", "3. three", "four", "five"]
