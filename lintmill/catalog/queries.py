@@ -707,7 +707,8 @@ def riskiest_files(spark, sf):
 
 def _event_stream(spark, sf) -> DataFrame:
     schema = views.table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/events.parquet")
+    # A pattern, since the table may be one file or a folder of files.
+    return spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
 
 
 def _log_stream(spark, sf) -> DataFrame:
