@@ -47,7 +47,7 @@ def table(columns, found):
     return order, sorted(tuple(plain(r[i]) for i in at) for r in found)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(entry.ORACLE))
 def test_same_as_sql(spark, duck, name):
     cursor = duck.execute(entry.oracle_sql()[name])
     expected = table([d[0] for d in cursor.description], cursor.fetchall())
@@ -60,9 +60,9 @@ def test_entry_has_rows(spark):
 
 
 def test_queries_without_sql(spark):
-    missing = set(entry.queries()) - set(entry.oracle_sql())
+    missing = set(entry.QUERIES) - set(entry.ORACLE)
     assert missing == {"syntax_parse", "validations_parsed", "apply_fold"}
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(entry.ORACLE) <= set(entry.QUERIES)
     parsed = entry.queries()["validations_parsed"](spark, SF)
     static = entry.queries()["validations"](spark, SF)
     # Parsing can only add issues, and only to the syntax rows.
