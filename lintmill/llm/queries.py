@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintmill.llm import jaccard_join, lm_scoring, substring_dedup
+from lintmill.llm import fingerprints, jaccard_join, lm_scoring, mixing, neighbours, packing, quality, substring_dedup, toxicity, warc
+from lintmill.session import scratch_path
+
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,16 +24,87 @@ def remainder(column: str, of: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % of
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archive(warc.page_records(_table(spark, sf_dir, "pages")), path)
+    responses = warc.read_archive(spark, path).filter("record_type = 'response'").select(
+        warc.page_of("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha1("payload").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"),
+    )
+    revisits = warc.read_archive(spark, path, payload=False).filter("record_type = 'revisit'").select(
+        warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        warc.page_of("refers_to").alias("refers_to"),
+    )
+    return responses.unionByName(revisits)
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def digest_pieces(pieces: DataFrame, width: int) -> DataFrame:
+    """Pieces with the crc32 of their ids as unsigned 32-bit integers in place of the ids."""
+    kind = f"<u{width}"
+
+    def digest(batches):
+        for batch in batches:
+            crc = [zlib.crc32(np.frombuffer(b, kind).astype("<u4").tobytes()) for b in batch["ids"].to_pylist()]
+            kept = [batch[n] for n in batch.schema.names if n != "ids"]
+            names = [n for n in batch.schema.names if n != "ids"]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(crc, pa.int64())], [*names, "ids_crc32"])
+
+    return pieces.mapInArrow(
+        digest, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long"
+    )
+
+
+def packed_documents(docs: DataFrame) -> DataFrame:
+    path = tokenizer_path()
+    width = packing.token_width(path)
+    pieces = packing.pack(packing.tokenize(docs, path), width)
+    return digest_pieces(
+        pieces.select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"), width
+    ).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(_table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return jaccard_join.linked_documents(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _table(spark, sf_dir, "documents").select("doc_id", "text"), remainder("doc_id", 3) == 1
+    model, prior = quality.train(docs, _table(spark, sf_dir, "labels"), held_out)
+    return quality.score(docs, model, prior).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id", "source", mixing.word_count("text").alias("size"), F.xxhash64("text").alias("key")
+    )
+    mixed = mixing.mix_sources(docs, F.col("size"), F.col("key"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return lm_scoring.score_texts(docs, remainder("doc_id", 5) == 1).select(
@@ -34,10 +112,23 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _table(spark, sf_dir, "documents").select("doc_id", "text"), remainder("doc_id", 4) == 2
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_packing": op2_packing,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_neighbours": op4_neighbours,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_quality": op7_quality,
+    "op8_mixing": op8_mixing,
     "op9_lm_scoring": op9_lm_scoring,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {}

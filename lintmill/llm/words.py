@@ -68,13 +68,16 @@ def text_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return data, offsets - offsets[0]
 
 
-def split_words(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
-    """Words of each text; ``lower`` turns A-Z to a-z first. NULL has none."""
+def split_words(texts: pa.Array | pa.ChunkedArray, lower: bool = False, space: np.ndarray = SPACE) -> Words:
+    """Words of each text; ``lower`` turns A-Z to a-z first. NULL has none.
+
+    ``space`` tells for each byte whether it stands between words.
+    """
     data, offsets = text_bytes(texts)
     size = len(data) - 8
     if lower:
         data = LOWER[data]
-    inside = ~SPACE[data[:size]]
+    inside = ~space[data[:size]]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
