@@ -55,13 +55,20 @@ def write_blocks(docs: DataFrame, text: str = "text", drop: tuple[str, ...] = ()
         F.monotonically_increasing_id().alias("uid"), F.col(f"`{text}`").alias("text"),
         F.struct(*others, F.lit(None).cast("boolean").alias("llm_end")).alias("row"),
     ).withColumn("block", F.shiftright("uid", bits))
-    name = f"llm_blocks_{uuid.uuid4().hex}"
+    table = write_bucketed(keyed, "block")
+    buckets = min(MAX_BUCKETS, size // BUCKET_BYTES + 1)
+    return Blocks(table, int(buckets), rows, bits)
+
+
+def write_bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Write a table in buckets of a key below spark.checkpoint.dir: joins on the key leave it in place."""
+    spark = df.sparkSession
+    name = f"llm_{key}_{uuid.uuid4().hex}"
     (
-        keyed.write.format("parquet").bucketBy(_partitions(spark), "block")
-        .option("path", scratch_path(spark, "blocks")).option("compression", "zstd").saveAsTable(name)
+        df.write.format("parquet").bucketBy(_partitions(spark), key)
+        .option("path", scratch_path(spark, key)).option("compression", "zstd").saveAsTable(name)
     )
-    buckets = min(MAX_BUCKETS, size // BUCKET_BYTES + 1)
-    return Blocks(spark.table(name), int(buckets), rows, bits)
+    return spark.table(name)
 
 
 def _partitions(spark: SparkSession) -> int:

@@ -7,14 +7,16 @@ inside a group of copies.
    shingles with it, so enough of its smallest shingles (by name) occur in another
    document. Blocks exchange these names; sets without enough shared ones are done.
 2. Classes. Documents with equal sets are one class from here on.
-3. Hubs. A few rounds link classes to one hub of a list they share and verify the
-   pair, so that big groups of near copies fall into few components.
-4. Heavy and light. Pairs of classes that are still in different components and
-   may link are found exactly: small sets by equal two-element subsets of their
-   prefix, large ones (and those next to the boundary) by scanning the inverted
-   lists of prefix shingles. The boundary between small and large is the size at
-   which subsets start to cost more than lists.
-5. All pairs found are verified on whole sets, many sets to a task.
+3. Hubs. Every class gets the label of the hub that most of its first shingles
+   have in common, so near copies mostly share one. A few rounds link classes to
+   one hub of a list and verify the pair; big groups fall into few components.
+4. Within a label, classes of different components are compared tile by tile.
+5. Between labels, pairs that may link are found by prefixes in a common order of
+   the shingles: those of one label first, then those of several, which alone can
+   meet. Small sets enumerate two-element subsets of their prefix, large ones (and
+   those next to the boundary) are found by scanning inverted lists of single
+   shingles. The boundary is the size at which subsets and the lists behind them
+   start to cost more than scanning lists. Pairs found are verified on whole sets.
 
 Two sets A and B with |A & B| >= o share at least c elements among the first
 |A| - o + c of A and |B| - o + c of B in any common order; o is at least
@@ -44,7 +46,7 @@ from lintmill.session import materialize
 SHINGLE = 5
 SIMILARITY = 75     # percent
 FILTER_SHARE = 40   # percent of a set that the filter looks at
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 HUB_TOKENS = 8      # shingles of a class that look for a hub
 GROUP = 256         # sets that one verifying task holds on each side
 
@@ -107,29 +109,32 @@ class _Block:
         return hashlib.blake2b(self.members(d), digest_size=16).digest()
 
 
-def _tokens(member: np.ndarray, n: int, similarity: int, boundary: int):
-    """Names under which a set of size n looks for partners: light subsets and heavy shingles."""
+def _tokens(single: int, several: np.ndarray, n: int, similarity: int, boundary: int) -> np.ndarray:
+    """Names under which a set looks for partners of other labels.
+
+    ``single`` of its shingles belong to one label and come first in the common
+    order; ``several`` are the others.
+    """
     spare = n - int(needed(np.array(n), similarity))
-    out = []
+    out = [np.zeros(0, np.uint64)]
     if n <= boundary:
-        prefix = member[:spare + 2]
+        prefix = several[:max(0, spare + 2 - single)]
         i, j = np.triu_indices(len(prefix), 1)
         out.append(W.join_names(prefix[i], prefix[j], 2) & ~np.uint64(1))
     if n > boundary or n * 100 >= similarity * (boundary + 1):
-        out.append(member[:spare + 1] | np.uint64(1))
+        out.append(several[:max(0, spare + 1 - single)] | np.uint64(1))
     return np.concatenate(out).view(np.int64)
 
 
-def _rows(batches, make, names, kinds):
-    """Arrow batches of (cid, n, ...) with one row per token of each set."""
+def _first_tokens(batches):
+    """A row for each of the first shingles of every class."""
     for batch in batches:
-        sets = [np.frombuffer(m, np.uint64) for m in batch["members"].to_pylist()]
-        found = [make(s, n) for s, n in zip(sets, batch["n"].to_pylist(), strict=True)]
+        found = [np.frombuffer(m, np.int64)[:HUB_TOKENS] for m in batch["members"].to_pylist()]
         count = [len(f) for f in found]
         if sum(count):
             at = pa.array(np.repeat(np.arange(len(count)), count))
-            kept = [batch[c].take(at) for c in names]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64()), *kept], ["token", *names])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(found)), batch["cid"].take(at), batch["n"].take(at)], ["token", "cid", "n"])
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
@@ -175,8 +180,8 @@ def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
     )
     labels = least_labels(found)
     return materialize(
-        component.join(labels.withColumnRenamed("node", "component"), "component", "left")
-        .select("cid", "n", F.coalesce("label", "component").alias("component")), "components",
+        component.join(labels.select(F.col("node").alias("component"), F.col("label").alias("least")), "component", "left")
+        .select("cid", "n", F.coalesce("least", "component").alias("component"), "label"), "components",
     )
 
 
@@ -205,51 +210,175 @@ def _hub_round(tokens: DataFrame, component: DataFrame, classes: DataFrame, simi
 
 
 def _cost_boundary(tokens: DataFrame, similarity: int) -> int:
-    """The largest size for which two-element subsets are cheaper than list scans.
+    """The largest size for which two-element subsets cost no more than lists.
 
-    A set of size n has p = n - needed(n) + 1 heavy prefix shingles and scans a
-    list of mean length L for each: p (1 + L) steps, against p (p + 1) / 2 subsets.
+    A set with p = n - needed(n) + 1 prefix shingles scans p lists of mean length
+    L, or p (p + 1) / 2 subsets whose lists have mean length L2; both lengths are
+    measured on the first shingles of all classes.
     """
-    found = tokens.groupBy("token").count().agg(
-        (F.sum(F.col("count") * F.col("count")) / F.sum("count")).alias("mean")
-    ).first()[0]
-    prefix = 2 * (1 + float(found or 0)) - 1
-    return int(prefix * 100 // (100 - similarity))
-
-
-def _exact_pairs(classes: DataFrame, component: DataFrame, similarity: int, boundary: int) -> DataFrame:
-    """Every pair of classes in different components that may link, in groups."""
-    names = ["cid", "n", "component"]
-
-    def make(batches):
-        return _rows(batches, lambda s, n: _tokens(s, n, similarity, boundary), names, None)
-
-    whole = classes.drop("n").join(component, "cid").select("cid", "n", "component", "members")
-    tokens = whole.mapInArrow(make, "token long, cid long, n int, component long")
-    mixed = tokens.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
-    open_lists = materialize(tokens.join(mixed, "token", "left_semi"), "lists")
-    side = lambda s: open_lists.select("token", *[F.col(c).alias(f"{s}_{c}") for c in names])
+    mean = lambda df: float(df.agg((F.sum(F.col("count") * F.col("count")) / F.sum("count")).alias("m")).first()[0] or 1)
+    one = mean(tokens.groupBy("token").count())
+    other = tokens.select(F.col("cid").alias("c"), F.col("token").alias("other"))
+    pairs = tokens.join(other, F.col("cid") == F.col("c")).filter("token < other")  # at most 28 for a class
+    two = mean(pairs.groupBy("token", "other").count())
+    prefix = 2 * (1 + one) / (1 + two) - 1
+    return int(max(prefix, 0) * 100 // (100 - similarity))
+
+
+def _labels(tokens: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cid, n, label): the hub that most of a class's first shingles have, and that hub's hub."""
+    hubs = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min_by("cid", F.xxhash64("cid", F.lit(0))).alias("hub"))
+    votes = (
+        tokens.join(hubs.filter("size > 1").drop("size"), "token").groupBy("cid", "hub").count()
+        .groupBy("cid").agg(F.max_by("hub", F.struct("count", F.xxhash64("hub"))).alias("hub"))
+    )
+    votes = materialize(votes, "hubs")
+    again = votes.select(F.col("cid").alias("hub"), F.col("hub").alias("label"))
+    found = votes.join(again, "hub", "left").select("cid", F.coalesce("label", "hub").alias("label"))
+    return classes.select("cid", "n").join(found, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+
+
+def _same_label_links(classes: DataFrame, component: DataFrame, similarity: int) -> DataFrame:
+    """Links between components of one label. Tiles hold about GROUP sets; those of one component are not compared."""
+    held = component.select("cid", "component", "label")
+    sizes = held.groupBy("label", "component").count()
+    open_labels = sizes.groupBy("label").agg(F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("label")
+    big = sizes.filter(F.col("count") >= GROUP).select("label", "component", F.col("component").alias("big"))
+    held = held.join(open_labels, "label").join(big, ["label", "component"], "left")
+    share = held.groupBy("label", "big").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("shares"))
+    share = share.select(F.col("label").alias("l"), F.col("big").alias("b"), "shares")
+    tiled = held.join(share, (F.col("label") == F.col("l")) & F.col("big").eqNullSafe(F.col("b"))).select(
+        "cid", "component", "label", "big", F.xxhash64("label", "big", F.pmod(F.xxhash64("cid"), "shares")).alias("tile"))
+    tiled = materialize(tiled, "tiles")
+    tiles = tiled.select("label", "big", "tile").distinct()
+    other = tiles.select(F.col("label").alias("l"), F.col("big").alias("b"), F.col("tile").alias("t"))
+    pairs = tiles.join(other, (F.col("label") == F.col("l")) & (F.col("tile") <= F.col("t"))).filter(
+        "big is null or b is null or big <> b").select(F.xxhash64("tile", "t").alias("g"), "tile", "t")
+    ends = pairs.select("g", "tile").union(pairs.select("g", "t")).distinct()
+    whole = tiled.join(classes, "cid").join(ends, "tile").select("g", "tile", "cid", "component", "n", "members")
+    return whole.groupBy("g").applyInArrow(lambda key, t: _tile_links(t, similarity), "a long, b long")
+
+
+def _tile_links(held: pa.Table, similarity: int) -> pa.Table:
+    """Links between two tiles (or within one), by products of their membership matrices."""
+    tile, n = held["tile"].to_numpy(), held["n"].to_numpy().astype(np.int64)
+    cid, component = held["cid"].to_numpy(), held["component"].to_numpy()
+    members = [np.frombuffer(m, np.uint64) for m in held["members"].to_pylist()]
+    left = np.flatnonzero(tile == tile.min())
+    right = np.flatnonzero(tile == tile.max())
+    flat = lambda at: (np.concatenate([members[i] for i in at]), np.repeat(np.arange(len(at)), [len(members[i]) for i in at]))
+    (a_token, a_row), (b_token, b_row) = flat(left), flat(right)
+    common = np.intersect1d(a_token, b_token)
+    both = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(common), 4096):
+        part = common[at:at + 4096]
+        matrices = []
+        for token, row, count in ((a_token, a_row, len(left)), (b_token, b_row, len(right))):
+            place = np.minimum(np.searchsorted(part, token), len(part) - 1)
+            hit = part[place] == token
+            matrix = np.zeros((count, len(part)), np.float32)
+            matrix[row[hit], place[hit]] = 1
+            matrices.append(matrix)
+        both += matrices[0] @ matrices[1].T
+    union = n[left][:, None] + n[right][None, :] - both
+    linked = (100 * both >= similarity * union) & (component[left][:, None] != component[right][None, :])
+    i, j = _forest(left, right, linked, len(cid))
+    return pa.table({"a": pa.array(cid[i], pa.int64()), "b": pa.array(cid[j], pa.int64())})
+
+
+def _forest(left: np.ndarray, right: np.ndarray, linked: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """As few of the links as connect the same sets: each set reached, from the one that reached it."""
+    table = np.zeros((count, count), bool)
+    table[np.ix_(left, right)] = linked
+    table |= table.T
+    reached, pairs = np.zeros(count, bool), []
+    for start in range(count):
+        if reached[start]:
+            continue
+        reached[start] = True
+        waiting = [start]
+        while waiting:
+            one = waiting.pop()
+            new = np.flatnonzero(table[one] & ~reached)
+            reached[new] = True
+            pairs += [(one, k) for k in new.tolist()]
+            waiting += new.tolist()
+    found = np.array(pairs, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def _label_flags(classes: DataFrame, buckets: int) -> DataFrame:
+    """For each block of classes, which of its shingles occur under several labels."""
+
+    def send(key, t):
+        token, mark = _marked(t)
+        new = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+        low, high = (f.reduceat(mark, new) if len(new) else mark for f in (np.minimum, np.maximum))
+        names = token[new]
+        one = np.where(low == high, low, 0).astype(np.uint32)  # 0: several labels
+        return B.sent_rows(t["block"][0].as_py(), names, [names.astype(np.uint32), one], buckets)
+
+    def answer(blobs: list[bytes]) -> list[bytes]:
+        sizes = [len(b) // 8 for b in blobs]
+        names = np.concatenate([np.frombuffer(b, "<u4", k) for b, k in zip(blobs, sizes, strict=True)])
+        marks = np.concatenate([np.frombuffer(b, "<u4", k, 4 * k) for b, k in zip(blobs, sizes, strict=True)])
+        _, place = np.unique(names, return_inverse=True)
+        low = np.full(place.max(initial=-1) + 1, 1 << 32, np.int64)
+        high = np.zeros(len(low), np.int64)
+        np.minimum.at(low, place, marks)
+        np.maximum.at(high, place, marks)
+        several = ((low != high) | (low == 0))[place]
+        return [np.packbits(x).tobytes() for x in np.split(several, np.cumsum(sizes)[:-1])]
+
+    return B.exchange(classes.groupBy("block").applyInArrow(send, B.SENT), answer)
+
+
+def _marked(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of a block's classes in order, with a 32-bit mark of their label (never 0)."""
+    members = [np.frombuffer(m, np.uint64) for m in t["members"].to_pylist()]
+    mark = W.mix(t["label"].to_numpy().astype(np.uint64)).astype(np.uint32) | np.uint32(1)
+    token = np.concatenate(members) if members else np.zeros(0, np.uint64)
+    marks = np.repeat(mark, [len(m) for m in members])
+    order = np.argsort(token, kind="stable")
+    return token[order], marks[order].astype(np.int64)
+
+
+def _cross_label_pairs(
+    classes: DataFrame, component: DataFrame, similarity: int, boundary: int, buckets: int, bits: int
+) -> DataFrame:
+    """Pairs (a, b) of classes with different labels and components that may link, in groups ``g``."""
+    whole = classes.drop("n").join(component, "cid").withColumn("block", F.shiftright("cid", bits))
+    whole = whole.select("block", "cid", "n", "component", "label", "members")
+    flags = _label_flags(whole, buckets)
+    kept = ["cid", "n", "component", "label"]
+
+    def look(key, t: pa.Table, answers: pa.Table) -> pa.Table:
+        names = np.unique(_marked(t)[0]) if t.num_rows else np.zeros(0, np.uint64)
+        several = names[B.flags_of(names, buckets, B.ordered(answers))]
+        found = []
+        for m, n in zip(t["members"].to_pylist(), t["n"].to_pylist(), strict=True):
+            own = np.frombuffer(m, np.uint64)
+            shared = own[np.isin(own, several)]
+            found.append(_tokens(len(own) - len(shared), shared, n, similarity, boundary))
+        at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]).astype(np.int64))
+        tokens = np.concatenate(found) if found else np.zeros(0, np.int64)
+        return pa.table({"token": pa.array(tokens, pa.int64()), **{c: t[c].take(at) for c in kept}})
+
+    tokens = materialize(
+        whole.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(
+            look, "token long, cid long, n int, component long, label long"), "lists")
+    side = lambda s: tokens.select("token", *[F.col(c).alias(f"{s}_{c}") for c in kept])
     pairs = (
         side("a").join(side("b"), "token")
-        .filter("a_cid < b_cid and a_component <> b_component").filter(_fits(similarity))
+        .filter("a_cid < b_cid and a_component <> b_component and a_label <> b_label").filter(_fits(similarity))
         .filter(f"token % 2 = 0 or greatest(a_n, b_n) > {boundary}")
-        .select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b"), "a_component", "b_component").distinct()
+        .select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b"),
+                F.xxhash64(F.least("a_label", "b_label"), F.greatest("a_label", "b_label")).alias("labels")).distinct()
     )
     pairs = materialize(pairs, "pairs")
-    sizes = component.groupBy("component").count()
-    ends = pairs.select("a", F.explode(F.array("a_component", "b_component")).alias("component")).union(
-        pairs.select("b", F.explode(F.array("a_component", "b_component")))
-    ).distinct()
-    family = ends.join(sizes, "component").groupBy("a").agg(F.max(F.struct("count", "component")).alias("family"))
-    parts = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
-    tile = materialize(
-        family.join(parts, "family")
-        .select(F.col("a").alias("cid"), F.xxhash64("family", F.pmod(F.xxhash64("a"), "parts")).alias("tile")), "tiles"
-    )
-    of = lambda end: tile.select(F.col("cid").alias(end), F.col("tile").alias(f"{end}_tile"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select(
-        "a", "b", F.xxhash64(F.least("a_tile", "b_tile"), F.greatest("a_tile", "b_tile")).alias("g")
-    )
+    sizes = pairs.groupBy("labels").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / (GROUP * GROUP))).alias("parts"))
+    return pairs.join(sizes, "labels").select(
+        "a", "b", F.xxhash64("labels", F.pmod(F.xxhash64("a"), "parts"), F.pmod(F.xxhash64("b"), "parts")).alias("g"))
 
 
 def linked_documents(
@@ -315,23 +444,18 @@ def _linked(made: B.Blocks, id_column: str, shingle: int, similarity: int) -> Da
         })
 
     whole = made.table.select("block", "uid", "text")
-    classes = materialize(
-        whole.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(members, CLASSES), "members"
-    )
+    classes = B.write_bucketed(whole.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(members, CLASSES), "cid")
 
-    component = materialize(classes.select("cid", "n", F.col("cid").alias("component")), "components")
-    names = ["cid", "n"]
-    few = classes.mapInArrow(
-        lambda batches: _rows(batches, lambda s, n: s[:HUB_TOKENS].view(np.int64), names, None), "token long, cid long, n int"
-    )
-    few = materialize(few, "tokens")
+    few = materialize(classes.mapInArrow(_first_tokens, "token long, cid long, n int"), "tokens")
+    component = materialize(_labels(few, classes).withColumn("component", F.col("cid")), "components")
     for turn in range(HUB_ROUNDS):
         links = _hub_round(few, component, classes, similarity, turn)
         if links is None:
             break
         component = _merged(component, links)
     boundary = _cost_boundary(few, similarity)
-    pairs = _exact_pairs(classes, component, similarity, boundary)
+    component = _merged(component, _same_label_links(classes, component, similarity))
+    pairs = _cross_label_pairs(classes, component, similarity, boundary, buckets, made.bits)
     component = _merged(component, _verify(pairs, classes, similarity))
 
     # Back to documents: classes without a search are components of their own.
