@@ -80,12 +80,36 @@ def needed(n: np.ndarray, similarity: int) -> np.ndarray:
     return -(-n * similarity // 100)
 
 
+def looked_at(n):
+    """How many of a set's smallest shingles the filter looks at."""
+    return np.minimum(n, -(-n * FILTER_SHARE // 100) + 1)
+
+
+def least_shared(n: np.ndarray, similarity: int) -> np.ndarray:
+    """How many of the shingles looked at a set of size n shares with any set it links to.
+
+    Sets of sizes a and b that link overlap in o = needed of both sizes together, and
+    share at least min(looked(a) - a, looked(b) - b) + o of what is looked at. The
+    first grows with b and the second falls, so both ends of b's range bound them
+    (two are taken off for rounding; small sizes try every b).
+    """
+    sizes, place = np.unique(n, return_inverse=True)
+    out = np.zeros(len(sizes), np.int64)
+    for i, a in enumerate(sizes.tolist()):
+        b = np.arange(-(-a * similarity // 100), a * 100 // similarity + 1) if a <= 256 else np.array(
+            [-(-a * similarity // 100), a * 100 // similarity])
+        if a:
+            both = -(-(a + b) * similarity // (100 + similarity))
+            out[i] = (np.minimum(looked_at(a) - a, looked_at(b) - b) + both).min() - 2 * (a > 256)
+    return np.maximum(out, 1)[place]
+
+
 class _Block:
     def __init__(self, table: pa.Table, size: int, similarity: int, buckets: int):
         self.number, self.buckets, self.similarity = table["block"][0].as_py(), buckets, similarity
         self.name, self.first = shingle_sets(W.split_words(table["text"], lower=True), size)
         self.n = np.diff(self.first)
-        self.looked = np.minimum(self.n, -(-self.n * FILTER_SHARE // 100) + 1)
+        self.looked = looked_at(self.n)
         doc = np.repeat(np.arange(len(self.n)), self.n)
         self.rank = np.arange(len(self.name)) - self.first[doc]
         self.doc = doc
@@ -100,7 +124,7 @@ class _Block:
         """Which sets may link."""
         shared = (B.flags_of(self.sent, self.buckets, blobs) | self.twice)[self.place]
         found = np.bincount(self.doc[self.inside], weights=shared, minlength=len(self.n))
-        self.near = (self.n > 0) & (found >= needed(self.n, self.similarity) - (self.n - self.looked))
+        self.near = (self.n > 0) & (found >= least_shared(self.n, self.similarity))
 
     def members(self, d: int) -> bytes:
         return self.name[self.first[d]:self.first[d + 1]].tobytes()
