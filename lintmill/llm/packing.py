@@ -34,7 +34,7 @@ from lintmill.session import materialize
 
 WINDOW = 2048
 SHARE = 4096          # pieces of one length that are ranked together
-CACHED_WORDS = 300_000  # words whose ids a worker remembers
+CACHED_WORDS = 200_000  # words whose ids a worker remembers, in each of two generations
 PASSES = 12           # of the least-squares solver
 PACKED = 1 << 62      # sequences of combinations and rests count from here
 
@@ -56,6 +56,11 @@ class _Encoder:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.kind).tobytes()
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        pieces = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.spaced = np.array([p.startswith("\u0120") for p in pieces])  # byte-level sign for a space
+        self.marks = dict(zip(",.", self._ids([",", "."]), strict=True))
+        self.line = np.array([p == "\u010a" for p in pieces])             # and for a line break
         pre = self.tokenizer.pre_tokenizer
         self.by_word = type(pre).__name__ == "ByteLevel" and not getattr(pre, "add_prefix_space", True) \
             and self.tokenizer.normalizer is None
@@ -64,6 +69,27 @@ class _Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(f.ids, self.kind).tobytes() for f in found]
 
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words: many in one text, which is cut where a token begins with a space or a line."""
+        spaced = [w for w in words if w[0] == " " and len(w) > 1]
+        bare = [w for w in words if w[0] not in "\t\n\r "]
+        known = {}
+        for group, text, opens, skip in (
+            (spaced, "".join(spaced), self.spaced, 0), (bare, "".join("\n" + w for w in bare), self.line, 1),
+        ):
+            if not group:
+                continue
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+            at = np.append(np.flatnonzero(opens[ids]), len(ids)) * self.kind.itemsize
+            if len(at) != len(group) + 1:  # a word holds such a token itself
+                known.update(zip(group, self._ids(group), strict=True))
+                continue
+            packed, skip = ids.tobytes(), skip * self.kind.itemsize
+            known.update((w, packed[a + skip:b]) for w, a, b in zip(group, at[:-1].tolist(), at[1:].tolist(), strict=True))
+        rest = [w for w in words if w not in known]
+        known.update(zip(rest, self._ids(rest), strict=True))
+        return known
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if t and (not self.by_word or _ODD_SPACE.search(t))]
         out = [self.end] * len(texts)
@@ -73,13 +99,25 @@ class _Encoder:
         for i, text in enumerate(texts):
             if text and i not in skipped:
                 split[i] = _CHUNK.findall(text)
+        wanted = set().union(*split.values())
+        new = wanted.difference(self.known)
+        if self.old:  # words of the last generation that are still in use move to this one
+            kept = new.intersection(self.old)
+            self.known.update((w, self.old[w]) for w in kept)
+            new -= kept
         known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = list({w for words in split.values() for w in words if w not in known})
-        known.update(zip(new, self._ids(new), strict=True))
+        # A comma or full stop behind a letter is a token of its own.
+        marked = [w for w in new if w[-1] in ",." and w[-2:-1].isascii() and w[-2:-1].isalpha()]
+        new.difference_update(marked)
+        bases = {w[:-1] for w in marked}
+        new |= {w for w in bases.difference(known) if w not in self.old}
+        known.update((w, self.old[w]) for w in bases.intersection(self.old))
+        known.update(self._learn(list(new)))
+        known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in marked)
         for i, words in split.items():
             out[i] = b"".join(map(known.__getitem__, words)) + self.end
+        if len(known) > CACHED_WORDS:
+            self.old, self.known = known, {}
         return out
 
 
