@@ -37,8 +37,9 @@ MAX_LISTS = 8192
 PER_LIST = 48       # sampled vectors per list: the sample has at most 393,216
 COPIES = 4
 COPY_RATIO = 1.12   # a copy goes to centroids within this ratio of the nearest distance
-READ_RATIO = 1.35   # a query reads lists within this ratio
+READ_RATIO = 1.25   # a query reads lists within this ratio
 BEAM = 64           # lists that a graph search returns
+DIRECT = 1024       # up to so many centroids are compared at once, without a walk
 DEGREE = 24
 PART = 8192         # vectors of a part of a list
 SHARD = 8192        # vectors, copies counted, that one task searches
@@ -51,19 +52,18 @@ class Index:
     centroids: np.ndarray
     graph: np.ndarray
     norm: float
-    beam: int = BEAM
 
     def lift(self, vectors: np.ndarray) -> np.ndarray:
         spare = np.sqrt(np.maximum(self.norm ** 2 - (vectors ** 2).sum(1), 0))
         return np.concatenate([vectors, spare[:, None]], 1)
 
-    def search(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Nearest centroids of each point, nearest first, and their distances: a best-first walk."""
+    def search(self, points: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+        """The ``beam`` nearest centroids of each point and their distances: a best-first walk."""
         count, rows = len(self.centroids), len(points)
-        beam = min(self.beam, count)
+        beam = min(beam, count)
         square = (self.centroids ** 2).sum(1)
         length = (points ** 2).sum(1)
-        if count <= 2 * beam:  # all are as near as the start of a walk
+        if count <= DIRECT:
             far = np.maximum(length[:, None] + square - 2 * points @ self.centroids.T, 0)
             order = np.argsort(far, axis=1, kind="stable")[:, :beam]
             return order, np.sqrt(np.take_along_axis(far, order, 1))
@@ -167,7 +167,7 @@ def nearest(
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                lists, far = index.search(index.lift(_matrix(part["vector"])))
+                lists, far = index.search(index.lift(_matrix(part["vector"])), 4 * COPIES)
                 lists, far = lists[:, :COPIES], far[:, :COPIES]
                 kept = far <= COPY_RATIO * far[:, :1]
                 own = [row[ok].tolist() for row, ok in zip(lists, kept, strict=True)]
@@ -179,13 +179,12 @@ def nearest(
     for r in assigned.select(F.explode("lists").alias("list")).groupBy("list").count().collect():  # at most MAX_LISTS
         sizes[r["list"]] = r["count"]
     parts = np.maximum(1, -(-sizes // PART))
-    first_part = np.append(0, np.cumsum(parts))
-    shards = int(max(1, sizes.sum() // SHARD))
+    first_part, shard = _layout(index.centroids, sizes, parts)
 
     postings = assigned.mapInArrow(
-        lambda batches: _postings(batches, parts, first_part, shards), "shard int, unit int, vec_id long, vector array<double>")
+        lambda batches: _postings(batches, parts, first_part, shard), "shard int, unit int, vec_id long, vector array<double>")
     asked = held.filter(queries).mapInArrow(
-        lambda batches: _asked(batches, index, sizes, parts, first_part, shards, k),
+        lambda batches: _asked(batches, index, sizes, parts, first_part, shard, k),
         "shard int, query_id long, query array<double>, units array<int>")
     best = asked.groupBy("shard").cogroup(postings.groupBy("shard")).applyInArrow(
         lambda key, q, p: _best(q, p, k), "query_id long, vec_id long, score double")
@@ -194,11 +193,23 @@ def nearest(
     return distinct.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _shard_of(unit: np.ndarray, shards: int) -> np.ndarray:
-    return (unit.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % shards
+def _layout(centroids: np.ndarray, sizes: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first unit (part of a list) of each list, and the shard of each unit.
+
+    Units are numbered so that near centroids follow each other, and shards take
+    units in this order up to SHARD vectors: a query's lists are in few shards.
+    """
+    groups = balanced_means(centroids, max(1, int(np.sqrt(len(centroids)))), 4)
+    far = (groups ** 2).sum(1) - 2 * centroids @ groups.T
+    along = groups @ np.linalg.svd(groups - groups.mean(0), full_matrices=False)[2][0]
+    order = np.lexsort((far.min(1), along[far.argmin(1)]))
+    first = np.empty(len(sizes), np.int64)
+    first[order] = np.cumsum(parts[order]) - parts[order]
+    each = np.repeat((sizes / parts)[order], parts[order])
+    return first, ((np.cumsum(each) - each) // SHARD).astype(np.int64)
 
 
-def _postings(batches, parts, first_part, shards):
+def _postings(batches, parts, first_part, shard):
     for batch in batches:
         lists = batch["lists"]
         count = np.diff(lists.offsets.to_numpy())
@@ -209,11 +220,11 @@ def _postings(batches, parts, first_part, shards):
         unit = first_part[flat] + spread % parts[flat]
         at = pa.array(owner)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(_shard_of(unit, shards), pa.int32()), pa.array(unit, pa.int32()), batch["vec_id"].take(at), batch["vector"].take(at)],
+            [pa.array(shard[unit], pa.int32()), pa.array(unit, pa.int32()), batch["vec_id"].take(at), batch["vector"].take(at)],
             ["shard", "unit", "vec_id", "vector"])
 
 
-def _asked(batches, index, sizes, parts, first_part, shards, k):
+def _asked(batches, index, sizes, parts, first_part, shard, k):
     """For each query and shard the units (parts of lists) to read there."""
     enough = COPIES * (k + 1)
     for batch in batches:
@@ -229,12 +240,12 @@ def _asked(batches, index, sizes, parts, first_part, shards, k):
                 chosen = chosen[read]
                 if sizes[chosen].sum() < enough:  # too few lists in the beam: take all
                     chosen = np.arange(len(sizes))
-                units = np.concatenate([np.arange(first_part[c], first_part[c + 1]) for c in chosen])
-                shard = _shard_of(units, shards)
-                for s in np.unique(shard):
+                units = np.concatenate([np.arange(first_part[c], first_part[c] + parts[c]) for c in chosen])
+                held = shard[units]
+                for s in np.unique(held):
                     rows["shard"].append(int(s))
                     rows["row"].append(i)
-                    rows["units"].append(units[shard == s].tolist())
+                    rows["units"].append(units[held == s].tolist())
             at_row = pa.array(rows["row"], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows["shard"], pa.int32()), part["vec_id"].take(at_row), part["vector"].take(at_row), pa.array(rows["units"], pa.list_(pa.int32()))],
