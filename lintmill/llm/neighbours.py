@@ -42,7 +42,7 @@ BEAM = 64           # lists that a graph search returns
 DIRECT = 1024       # up to so many centroids are compared at once, without a walk
 DEGREE = 24
 PART = 8192         # vectors of a part of a list
-SHARD = 8192        # vectors, copies counted, that one task searches
+SHARD = 32_768      # vectors, copies counted, that one task searches
 
 
 @dataclass
