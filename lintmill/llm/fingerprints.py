@@ -101,30 +101,26 @@ def with_next_text(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     """Documents (id, text, tree ...) with the text and fingerprint of the next one by falling id.
 
     Ids are dealt to places, neighbours to the same; within a place the next is
-    the next row, and the last row of a place looks up the first of the place below.
+    the next row, and the last row of a place takes the first of the place below.
     """
     held = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     held = held.withColumn("place", _place(held, "id")).withColumn("h", F.xxhash64("text"))
     below = _places_below(held)
 
-    order = [F.desc_nulls_last("id"), F.asc("h")]
-    within = Window.partitionBy("place").orderBy(*order)
-    described = held.repartition("place").withColumn("tree", tree(F.col("text"))).select(
+    within = Window.partitionBy("place").orderBy(F.desc_nulls_last("id"), F.asc("h"))
+    dealt = held.repartition("place")  # the one exchange of texts; all below keeps to it
+    described = dealt.withColumn("tree", tree(F.col("text"))).select(
         "*", fingerprint(F.col("tree")).alias("fingerprint"), piece_set(F.col("tree")).alias("pieces")
     ).drop("tree")
-    following = F.lead(F.struct("text", "fingerprint", "pieces")).over(within)
-    chained = described.withColumn("following", following)
-
-    heads = held.groupBy("place").agg(F.max(F.struct(F.col("id").isNotNull().alias("known"), "id", (-F.col("h").cast("decimal(20,0)")).alias("h"))).alias("top"))
-    heads = heads.join(below, F.col("place") == F.col("next_place")).select(
-        F.col("this").alias("above"), F.col("place").alias("at"), F.col("top.id").alias("top_id"), (-F.col("top.h")).cast("long").alias("top_h"))
-    first = held.join(heads, (F.col("place") == F.col("at")) & F.col("id").eqNullSafe(F.col("top_id")) & (F.col("h") == F.col("top_h")))
-    first = first.withColumn("tree", tree(F.col("text"))).groupBy("above").agg(F.first(F.struct(
-        "text", fingerprint(F.col("tree")).alias("fingerprint"), piece_set(F.col("tree")).alias("pieces"))).alias("head"))
-    last = F.col("following").isNull()
-    joined = chained.withColumn("above_key", F.when(last, F.col("place"))).join(
-        first, F.col("above_key") == F.col("above"), "left")
-    return joined.withColumn("following", F.coalesce("following", "head")).drop("head", "above", "above_key", "h", "place")
+    chained = described.withColumn("following", F.lead(F.struct("text", "fingerprint", "pieces")).over(within))
+
+    heads = dealt.withColumn("rank", F.row_number().over(within)).filter("rank = 1").select(
+        F.col("place").alias("at"), "text", tree(F.col("text")).alias("tree"))
+    heads = heads.join(below, F.col("at") == F.col("next_place")).select(
+        F.col("this").alias("above"),
+        F.struct("text", fingerprint(F.col("tree")).alias("fingerprint"), piece_set(F.col("tree")).alias("pieces")).alias("head"))
+    joined = chained.join(heads, F.col("place") == F.col("above"), "left")
+    return joined.withColumn("following", F.coalesce("following", "head")).drop("head", "above", "h", "place")
 
 
 def _places_below(held: DataFrame) -> DataFrame:
