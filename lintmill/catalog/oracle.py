@@ -457,8 +457,9 @@ _BODIES = {
       0 AS column_number, '' AS issue_type, '' AS code_snippet, '' AS suggested_fix, '' AS category FROM issues""",
     "sev_counts": "SELECT file_path, severity, count(*) AS findings FROM issues GROUP BY ALL",
     "cat_counts": "SELECT file_path, category, count(*) AS findings FROM issues GROUP BY ALL",
-    "findings_nested": """SELECT file_path, CAST(floor(seq / 1000) AS BIGINT) AS chunk, CAST(count(*) AS INT) AS findings,
-      string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) AS seqs FROM issues GROUP BY 1, 2""",
+    "findings_nested": """SELECT file_path, CAST(floor(place / 1000) AS BIGINT) AS chunk, CAST(count(*) AS INT) AS findings,
+      string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) AS seqs
+      FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY seq) - 1 AS place FROM issues) GROUP BY 1, 2""",
     "top3_by_category": _summary,
     "top3_plan": _plan_text,
     "latest_analysis": """SELECT file_path, run, findings, errors FROM history
@@ -504,7 +505,7 @@ _BODIES = {
     "first_match_line": """SELECT proactive, finding_seq, path, line_number, min(line_no) AS first_line FROM (
       SELECT m.proactive, m.finding_seq, m.file_path AS path, m.line_number, c.line_no FROM mods m JOIN code c
       ON c.path = m.file_path AND contains(c.line, m.original_code)) GROUP BY ALL""",
-    "mods_by_file": "SELECT file_path, proactive, finding_seq, cell_index, line_number, modified_code FROM mods WHERE kind = 'notebook'",
+    "mods_by_file": "SELECT file_path, proactive, finding_seq, cell_index, line_number, modified_code FROM mods",
     "rw_spark": _ruled(rw_spark("x")),
     "rw_sql": _ruled(rw_sql("x")),
     "rw_sql_safe": _ruled(rw_sql_safe("x")),

@@ -408,7 +408,7 @@ def first_match_line(spark, sf):
 @query
 def mods_by_file(spark, sf):
     run = _run(spark, sf)
-    picked = run.files.filter("file_type = 'notebook'").select(F.col("path").alias("file_path"))
+    picked = run.files.select(F.col("path").alias("file_path"))
     return _flat(run.modifications.join(picked, "file_path", "left_semi")).select(
         "file_path", "proactive", "finding_seq", "cell_index", "line_number", "modified_code"
     )
@@ -583,7 +583,7 @@ def conversions(spark, sf):
 @query
 def converted_content(spark, sf):
     run = _python_run(spark, sf)
-    return apply.converted_lines(run.files, apply.apply_at_position(_code(spark, sf), run.modifications))
+    return apply.converted_lines(run.files, apply.apply_at_position(_code(spark, sf), run.modifications)).drop("path")
 
 
 @query
@@ -707,8 +707,10 @@ def riskiest_files(spark, sf):
 
 def _event_stream(spark, sf) -> DataFrame:
     schema = views.table(spark, sf, "events").schema
-    # A pattern, since the table may be one file or a folder of files.
-    return spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    reader = spark.readStream.schema(schema)
+    if any(f.endswith("/events.parquet") for f in spark.read.parquet(f"{sf}/events.parquet").inputFiles()):
+        return reader.option("pathGlobFilter", "events.parquet").parquet(sf)  # the table is one file
+    return reader.parquet(f"{sf}/events.parquet")
 
 
 def _log_stream(spark, sf) -> DataFrame:

@@ -213,7 +213,7 @@ def converted_name():
 def converted_lines(files: DataFrame, applied: DataFrame) -> DataFrame:
     """Lines of converted Python files: the header (part 0), then the body (part 1).
 
-    Only files with a changed line are converted.
+    Only files with a changed line are converted. ``path`` tells files of one name apart.
     """
     changed = (
         applied.filter("applied").select("path").distinct()
@@ -221,30 +221,36 @@ def converted_lines(files: DataFrame, applied: DataFrame) -> DataFrame:
         .select("path", converted_name().alias("converted_path"))
     )
     header = changed.select(
-        "converted_path", F.lit(0).alias("part"),
+        "path", "converted_path", F.lit(0).alias("part"),
         F.posexplode(strings(V.PYTHON_HEADER)).alias("line_no", "line"),
     )
-    body = applied.join(changed, "path").select("converted_path", F.lit(1).alias("part"), "line_no", "line")
+    body = applied.join(changed, "path").select("path", "converted_path", F.lit(1).alias("part"), "line_no", "line")
     return header.unionByName(body)
 
 
 def converted_cells(cells: DataFrame, applied: DataFrame) -> DataFrame:
     """Cells of converted notebooks, a markdown cell put in front.
 
-    ``applied`` holds the applied lines of code cells. Cells are numbered anew.
+    ``applied`` holds the applied lines of code cells; a cell without a changed line
+    keeps its source. Cells are numbered anew. Where cells carry ``raw``, their JSON,
+    it goes along, with ``changed`` telling whether ``source`` replaces its source.
     """
     changed = applied.filter("applied").select("path").distinct()
     rebuilt = applied.groupBy("path", "cell_index").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda l: l["line"]).alias("_source")
-    )
+        F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda l: l["line"]).alias("_source"),
+        F.max("applied").alias("_any"),
+    ).filter("_any")
+    raw = [c for c in ("raw",) if c in cells.columns]
     body = (
         cells.join(changed, "path", "left_semi").join(rebuilt, ["path", "cell_index"], "left")
         .select("path", (F.col("cell_index") + 1).alias("cell_index"), "cell_type",
-                F.coalesce("_source", "source").alias("source"))
+                F.coalesce("_source", "source").alias("source"),
+                *raw, *[F.col("_source").isNotNull().alias("changed") for _ in raw])
     )
     front = changed.select(
         "path", F.lit(0).alias("cell_index"), F.lit("markdown").alias("cell_type"),
         strings(V.NOTEBOOK_HEADER).alias("source"),
+        *[F.lit(None).cast("string").alias(c) for c in raw], *[F.lit(True).alias("changed") for _ in raw],
     )
     return front.unionByName(body)
 

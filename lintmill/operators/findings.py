@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lintmill import fixed_values as V
 from lintmill.functions import classify, scoring
 from lintmill.functions.text import has, strip
-from lintmill.operators.skew import chunk_of, first_rows
+from lintmill.operators.skew import first_rows, running_total
 
 
 def admitted(raw: Column) -> Column:
@@ -136,12 +136,13 @@ def analyse_files(files: DataFrame, file_totals: DataFrame) -> DataFrame:
 def findings_arrays(findings: DataFrame, size: int = 1000) -> DataFrame:
     """Findings nested per file, at most ``size`` per row, in input order.
 
-    A file with many findings gives several rows, numbered by ``chunk``.
+    A file with many findings gives several rows, numbered by ``chunk``; findings
+    are counted within their file.
     """
-    chunk = chunk_of(F.col("seq"), findings.schema["seq"].dataType, size)
     fields = [c for c in findings.columns if c != "file_path"]
+    counted = running_total(findings.withColumn("_one", F.lit(1)), ["file_path"], "seq", "_one", "_earlier")
     return (
-        findings.groupBy("file_path", chunk.alias("chunk"))
+        counted.groupBy("file_path", F.floor(F.col("_earlier") / size).alias("chunk"))
         .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("findings"))
     )
 

@@ -54,7 +54,11 @@ def listing(lineage: DataFrame) -> DataFrame:
 
 
 def options(lineage: DataFrame) -> DataFrame:
-    """Distinct files and tables to choose from: (kind, id)."""
+    """Distinct files and tables to choose from, sorted: (kind, id)."""
+    return _ends(lineage).orderBy("kind", "id")
+
+
+def _ends(lineage: DataFrame) -> DataFrame:
     return lineage.select(F.explode(F.array(
         F.struct(F.lit("file").alias("kind"), F.col("file").alias("id")),
         F.struct(F.lit("table").alias("kind"), F.col("table").alias("id")),
@@ -63,7 +67,7 @@ def options(lineage: DataFrame) -> DataFrame:
 
 def nodes(lineage: DataFrame) -> DataFrame:
     color = F.when(F.col("kind") == "file", V.FILE_NODE_COLOR).otherwise(V.TABLE_NODE_COLOR)
-    return options(lineage).withColumn("color", color)
+    return _ends(lineage).withColumn("color", color)
 
 
 def graph_edges(lineage: DataFrame) -> DataFrame:

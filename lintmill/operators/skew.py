@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HOT_ROWS = 1_000_000  # rows of one key that one task may take in a join
-MAX_HOT = 100_000     # hot keys that are cut into parts
 CHUNK = 65_536        # rows of one key that one window group may hold
 SALTS = 16
 
@@ -37,12 +36,11 @@ def spread_join(
     ``counts`` tells the rows per key of ``big`` (columns: keys and ``n``). Keys
     above ``hot_rows`` are cut into as many parts as needed, and only their rows
     in ``other`` are repeated, so every task sees a bounded share of ``big``.
-    The list of hot keys is broadcast: it ends at the MAX_HOT hottest, keys
-    beyond them are joined whole. ``spread_by`` varies within a key.
+    Spark decides how to join the list of hot keys, which has at most one entry
+    for every ``hot_rows`` rows. ``spread_by`` varies within a key.
     """
-    hot = F.broadcast(
-        counts.filter(F.col("n") > hot_rows).orderBy(F.desc("n"), *keys).limit(MAX_HOT)
-        .select(*keys, F.ceil(F.col("n") / hot_rows).cast("int").alias("_parts"))
+    hot = counts.filter(F.col("n") > hot_rows).select(
+        *keys, F.ceil(F.col("n") / hot_rows).cast("int").alias("_parts")
     )
     parts = F.coalesce("_parts", F.lit(1))
     left = big.join(hot, keys, "left").withColumn(

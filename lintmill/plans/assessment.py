@@ -85,9 +85,9 @@ class Assessment:
         kind = self.findings.schema["seq"].dataType
         return materialize(driven.unionByName(modify.proactive(self.source, kind)), "modifications")
 
-    @property
+    @cached_property
     def checked(self) -> DataFrame:
-        return validate.check(self.modifications, parse=self.parse)
+        return materialize(validate.check(self.modifications, parse=self.parse), "checked")
 
     @property
     def issues(self) -> DataFrame:

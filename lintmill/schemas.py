@@ -10,7 +10,7 @@ def _fields(spec):
 _S, _I, _L = T.StringType(), T.IntegerType(), T.LongType()
 _AS = T.ArrayType(_S)
 
-CELL = _fields([("cell_type", _S), ("source", _AS)])
+CELL = _fields([("cell_type", _S), ("source", _AS), ("raw", _S)])  # raw: the cell as JSON
 
 FILE = _fields([
     ("filename", _S), ("path", _S), ("content", _S), ("lines", _AS),

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import logging
+import os
+import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +22,16 @@ from pyspark.sql import types as T
 from lintmill import schemas
 from lintmill.functions.text import base_name, clean_utf8, is_code, split_lines, universal_newlines
 from lintmill.operators.findings import parse_findings
+from lintmill.session import materialize
 
 log = logging.getLogger(__name__)
 
-_RAW = T.StructType([T.StructField("path", T.StringType()), T.StructField("content", T.StringType())])
+READ_BYTES = 128 << 20  # of whole files, for one task
+_MEMBER = "path string, content string, reason string"
+_NOTEBOOK = T.StructType([
+    T.StructField("cells", T.ArrayType(T.StringType())),
+    T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
+])
 
 
 def _plain_path(path: Column) -> Column:
@@ -37,11 +49,78 @@ def _load(spark: SparkSession, path: str, fmt: str, **options) -> DataFrame | No
         return None
 
 
-def _whole_files(spark: SparkSession, path: str, pattern: str, recursive: bool = False) -> DataFrame | None:
-    raw = _load(
-        spark, path, "binaryFile", pathGlobFilter=pattern, recursiveFileLookup=str(recursive).lower()
-    )
-    return None if raw is None else raw.select(_plain_path(F.col("path")).alias("path"), "content")
+def _file_system(path: str) -> tuple[fs.FileSystem, str, str]:
+    """File system of a path, what stands before its own paths, and the path in it."""
+    path = re.sub(r"^file:/+", "/", path)
+    path = path.rstrip("/") or "/"
+    if "://" not in path:
+        return fs.LocalFileSystem(), "", os.path.abspath(path)
+    system, inner = fs.FileSystem.from_uri(path)
+    return system, path[:len(path) - len(inner)], inner
+
+
+def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for folder in batch["path"].to_pylist():
+            system, prefix, inner = _file_system(folder)
+            found = [i for i in system.get_file_info(fs.FileSelector(inner)) if i.type != fs.FileType.NotFound]
+            yield pa.RecordBatch.from_pydict({
+                "path": pa.array([prefix + i.path for i in found], pa.string()),
+                "folder": pa.array([i.type == fs.FileType.Directory for i in found], pa.bool_()),
+                "length": pa.array([i.size or 0 for i in found], pa.int64()),
+            })
+
+
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch["path"].to_pylist():
+            system, _, inner = _file_system(path)
+            with system.open_input_stream(inner, compression=None) as opened:
+                yield pa.RecordBatch.from_pydict({"path": [path], "content": pa.array([opened.read()], pa.binary())})
+
+
+def _listing(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame | None:
+    """Files (path, length) of a folder, whatever their names; None (and a logged error) if it is missing.
+
+    Spark's own listing hides names that start with ``_`` or ``.``, so folders are
+    listed in tasks, a job for each level. Patterns and stores that Arrow does not
+    know are left to Spark's listing, which is logged.
+    """
+    try:
+        system, prefix, inner = _file_system(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        system = None
+    if system is None or (set(path) & set("*?[{") and system.get_file_info(inner).type == fs.FileType.NotFound):
+        log.warning("listed by Spark, without names that start with _ or '.': %s", path)
+        listed = _load(spark, path, "binaryFile", recursiveFileLookup=str(recursive).lower())
+        return None if listed is None else listed.select(_plain_path(F.col("path")).alias("path"), "length")
+    info = system.get_file_info(inner)
+    if info.type == fs.FileType.NotFound:
+        log.error("input not found: %s", path)
+        return None
+    if info.type == fs.FileType.File:
+        return spark.createDataFrame([(prefix + inner, info.size)], "path string, length long")
+    folders, levels = spark.createDataFrame([(prefix + inner,)], "path string"), []
+    while True:
+        level = materialize(folders.mapInArrow(_list_folders, "path string, folder boolean, length long"), "listing")
+        levels.append(level.filter("not folder").select("path", "length"))
+        folders = level.filter("folder").select("path")
+        if not recursive or folders.isEmpty():
+            return functools.reduce(DataFrame.union, levels)
+        folders = folders.repartition(spark.sparkContext.defaultParallelism, "path")
+
+
+def _contents(listed: DataFrame) -> DataFrame:
+    """Whole files (path, content), read in about READ_BYTES a task."""
+    spark = listed.sparkSession
+    size = listed.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // READ_BYTES))
+    return listed.select("path").repartition(tasks, "path").mapInArrow(_read_files, "path string, content binary")
+
+
+def _whole_files(spark: SparkSession, path: str, extension: str, recursive: bool = False) -> DataFrame | None:
+    listed = _listing(spark, path, recursive)
+    return None if listed is None else _contents(listed.filter(F.col("path").endswith(extension)))
 
 
 def _as_python_files(raw: DataFrame) -> DataFrame:
@@ -56,7 +135,7 @@ def _as_python_files(raw: DataFrame) -> DataFrame:
 
 def scan_python(spark: SparkSession, path: str) -> DataFrame:
     """The ``*.py`` files of one folder; files that are not UTF-8 are skipped."""
-    raw = _whole_files(spark, path, "*.py")
+    raw = _whole_files(spark, path, ".py")
     if raw is None:
         return spark.createDataFrame([], schemas.FILE)
     text = F.col("content").cast("string")
@@ -67,7 +146,7 @@ def scan_python(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_tree(spark: SparkSession, path: str) -> DataFrame:
     """All ``*.py`` files below a folder; invalid bytes are dropped."""
-    raw = _whole_files(spark, path, "*.py", recursive=True)
+    raw = _whole_files(spark, path, ".py", recursive=True)
     if raw is None:
         return spark.createDataFrame([], schemas.FILE)
     return _as_python_files(
@@ -75,22 +154,52 @@ def scan_tree(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Members of archives; what cannot be opened is a row with the reason."""
+    def row(path: str, content: str | None, reason: str | None) -> pd.DataFrame:
+        return pd.DataFrame({"path": [path], "content": [content], "reason": [reason]}, dtype=object)
+
+    for batch in batches:
+        for archive, content in zip(batch["path"], batch["content"]):
+            try:
+                opened = zipfile.ZipFile(io.BytesIO(content))
+            except zipfile.BadZipFile as error:
+                yield row(archive, None, f"not an archive: {error}")
+                continue
+            with opened:
+                for info in opened.infolist():
+                    if info.is_dir() or not info.filename.endswith(".py"):
+                        continue
+                    path = f"{archive}!/{info.filename}"
+                    try:
+                        text = opened.read(info).decode("utf-8", errors="ignore")
+                    except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError) as error:
+                        yield row(path, None, f"cannot be unpacked: {error}")
+                    else:
+                        yield row(path, text, None)
+
+
+def skipped_inputs(spark: SparkSession, path: str) -> DataFrame:
+    """What the scans of a folder leave out, and why: (path, reason)."""
+    listed = _listing(spark, path)
+    if listed is None:
+        return spark.createDataFrame([], "path string, reason string")
+    of = lambda extension: _contents(listed.filter(F.col("path").endswith(extension)))
+    text = F.col("content").cast("string")
+    parsed = F.from_json(text, _NOTEBOOK, {"mode": "PERMISSIVE"}).isNotNull() & F.get_json_object(text, "$").isNotNull()
+    unread = F.when(~F.is_valid_utf8(text), "not UTF-8")
+    found = of(".py").select("path", unread.alias("reason")).union(
+        of(".ipynb").select("path", unread.when(~parsed, "not a notebook").alias("reason"))
+    ).union(of(".zip").mapInPandas(_members, _MEMBER).select("path", "reason"))
+    return found.filter("reason is not null")
+
+
 def scan_archive(spark: SparkSession, path: str) -> DataFrame:
     """The ``.py`` members of zip archives; archives are opened in parallel."""
-    raw = _whole_files(spark, path, "*.zip")
+    raw = _whole_files(spark, path, ".zip")
     if raw is None:
         return spark.createDataFrame([], schemas.FILE)
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for archive, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as opened:
-                    for info in opened.infolist():
-                        if not info.is_dir() and info.filename.endswith(".py"):
-                            text = opened.read(info).decode("utf-8", errors="ignore")
-                            yield pd.DataFrame({"path": [f"{archive}!/{info.filename}"], "content": [text]})
-
-    found = raw.mapInPandas(members, _RAW)
+    found = raw.mapInPandas(_members, _MEMBER).filter("reason is null")
     return _as_python_files(found.select("path", universal_newlines(F.col("content")).alias("content")))
 
 
@@ -108,16 +217,13 @@ def normal_source(cell: Column) -> Column:
 def parse_notebooks(raw: DataFrame) -> DataFrame:
     """Notebook JSON texts ``(path, content)`` to notebook rows; broken ones drop out."""
     # source may be text or a list, so it is first read as the JSON text it is.
-    outer = T.StructType([
-        T.StructField("cells", T.ArrayType(T.StringType())),
-        T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
-    ])
     cells = F.transform("_nb.cells", lambda c: F.struct(
         F.get_json_object(c, "$.cell_type").alias("cell_type"),
         normal_source(c).alias("source"),
+        c.alias("raw"),
     ))
     return (
-        raw.withColumn("_nb", F.from_json("content", outer, {"mode": "PERMISSIVE"}))
+        raw.withColumn("_nb", F.from_json("content", _NOTEBOOK, {"mode": "PERMISSIVE"}))
         .filter(F.get_json_object("content", "$").isNotNull() & F.col("_nb").isNotNull())
         .withColumn("cells", F.coalesce(cells, F.array().cast(T.ArrayType(schemas.CELL))))
         .select(
@@ -132,7 +238,7 @@ def parse_notebooks(raw: DataFrame) -> DataFrame:
 
 def scan_notebooks(spark: SparkSession, path: str) -> DataFrame:
     """The ``*.ipynb`` files of one folder."""
-    raw = _whole_files(spark, path, "*.ipynb")
+    raw = _whole_files(spark, path, ".ipynb")
     if raw is None:
         return spark.createDataFrame([], schemas.NOTEBOOK)
     text = F.col("content").cast("string")
@@ -140,9 +246,9 @@ def scan_notebooks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def notebook_cells(notebooks: DataFrame) -> DataFrame:
-    """One row per cell: (path, cell_index, cell_type, source)."""
+    """One row per cell: (path, cell_index, cell_type, source, raw)."""
     return notebooks.select("path", F.posexplode("cells").alias("cell_index", "_c")).select(
-        "path", "cell_index", "_c.cell_type", "_c.source"
+        "path", "cell_index", "_c.cell_type", "_c.source", "_c.raw"
     )
 
 
@@ -155,10 +261,10 @@ def file_lines(files: DataFrame) -> DataFrame:
 
 def entries(spark: SparkSession, path: str, n: int = 50) -> DataFrame:
     """The first ``n`` files of a folder by name, for display."""
-    listed = _load(spark, path, "binaryFile")
+    listed = _listing(spark, path)
     if listed is None:
         return spark.createDataFrame([], "path string, length long")
-    return listed.select(_plain_path(F.col("path")).alias("path"), "length").orderBy("path").limit(n)
+    return listed.orderBy("path").limit(n)
 
 
 def preview(files: DataFrame, n: int = 20) -> DataFrame:
@@ -181,11 +287,23 @@ def log_position() -> Column:
 
 
 def scan_lint(spark: SparkSession, path: str) -> DataFrame:
-    """Lint logs to findings. Logs are splittable; ``seq`` keeps the input order."""
+    """Lint logs to findings; ``seq`` keeps the input order.
+
+    Logs are splittable, but for those whose names Spark's listing hides
+    (``_...`` and ``....``): these are read whole.
+    """
     raw = _load(spark, path, "text")
     if raw is None:
         return spark.createDataFrame([], schemas.FINDING)
-    return parse_findings(raw.select(log_position().alias("seq"), F.col("value").alias("raw")))
+    log_lines = raw.select(log_position().alias("seq"), F.col("value").alias("raw"))
+    hidden = _listing(spark, path).filter(base_name(F.col("path")).rlike(r"^[_.]"))
+    if not hidden.isEmpty():
+        source = F.when(F.col("path").startswith("/"), F.concat(F.lit("file://"), "path")).otherwise(F.col("path"))
+        lines = split_lines(universal_newlines(clean_utf8(F.col("content"))))
+        rows = _contents(hidden).select(source.alias("source"), F.posexplode(lines).alias("row", "raw"))
+        log_lines = log_lines.union(rows.select(
+            F.struct("source", F.lit(0).cast("long").alias("block"), F.col("row").cast("long").alias("row")), "raw"))
+    return parse_findings(log_lines)
 
 
 def preflight(spark: SparkSession, folder: str, lint_path: str, pattern: str = "*.py") -> DataFrame:

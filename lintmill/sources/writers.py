@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lintmill.functions.text import base_name, strings
+from lintmill.operators.apply import converted_name
 
 
 def write_json(tables: dict[str, DataFrame], root: str) -> None:
@@ -16,16 +22,28 @@ def write_json(tables: dict[str, DataFrame], root: str) -> None:
         df.withColumn("written_at", F.current_timestamp()).write.mode("overwrite").json(f"{root}/{name}")
 
 
-def write_lines(converted: DataFrame, root: str) -> None:
-    """Converted lines (converted_path, part, line_no, line) as a Parquet table."""
-    converted.write.mode("overwrite").parquet(f"{root}/converted_lines")
+def _with_target(converted: DataFrame, name: Column, root: str | None) -> DataFrame:
+    """Adds ``target``: the folder of ``path`` below ``root``, and the name.
+
+    ``root`` is the folder all paths share where none is given. Steps up
+    ("..", as archives may hold) are not followed.
+    """
+    folder = F.regexp_replace("path", "[^/]*$", "")
+    if root is None:
+        ends = [e or "" for e in converted.agg(F.min(folder), F.max(folder)).first()]
+        root = os.path.commonprefix(ends).rpartition("/")[0]
+    root = root.rstrip("/") + "/"
+    below = F.when(folder.startswith(root), F.substr(folder, F.lit(len(root) + 1))).otherwise(folder)
+    below = F.regexp_replace(F.regexp_replace(below, r"(?<![^/])\.\.(?![^/])", "_"), "^/+", "")
+    return converted.withColumn("target", F.concat(below, name))
 
 
-def write_loose_files(converted: DataFrame, folder: str) -> None:
+def write_loose_files(converted: DataFrame, folder: str, root: str | None = None) -> None:
     """Converted lines as one text file each, in a folder all executors share.
 
-    Each file's lines are sorted by Spark and streamed to disk, never gathered
-    in memory. A file appears under its name only when complete, so a task that
+    Files keep their place below ``root``, the folder they were read from. Each
+    file's lines are sorted by Spark and streamed to disk, never gathered in
+    memory. A file appears under its name only when complete, so a task that
     runs twice does no harm.
     """
     def write(rows: Iterator[Row]) -> None:
@@ -37,9 +55,9 @@ def write_loose_files(converted: DataFrame, folder: str) -> None:
                 os.replace(temporary, os.path.join(folder, current))
 
         for row in rows:
-            if row.converted_path != current:
+            if row.target != current:
                 close()
-                current = row.converted_path
+                current = row.target
                 target = os.path.join(folder, current)
                 os.makedirs(os.path.dirname(target), exist_ok=True)
                 temporary = f"{target}.{uuid.uuid4().hex}.tmp"
@@ -51,18 +69,48 @@ def write_loose_files(converted: DataFrame, folder: str) -> None:
 
     order = [c for c in ("part", "line_no", "sub") if c in converted.columns]
     (
-        converted.repartition("converted_path").sortWithinPartitions("converted_path", *order)
-        .select("converted_path", "line").foreachPartition(write)
+        _with_target(converted, F.col("converted_path"), root).repartition("path")
+        .sortWithinPartitions("path", *order).select("target", "line").foreachPartition(write)
     )
 
 
+def write_notebooks(texts: DataFrame, folder: str, root: str | None = None) -> None:
+    """Notebook texts (path, content) as ``.ipynb`` files, placed like loose files."""
+    named = texts.select("path", F.lit(0).alias("line_no"), F.col("content").alias("line"),
+                         base_name(F.col("path")).alias("filename"), F.lit("notebook").alias("file_type"))
+    write_loose_files(named.withColumn("converted_path", converted_name()), folder, root)
+
+
+@F.pandas_udf(T.StringType())
+def _with_source(raw: pd.Series, source: pd.Series) -> pd.Series:
+    """A cell's JSON with another source: text stays text, a list keeps its line ends."""
+    def put(text: str, lines) -> str:
+        cell = json.loads(text)
+        ended = [line if line.endswith("\n") else line + "\n" for line in lines]
+        if len(ended):
+            ended[-1] = lines[-1]
+        cell["source"] = "".join(ended) if isinstance(cell.get("source"), str) else ended
+        return json.dumps(cell, ensure_ascii=False)
+
+    return pd.Series([put(t, s) for t, s in zip(raw, source, strict=True)], dtype=object)
+
+
 def notebook_json(cells: DataFrame, metadata: DataFrame) -> DataFrame:
     """Cells (path, cell_index, cell_type, source) and metadata to JSON texts.
 
-    A notebook is one JSON value, so this gathers the cells of each notebook.
+    Cells that carry ``raw`` are kept whole, outputs and metadata included; where
+    ``changed`` says so their source is replaced. The notebook's format number is
+    taken from ``content`` if ``metadata`` has it. A notebook is one JSON value, so
+    this gathers the cells of each notebook.
     """
     fields = F.to_json(F.struct("cell_type", "source"))
     cell = F.concat(F.lit('{"metadata": {}, '), fields.substr(F.lit(2), F.length(fields)))
+    if "raw" in cells.columns:
+        cells = cells.withColumn("changed", F.col("changed") if "changed" in cells.columns else F.lit(False))
+        replaced = _with_source(F.coalesce("raw", F.lit("{}")), F.coalesce("source", strings([])))
+        cells = cells.filter("changed and raw is not null").withColumn("raw", replaced).unionByName(
+            cells.filter("not (changed and raw is not null)"))
+        cell = F.coalesce(F.col("raw"), cell)
     texts = cells.groupBy("path").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("cell_index", cell.alias("cell")))), lambda c: c["cell"]),
@@ -75,9 +123,12 @@ def notebook_json(cells: DataFrame, metadata: DataFrame) -> DataFrame:
         return F.concat(key.substr(F.lit(6), F.length(key) - 6), F.lit(": "), e["value"])
 
     entries = F.array_join(F.transform(F.map_entries("metadata"), entry), ", ")
+    number = lambda key: F.coalesce(
+        F.get_json_object("content", f"$.{key}") if "content" in metadata.columns else F.lit(None), F.lit("4"))
     return texts.join(metadata, "path").select(
         "path",
         F.concat(
-            F.lit('{"cells": ['), "_cells", F.lit('], "metadata": {'), entries, F.lit("}}")
+            F.lit('{"cells": ['), "_cells", F.lit('], "metadata": {'), entries, F.lit('}, "nbformat": '), number("nbformat"),
+            F.lit(', "nbformat_minor": '), number("nbformat_minor"), F.lit("}"),
         ).alias("content"),
     )

@@ -5,6 +5,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from lintmill import fixed_values as V
 from lintmill.functions.text import clean_utf8, strip
 from lintmill.operators import apply, lineage, reporting
 from lintmill.operators import findings as found
@@ -81,7 +82,7 @@ def test_notebooks(spark, tmp_path):
     text = writers.notebook_json(cells, meta).first().content
     back = json.loads(text)
     assert [c["cell_type"] for c in back["cells"]] == ["code", "markdown", "code", "code", "code"]
-    assert back["cells"][2]["source"] == ["x = 1", "y = [2]"]
+    assert back["cells"] == NOTEBOOK["cells"] and back["nbformat"] == 4
     assert back["metadata"]["kernelspec"] == {"name": "python3"} and back["metadata"]['odd "key"'] == 3
     assert back["metadata"]["unity_catalog_converted"] is True
 
@@ -96,6 +97,62 @@ other.py:1:1: WARNING and Error
 """
 
 
+def test_changed_cells_keep_the_rest(spark, tmp_path):
+    cells = [
+        {"cell_type": "code", "source": ["a\n", "b"], "outputs": [{"x": 1}], "execution_count": 3, "metadata": {"k": []}},
+        {"cell_type": "code", "source": "a\nb", "outputs": [], "metadata": {}},
+        {"cell_type": "markdown", "source": "a\nb", "metadata": {}},
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "_n.ipynb").write_text(json.dumps({"cells": cells, "metadata": {}, "nbformat": 4, "nbformat_minor": 5}))
+    books = readers.scan_notebooks(spark, str(tmp_path / "in"))
+    path = str(tmp_path / "in" / "_n.ipynb")
+    applied = spark.createDataFrame(
+        [(path, c, n, line, n == 0) for c in (0, 1) for n, line in enumerate(["new", "b"])],
+        "path string, cell_index int, line_no int, line string, applied boolean")
+    done = apply.converted_cells(readers.notebook_cells(books), applied)
+    writers.write_notebooks(writers.notebook_json(done, books.select("path", "metadata", "content")), str(tmp_path / "out"))
+    back = json.loads((tmp_path / "out" / "_n_unity_catalog.ipynb").read_text())
+    assert back["cells"][1:] == [{**cells[0], "source": ["new\n", "b"]}, {**cells[1], "source": "new\nb"}, cells[2]]
+    assert back["nbformat_minor"] == 5 and back["cells"][0]["cell_type"] == "markdown"
+
+
+def test_no_name_is_hidden(spark, tmp_path):
+    for name in ("a/utils.py", "a/__init__.py", "a/.h.py", "_lib/z.py", "b/utils.py"):
+        (tmp_path / "src" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "src" / name).write_text(f"# {name}\nx = 1")
+    tree = readers.scan_tree(spark, str(tmp_path / "src"))
+    assert sorted(r.path[len(str(tmp_path)) + 5:] for r in tree.collect()) == [
+        "_lib/z.py", "a/.h.py", "a/__init__.py", "a/utils.py", "b/utils.py"]
+    assert readers.scan_python(spark, str(tmp_path / "src" / "a")).count() == 3
+
+    (tmp_path / "logs").mkdir()
+    for name in ("_a.txt", "b.txt"):
+        (tmp_path / "logs" / name).write_text(f"{name}.py:1:2: error: one\n{name}.py:2:2: error: two\n")
+    found = readers.scan_lint(spark, str(tmp_path / "logs"))
+    assert [(r.file_path, r.line_number) for r in found.orderBy("seq").collect()] == [
+        ("_a.txt.py", 1), ("_a.txt.py", 2), ("b.txt.py", 1), ("b.txt.py", 2)]
+    assert readers.scan_lint(spark, str(tmp_path / "logs" / "_a.txt")).count() == 2
+
+    lines = readers.file_lines(tree).withColumn("applied", F.lit(True))
+    writers.write_loose_files(apply.converted_lines(tree, lines), str(tmp_path / "out"))
+    for name in ("a/utils", "b/utils"):
+        text = (tmp_path / "out" / f"{name}_unity_catalog.py").read_text().split("\n")
+        assert text == [*V.PYTHON_HEADER, f"# {name}.py", "x = 1"]
+
+
+def test_skipped_inputs(spark, tmp_path):
+    (tmp_path / "bad.py").write_bytes(b"\xff")
+    (tmp_path / "good.py").write_text("x")
+    (tmp_path / "bad.ipynb").write_text("{not json")
+    (tmp_path / "bad.zip").write_bytes(b"no")
+    with zipfile.ZipFile(tmp_path / "good.zip", "w") as z:
+        z.writestr("a.py", "x")
+    skipped = {r.path.split("/")[-1]: r.reason for r in readers.skipped_inputs(spark, str(tmp_path)).collect()}
+    assert skipped.keys() == {"bad.py", "bad.ipynb", "bad.zip"} and skipped["bad.ipynb"] == "not a notebook"
+    assert rows(readers.scan_archive(spark, str(tmp_path)), "filename") == [("a.py",)]
+
+
 def test_lint_log(spark, tmp_path):
     (tmp_path / "lint.txt").write_text(LOG)
     findings = readers.scan_lint(spark, str(tmp_path / "lint.txt"))
@@ -154,7 +211,8 @@ def test_whole_run_from_files(spark, tmp_path):
     converted = apply.converted_lines(run.files, applied)
     writers.write_loose_files(converted, str(tmp_path / "conv"))
     text = (tmp_path / "conv" / "etl_unity_catalog.py").read_text().split("\n")
-    assert len(text) == 15 + 4 and text[15] == "import os" and "main.default.t" in text[16]
+    header = len(V.PYTHON_HEADER)
+    assert len(text) == header + 4 and text[header] == "import os" and "main.default.t" in text[header + 1]
     assert [p.name for p in (tmp_path / "conv").iterdir()] == ["etl_unity_catalog.py"]
 
 
