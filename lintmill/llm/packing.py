@@ -42,8 +42,16 @@ PACKED = 1 << 62      # sequences of combinations and rests count from here
 _CHUNK = re.compile(r" ?[^\t\n\r ]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]")
 #: Texts with other spaces than these four are encoded whole.
 _ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
+#: Texts with none of these have single spaces, and one or two line breaks, between words.
+_RUNS = ("  ", " \n", "\n ", "\n\n\n", "\t", "\r", "\0")
 
 
+def _chunks(text: str) -> list[str]:
+    """What _CHUNK finds; plainly spaced texts are split without a pattern."""
+    if text[0] in " \n" or text[-1] in " \n" or any(r in text for r in _RUNS):
+        return _CHUNK.findall(text)
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace("\0\0", "\0").split("\0")
+
 
 class _Encoder:
     """Ids as packed bytes. Words are looked up once and then remembered."""
@@ -79,7 +87,7 @@ class _Encoder:
         ):
             if not group:
                 continue
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
             at = np.append(np.flatnonzero(opens[ids]), len(ids)) * self.kind.itemsize
             if len(at) != len(group) + 1:  # a word holds such a token itself
                 known.update(zip(group, self._ids(group), strict=True))
@@ -95,27 +103,29 @@ class _Encoder:
         out = [self.end] * len(texts)
         for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
             out[i] = ids + self.end
-        skipped, split = set(whole), {}
+        skipped, split, missing, wanted = set(whole), {}, {}, set()
+        known = self.known
         for i, text in enumerate(texts):
             if text and i not in skipped:
-                split[i] = _CHUNK.findall(text)
-        wanted = set().union(*split.values())
-        new = wanted.difference(self.known)
-        if self.old:  # words of the last generation that are still in use move to this one
-            kept = new.intersection(self.old)
-            self.known.update((w, self.old[w]) for w in kept)
-            new -= kept
-        known = self.known
+                words = _chunks(text)
+                split[i] = list(map(known.get, words))
+                missing[i] = [(k, words[k]) for k, ids in enumerate(split[i]) if ids is None]
+                wanted.update(w for _, w in missing[i])
+        # Words of the last generation that are still in use move to this one.
+        known.update({w: self.old[w] for w in wanted if w in self.old})
+        new = {w for w in wanted if w not in known}
         # A comma or full stop behind a letter is a token of its own.
         marked = [w for w in new if w[-1] in ",." and w[-2:-1].isascii() and w[-2:-1].isalpha()]
         new.difference_update(marked)
         bases = {w[:-1] for w in marked}
-        new |= {w for w in bases.difference(known) if w not in self.old}
-        known.update((w, self.old[w]) for w in bases.intersection(self.old))
+        known.update({w: self.old[w] for w in bases if w in self.old})
+        new |= {w for w in bases if w not in known}
         known.update(self._learn(list(new)))
         known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in marked)
-        for i, words in split.items():
-            out[i] = b"".join(map(known.__getitem__, words)) + self.end
+        for i, ids in split.items():
+            for k, w in missing[i]:
+                ids[k] = known[w]
+            out[i] = b"".join(ids) + self.end
         if len(known) > CACHED_WORDS:
             self.old, self.known = known, {}
         return out
