@@ -496,6 +496,12 @@ _BODIES = {
     "match_contains": "SELECT file_path, filename FROM pairs WHERE filename LIKE '%.py'",
     "match_basename": """SELECT i.file_path, f.filename FROM (SELECT DISTINCT file_path FROM issues) i
       JOIN pyfiles f ON regexp_extract(i.file_path, '[^/]*$') = f.filename""",
+    "match_path": """WITH placed AS (SELECT concat(d, filename) AS path FROM pyfiles, (VALUES ('lib/'), ('deep/src/x')) t(d)
+      UNION ALL SELECT concat('src/x', filename) FROM pyfiles WHERE filename LIKE '%0.py'),
+      meant AS (SELECT l.file_path, p.path, 2 * least(len(string_split(l.file_path, '/')), len(string_split(p.path, '/')))
+        + CAST(l.file_path = p.path AS INT) AS score FROM (SELECT DISTINCT file_path FROM issues) l JOIN placed p
+        ON l.file_path = p.path OR ends_with(p.path, concat('/', l.file_path)) OR ends_with(l.file_path, concat('/', p.path)))
+      SELECT file_path, path FROM meant QUALIFY score = max(score) OVER (PARTITION BY file_path)""",
     "file_basic": """SELECT path, cell_count, code_cell_count, findings, errors, warnings, complexity, effort_hours FROM fileanalysis""",
     "issue_line": "SELECT seq, path, line_number, line FROM located WHERE kind = 'python'",
     "cell_spans": "SELECT *, start_line + n_lines AS end_line FROM spans",

@@ -363,6 +363,17 @@ def match_basename(spark, sf):
     return matching.match_basename(_findings(spark, sf), python_files(_code(spark, sf)))
 
 
+@query
+def match_path(spark, sf):
+    """Findings and files of several folders: of some files there is a copy that the log names in full."""
+    names = python_files(_code(spark, sf)).select("filename")
+    files = names.select(F.explode(F.array(
+        F.concat(F.lit("lib/"), "filename"), F.concat(F.lit("deep/src/x"), "filename"),
+        F.when(F.col("filename").endswith("0.py"), F.concat(F.lit("src/x"), "filename")),
+    )).alias("path")).filter("path is not null")
+    return matching.match_path(_findings(spark, sf), files).withColumnRenamed("filename", "path")
+
+
 @query
 def file_basic(spark, sf):
     return _run_analysis(spark, sf).select(

@@ -72,6 +72,36 @@ def match_basename(paths: DataFrame, names: DataFrame) -> DataFrame:
     return _pairs(lint, names.select("filename").distinct())
 
 
+def _endings(path: Column) -> Column:
+    """A path and what is left of it below each of its folders."""
+    parts = F.split(path, "/")
+    whole = F.sequence(F.lit(1), F.size(parts))
+    return F.transform(whole, lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "/"))
+
+
+def match_path(paths: DataFrame, files: DataFrame) -> DataFrame:
+    """Pairs (file_path, filename) of lint paths and files, where ``filename`` is the file's whole path.
+
+    One of the two ends with the other, from a folder's edge on; a leading ``./`` of
+    the lint path does not count. Of several files, those that share most folders
+    with the lint path are meant, and an equal path before all others. For corpora
+    of several folders, where names such as ``utils.py`` occur in many of them. Each
+    side is cut only at its folders, so pairs grow with paths and files alone.
+    """
+    lint = paths.select("file_path").distinct().withColumn("_given", F.regexp_replace("file_path", r"^(\./)+", ""))
+    known = files.select(F.col("path").alias("filename")).distinct()
+    inner = lint.withColumn("filename", F.explode(_endings(F.col("_given")))).join(known, "filename")
+    outer = known.withColumn("_given", F.explode(_endings(F.col("filename")))).join(lint, "_given")
+    shared = F.least(F.size(F.split("_given", "/")), F.size(F.split("filename", "/")))
+    found = (
+        inner.select("file_path", "_given", "filename").union(outer.select("file_path", "_given", "filename"))
+        .filter("_given <> '' and filename <> ''").distinct()
+        .select("file_path", "filename", (2 * shared + (F.col("_given") == F.col("filename")).cast("int")).alias("_rank"))
+    )
+    best = found.groupBy("file_path").agg(F.max("_rank").alias("_rank"))
+    return found.join(best, ["file_path", "_rank"]).select("file_path", "filename")
+
+
 def _pairs(named: DataFrame, known: DataFrame) -> DataFrame:
     counts = _count(named, ["filename"])
     joined = spread_join(named, known, ["filename"], "file_path", counts)
@@ -85,7 +115,7 @@ def _count(df: DataFrame, keys: list[str]) -> DataFrame:
 def matched_files(pairs: DataFrame, files: DataFrame) -> DataFrame:
     """The files (path, filename) that some lint path means."""
     names = pairs.select("filename").distinct()
-    return salted_join(files.select("path", "filename"), names, ["filename"], "path")
+    return files.select("path", "filename").join(names, "filename", "left_semi")
 
 
 def totals_per_file(totals: DataFrame, pairs: DataFrame, files: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from lintmill.operators import findings as finding_ops
 from lintmill.session import materialize
 
 FILE_COLUMNS = ["path", "filename", "file_type", "cell_count", "code_cell_count"]
-MATCHERS = {"contains": matching.match_contains, "basename": matching.match_basename}
+MATCHERS = {"contains": matching.match_contains, "basename": matching.match_basename, "path": matching.match_path}
 
 
 class Assessment:
@@ -61,8 +61,9 @@ class Assessment:
 
     @cached_property
     def targets(self) -> DataFrame:
-        """The files that findings mean."""
-        return materialize(matching.matched_files(self.pairs, self.files), "targets")
+        """The files that findings mean, under the name that ``pairs`` gives them."""
+        named = self.files.withColumn("filename", F.col("path")) if self.match == "path" else self.files
+        return materialize(matching.matched_files(self.pairs, named), "targets")
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -107,23 +108,23 @@ class Assessment:
             self.files, self.analysis, self.plans, self.modifications, self.validations
         )
 
-    @cached_property
+    @property
     def statistics(self) -> DataFrame:
-        return materialize(
-            reporting.statistics(self.analysis, self.modifications, self.validations), "statistics"
-        )
+        return reporting.statistics(self.analysis, self.modifications, self.validations)
 
-    @cached_property
+    @property
     def risk(self) -> DataFrame:
-        return materialize(reporting.risk(self.plans, self.validations), "risk")
+        return reporting.risk(self.plans, self.validations)
 
-    @cached_property
+    @property
     def timeline(self) -> DataFrame:
-        return materialize(reporting.timeline(self.plans), "timeline")
+        return reporting.timeline(self.plans)
 
-    @property
+    @cached_property
     def final_report(self) -> DataFrame:
-        return reporting.final_report(self.statistics, self.plans, self.risk, self.timeline)
+        # one row each; read back, as a subquery cannot hold others
+        rows = {name: materialize(getattr(self, name), name) for name in ("statistics", "risk", "timeline")}
+        return reporting.final_report(rows["statistics"], self.plans, rows["risk"], rows["timeline"])
 
     @property
     def run_summary(self) -> DataFrame:

@@ -5,6 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from lintmill.operators import matching
+from lintmill.operators.findings import parse_findings
+from lintmill.plans.assessment import assess
 from tests.conftest import rows
 
 
@@ -28,6 +30,30 @@ def test_basename(spark):
     assert rows(matching.match_basename(left, right)) == [("order.py", "order.py"), ("src/order.py", "order.py")]
 
 
+def test_path(spark):
+    left = spark.createDataFrame(
+        [("./a/utils.py",), ("/repo/b/utils.py",), ("utils.py",), ("xutils.py",), ("c/utils.py",), ("",), ("a/",)], "file_path string")
+    right = spark.createDataFrame([("a/utils.py",), ("b/utils.py",), ("deep/a/utils.py",), ("main.py",), ("",)], "path string")
+    assert rows(matching.match_path(left, right)) == [
+        ("./a/utils.py", "a/utils.py"), ("/repo/b/utils.py", "b/utils.py"),
+        ("utils.py", "a/utils.py"), ("utils.py", "b/utils.py"), ("utils.py", "deep/a/utils.py"),
+    ]
+
+
+def test_run_by_path(spark):
+    """Findings of one of two files of a name stay with it."""
+    files = spark.createDataFrame(
+        [(p, "utils.py", "python", 0, 0) for p in ("a/utils.py", "b/utils.py")],
+        "path string, filename string, file_type string, cell_count int, code_cell_count int")
+    lines = spark.createDataFrame([(p, 1, 'spark.read.table("t")') for p in ("a/utils.py", "b/utils.py")],
+                                  "path string, line_no int, line string")
+    log = spark.createDataFrame([(1, "src/a/utils.py:1:1: error: [spark] spark table")], "seq long, raw string")
+    found = parse_findings(log)
+    count = lambda match: rows(assess(found, files, lines, match=match, parse=False).analysis, "path", "findings")
+    assert count("path") == [("a/utils.py", 1), ("b/utils.py", 0)]
+    assert count("contains") == [("a/utils.py", 1), ("b/utils.py", 1)]
+
+
 def test_first_matching_line(spark):
     rng = random.Random(7)
     lines = [
