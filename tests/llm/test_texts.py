@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -227,6 +228,17 @@ def test_word_ids_are_the_tokenizers():
         assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts)] == want
 
 
+def test_word_ids_after_words_are_forgotten(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 5)
+    encoder, rng = packing._Encoder(queries.tokenizer_path(), 1), random.Random(3)
+    parts = [" ", " ", "\n", "a", "b.", "Q", "7", ",", "'s", "\t", "\0", "é", "foo", "\n\n"]
+    for _ in range(300):
+        texts = ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(4)]
+        assert [packing._chunks(t) for t in texts] == [packing._CHUNK.findall(t) for t in texts]
+        want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+        assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts)] == want
+
+
 def test_least_squares_fills_windows():
     histogram = np.zeros(65, np.int64)
     histogram[[20, 44, 10, 5, 64 - 5]] = [100, 40, 60, 7, 9]
