@@ -4,8 +4,9 @@ Largest inner products become smallest distances by one more component,
 sqrt(M^2 - |x|^2) with M the largest norm (0 for queries). Centroids come from a
 balanced k-means over a bounded sample. Every vector goes to the posting list of
 its nearest centroid and, near a boundary, to those of up to COPIES - 1 others
-within a distance ratio. The centroids, a bounded number, are searched by a graph
-that every task holds; a query reads the lists whose centroids are within a
+within a distance ratio. The centroids, a bounded number without duplicates, are
+searched at every size by a walk over a graph that every task holds: links go both
+ways, and a small upper level joins all parts of it. A query reads the lists whose centroids are within a
 distance ratio of the nearest, and more where these hold too few vectors. Lists
 are cut into parts of bounded size, so that a vector that a third of all rows
 share fills many parts, not one task; all parts are searched.
@@ -39,60 +40,101 @@ COPIES = 4
 COPY_RATIO = 1.12   # a copy goes to centroids within this ratio of the nearest distance
 READ_RATIO = 1.25   # a query reads lists within this ratio
 BEAM = 64           # lists that a graph search returns
-DIRECT = 1024       # up to so many centroids are compared at once, without a walk
-DEGREE = 24
+DEGREE = 24         # nearest centroids that a centroid is linked with, besides those it is near to
 PART = 8192         # vectors of a part of a list
 SHARD = 32_768      # vectors, copies counted, that one task searches
 
 
 @dataclass
 class Index:
-    """Centroids (with the additional component), their graph and the largest norm."""
+    """Centroids (with the additional component), their graph and the largest norm.
+
+    A row of the graph holds a centroid's links, then -1. A search enters by the
+    hubs, a small upper level.
+    """
 
     centroids: np.ndarray
     graph: np.ndarray
     norm: float
+    hubs: np.ndarray | None = None
 
     def lift(self, vectors: np.ndarray) -> np.ndarray:
         spare = np.sqrt(np.maximum(self.norm ** 2 - (vectors ** 2).sum(1), 0))
         return np.concatenate([vectors, spare[:, None]], 1)
 
     def search(self, points: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """The ``beam`` nearest centroids of each point and their distances: a best-first walk."""
+        """The ``beam`` nearest centroids of each point and their distances: a best-first walk.
+
+        Columns that a walk could not fill have an infinite distance.
+        """
         count, rows = len(self.centroids), len(points)
         beam = min(beam, count)
-        square = (self.centroids ** 2).sum(1)
-        length = (points ** 2).sum(1)
-        if count <= DIRECT:
-            far = np.maximum(length[:, None] + square - 2 * points @ self.centroids.T, 0)
-            order = np.argsort(far, axis=1, kind="stable")[:, :beam]
-            return order, np.sqrt(np.take_along_axis(far, order, 1))
-        start = np.linspace(0, count - 1, beam).astype(np.int64)
+        square, length = (self.centroids ** 2).sum(1), (points ** 2).sum(1)
+        links = (self.graph >= 0).sum(1)
+        start = np.unique(np.linspace(0, count - 1, beam).astype(np.int64)) if self.hubs is None else self.hubs
         best = np.tile(start, (rows, 1))
         far = length[:, None] + square[start] - 2 * points @ self.centroids[start].T
-        seen = np.zeros((rows, count), bool)
+        seen, done = np.zeros((rows, count), bool), np.zeros((rows, count), bool)
         seen[:, start] = True
-        done = np.zeros((rows, count), bool)
-        each = np.arange(rows)[:, None]
-        for _ in range(4 * beam):
-            order = np.argsort(far, axis=1, kind="stable")
+        each, walking = np.arange(rows)[:, None], np.arange(rows)
+        while True:
+            order = np.argsort(far, axis=1, kind="stable")[:, :beam]
             best, far = np.take_along_axis(best, order, 1), np.take_along_axis(far, order, 1)
-            fresh = ~done[each, best]
-            if not fresh.any():
+            fresh = ~done[walking[:, None], best[walking]] & np.isfinite(far[walking])
+            ahead = fresh.any(1)
+            walking, pick = walking[ahead], fresh[ahead].argmax(1)
+            if not len(walking):
                 break
-            pick = np.where(fresh.any(1), fresh.argmax(1), 0)
-            node = best[np.arange(rows), pick]
-            done[np.arange(rows), node] = True
-            near = self.graph[node]
-            new = ~seen[each, near]
-            seen[each, near] = True
-            step = length[:, None] + square[near] - 2 * np.einsum("rd,rkd->rk", points, self.centroids[near])
-            step[~new] = np.inf
-            both, all_far = np.concatenate([best, near], 1), np.concatenate([far, step], 1)
-            kept = np.argpartition(all_far, beam - 1, axis=1)[:, :beam]
-            best, far = np.take_along_axis(both, kept, 1), np.take_along_axis(all_far, kept, 1)
-        order = np.argsort(far, axis=1, kind="stable")
-        return np.take_along_axis(best, order, 1), np.sqrt(np.maximum(np.take_along_axis(far, order, 1), 0))
+            node = best[walking, pick]
+            done[walking, node] = True
+            near = self.graph[node, :max(1, int(links[node].max()))]
+            new = (near >= 0) & ~seen[walking[:, None], near]
+            row, node = walking[np.nonzero(new)[0]], near[new]
+            seen[row, node] = True
+            place = (np.cumsum(new, axis=1) - 1)[new]
+            more = int(new.sum(1).max())
+            both = np.concatenate([best, np.zeros((rows, more), best.dtype)], 1)
+            far = np.concatenate([far, np.full((rows, more), np.inf)], 1)
+            at = best.shape[1] + place
+            both[row, at] = node
+            far[row, at] = length[row] + square[node] - 2 * np.einsum("nd,nd->n", points[row], self.centroids[node])
+            best = both
+        return best, np.sqrt(np.maximum(far, 0))
+
+
+def linked(centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The graph over centroids and its hubs; every centroid can be reached from every other.
+
+    Links go both ways: to the DEGREE nearest, between a centroid and its nearest
+    hub, and from hub to hub in a ring and to the nearest.
+    """
+    count = len(centroids)
+    square = (centroids ** 2).sum(1)
+
+    def nearest_of(rows: np.ndarray, among: np.ndarray, links: int) -> np.ndarray:
+        """(from, to) of each row's nearest others."""
+        out, links = [np.zeros((0, 2), np.int64)], min(links, len(among))
+        for at in range(0, len(rows), 1024):
+            some = rows[at:at + 1024]
+            far = square[among] - 2 * centroids[some] @ centroids[among].T
+            far[some[:, None] == among] = np.inf
+            found = among[np.argpartition(far, links - 1, axis=1)[:, :links]]
+            out.append(np.stack([np.repeat(some, links), found.ravel()], 1))
+        return np.concatenate(out)
+
+    every = np.arange(count)
+    groups = balanced_means(centroids, max(1, int(np.sqrt(count))), 4)
+    hubs = np.unique(((groups ** 2).sum(1)[:, None] - 2 * groups @ centroids.T + square).argmin(1))
+    pairs = np.concatenate([
+        nearest_of(every, every, DEGREE), nearest_of(every, hubs, 1), nearest_of(hubs, hubs, DEGREE),
+        np.stack([hubs, np.roll(hubs, 1)], 1),
+    ])
+    pairs = np.unique(np.concatenate([pairs, pairs[:, ::-1]]), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    links = np.bincount(pairs[:, 0], minlength=count)
+    graph = np.full((count, max(1, int(links.max(initial=0)))), -1, np.int32)
+    graph[pairs[:, 0], np.arange(len(pairs)) - np.repeat(np.cumsum(links) - links, links)] = pairs[:, 1]
+    return graph, hubs
 
 
 def balanced_means(sample: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
@@ -121,14 +163,10 @@ def fit(vectors: DataFrame, rows: int, norm: float) -> Index:
     found = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PER_LIST * lists).select("vector").collect()
     sample = np.array([r.vector for r in found], float)
     index = Index(np.zeros((0, 0)), np.zeros((0, 0), np.int64), norm)
-    lifted = index.lift(sample)
-    index.centroids = balanced_means(lifted, min(lists, len(lifted)))
-    count, near = len(index.centroids), []
-    square = (index.centroids ** 2).sum(1)
-    for at in range(0, count, 1024):
-        far = square - 2 * index.centroids[at:at + 1024] @ index.centroids.T
-        near.append(np.argsort(far, axis=1, kind="stable")[:, 1:DEGREE + 1])
-    index.graph = np.concatenate(near)
+    lifted = np.unique(index.lift(sample), axis=0)
+    lifted = lifted[np.random.default_rng(len(lifted)).permutation(len(lifted))]
+    index.centroids = np.unique(balanced_means(lifted, min(lists, len(lifted))), axis=0)
+    index.graph, index.hubs = linked(index.centroids)
     return index
 
 

@@ -4,6 +4,8 @@ import gzip
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +101,51 @@ def test_centroid_walk_finds_near_lists():
     assert np.mean([len(set(f) & set(e)) / 10 for f, e in zip(found, exact)]) > 0.9
 
 
+def test_graph_over_islands_is_connected():
+    """Tight groups of centroids far from each other, some centroids twice."""
+    rng = np.random.default_rng(4)
+    island = rng.normal(size=(30, 8)) * 50
+    points = np.concatenate([c + rng.normal(size=(70, 8)) for c in island])
+    centroids = np.unique(np.concatenate([points[:2000], points[:9]]), axis=0)
+    graph, hubs = neighbours.linked(centroids)
+    reached, ahead = {0}, [0]
+    while ahead:
+        fresh = [i for i in graph[ahead.pop()].tolist() if i >= 0 and i not in reached]
+        reached.update(fresh)
+        ahead += fresh
+    assert len(reached) == len(centroids) == 2000
+    found, far = neighbours.Index(centroids, graph, 1.0, hubs).search(points, 16)
+    exact = ((points[:, None] - centroids[None]) ** 2).sum(2).argsort(1)[:, :10]
+    assert np.isfinite(far).all() and np.mean([len(set(f) & set(e)) / 10 for f, e in zip(found, exact)]) > 0.95
+
+
+def clustered_neighbours(spark, path, rows=300_000, every=1501):
+    """Found shares of the true neighbours of rare queries and of those on the vector of a third of all rows."""
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(400, 16))
+    vectors = centre[rng.integers(0, 400, rows)] + 0.25 * rng.normal(size=(rows, 16))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    ids = rng.permutation(rows)
+    vectors[rng.random(rows) < 1 / 3] = vectors[0]
+    path.mkdir()
+    for i in range(8):
+        pq.write_table(pa.table({"vec_id": ids[i::8], "embedding": pa.array(list(vectors[i::8]), pa.list_(pa.float64()))}), path / f"{i}.parquet")
+    got, rare, hot = {}, [], []
+    for r in neighbours.nearest(spark.read.parquet(str(path)), F.col("vec_id") % every == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for q in np.flatnonzero(ids % every == 0):
+        score = np.round(vectors @ vectors[q], 12)
+        score[q] = -2
+        want = set(ids[np.lexsort((ids, -score))[:20]].tolist())
+        (hot if (vectors[q] == vectors[0]).all() else rare).append(len(want & got.get(int(ids[q]), set())) / 20)
+    return rare, hot
+
+
+def test_recall_above_a_thousand_lists(spark, tmp_path):
+    rare, hot = clustered_neighbours(spark, tmp_path / "vectors")
+    assert np.mean(rare) >= 0.97 and np.mean(hot) == 1
+
+
 def test_fingerprints(spark):
     rows = [(5, "a. b. c\nd e f"), (3, "a. b. c\nd e f"), (9, None), (2, ""), (None, "x" * 90), (7, "日本語🙂 text. " * 40), (7, "tie"), (4, "one")]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, place string")
