@@ -7,9 +7,13 @@ its nearest centroid and, near a boundary, to those of up to COPIES - 1 others
 within a distance ratio. The centroids, a bounded number without duplicates, are
 searched at every size by a walk over a graph that every task holds: links go both
 ways, and a small upper level joins all parts of it. A query reads the lists whose centroids are within a
-distance ratio of the nearest, and more where these hold too few vectors. Lists
-are cut into parts of bounded size, so that a vector that a third of all rows
-share fills many parts, not one task; all parts are searched.
+distance ratio of the nearest, and more where these hold too few vectors.
+
+Equal vectors are one: it keeps its k + 1 smallest ids, which suffice since equal
+scores go by smaller id and a query leaves out itself only. Each distinct vector is
+searched once, and its result joined back to the ids that ask for it. Lists are cut
+into parts of bounded size and the queries of a shard of parts into chunks, for each
+of which the shard's vectors are repeated, so no task grows with the input.
 
 Scores are inner products of the original vectors in double precision; within the
 lists read, the search is exact.
@@ -30,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lintmill.operators.skew import spread_join
 from lintmill.session import materialize
 
 K = 20
@@ -43,6 +48,7 @@ BEAM = 64           # lists that a graph search returns
 DEGREE = 24         # nearest centroids that a centroid is linked with, besides those it is near to
 PART = 8192         # vectors of a part of a list
 SHARD = 32_768      # vectors, copies counted, that one task searches
+CHUNK = 32_768      # queries, about, that one task searches a shard for
 
 
 @dataclass
@@ -177,8 +183,10 @@ def _matrix(column) -> np.ndarray:
 
 def valid_vectors(table: DataFrame, id_column: str, vector: str) -> DataFrame:
     """(vec_id, vector): the rows that take part."""
+    kind = table.select(f"`{vector}`").schema[0].dataType
+    kind = "array<float>" if kind.simpleString() == "array<float>" else "array<double>"
     held = table.select(
-        F.col(f"`{id_column}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("vector")
+        F.col(f"`{id_column}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast(kind).alias("vector")
     ).filter("vec_id is not null and vector is not null")
     unsound = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     held = held.filter(~unsound).filter(F.exists("vector", lambda x: x != 0))
@@ -186,6 +194,31 @@ def valid_vectors(table: DataFrame, id_column: str, vector: str) -> DataFrame:
     return held.filter(F.size("vector") == (common.n if common else 0))
 
 
+def distinct_vectors(held: DataFrame, queries: Column, k: int) -> DataFrame:
+    """(name, vector, ids, asked): each vector once, with its k + 1 smallest ids and whether any row of it is a query."""
+    named = held.select(
+        F.xxhash64("vector").alias("name"), "vector", "vec_id", F.coalesce(queries, F.lit(False)).alias("asked"))
+
+    def least(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, asked = batch["vec_id"].to_numpy(), batch["asked"].to_numpy(zero_copy_only=False)
+            rows = np.ascontiguousarray(batch["vector"].flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1))
+            _, place = np.unique(rows.view(np.dtype((np.void, rows.shape[1] * rows.itemsize))).ravel(), return_inverse=True)
+            asked = np.bincount(place, weights=asked) > 0
+            order = np.lexsort((ids, place))
+            order = order[np.append(True, (np.diff(place[order]) != 0) | (np.diff(ids[order]) != 0))]
+            rank = np.arange(len(order)) - np.searchsorted(place[order], place[order])
+            kept = order[rank <= k]
+            some = batch.take(pa.array(kept))
+            yield some.set_column(3, "asked", pa.array(asked[place[kept]]))
+
+    kept = named.mapInArrow(least, named.schema)  # so that no task collects all ids of a vector
+    ids = F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1)
+    return kept.groupBy("name", "vector").agg(ids.alias("ids"), F.max("asked").alias("asked"))
+
+
 def nearest(
     table: DataFrame, queries: Column, id_column: str = "vec_id", vector: str = "embedding", k: int = K
 ) -> DataFrame:
@@ -194,7 +227,7 @@ def nearest(
     ``queries`` is a condition on vec_id.
     """
     held = valid_vectors(table, id_column, vector)
-    norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     found = held.agg(F.count(F.lit(1)), F.sqrt(F.max(norm))).first()
     rows = found[0]
     if not rows:
@@ -205,30 +238,59 @@ def nearest(
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                lists, far = index.search(index.lift(_matrix(part["vector"])), 4 * COPIES)
+                vectors, asked = _matrix(part["vector"]), part["asked"].to_numpy(zero_copy_only=False)
+                lists, far = index.search(index.lift(vectors), 4 * COPIES)
                 lists, far = lists[:, :COPIES], far[:, :COPIES]
                 kept = far <= COPY_RATIO * far[:, :1]
                 own = [row[ok].tolist() for row, ok in zip(lists, kept, strict=True)]
+                beam, near = [[]] * len(vectors), np.zeros(len(vectors), np.int32)
+                if asked.any():
+                    lists, far = index.search(np.concatenate([vectors[asked], np.zeros((int(asked.sum()), 1))], 1))
+                    near[asked] = (far <= READ_RATIO * far[:, :1]).sum(1)
+                    for i, row in zip(np.flatnonzero(asked), lists, strict=True):
+                        beam[i] = row.tolist()
+                lists_of = pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [part["vec_id"], part["vector"], pa.array(own, pa.list_(pa.int32()))], ["vec_id", "vector", "lists"])
-
-    assigned = materialize(held.mapInArrow(assign, "vec_id long, vector array<double>, lists array<int>"), "postings")
+                    [*part.columns, pa.array(own, lists_of), pa.array(beam, lists_of), pa.array(near)],
+                    [*part.schema.names, "lists", "beam", "near"])
+
+    distinct = distinct_vectors(held, queries, k)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in distinct.schema)
+    assigned = materialize(
+        distinct.mapInArrow(assign, f"{kinds}, lists array<int>, beam array<int>, near int")
+        .withColumn("key", F.monotonically_increasing_id()), "postings")
     sizes = np.zeros(len(index.centroids), np.int64)
     for r in assigned.select(F.explode("lists").alias("list")).groupBy("list").count().collect():  # at most MAX_LISTS
         sizes[r["list"]] = r["count"]
     parts = np.maximum(1, -(-sizes // PART))
     first_part, shard = _layout(index.centroids, sizes, parts)
 
-    postings = assigned.mapInArrow(
-        lambda batches: _postings(batches, parts, first_part, shard), "shard int, unit int, vec_id long, vector array<double>")
-    asked = held.filter(queries).mapInArrow(
-        lambda batches: _asked(batches, index, sizes, parts, first_part, shard, k),
-        "shard int, query_id long, query array<double>, units array<int>")
-    best = asked.groupBy("shard").cogroup(postings.groupBy("shard")).applyInArrow(
-        lambda key, q, p: _best(q, p, k), "query_id long, vec_id long, score double")
-    distinct = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return distinct.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    kind = held.schema["vector"].dataType.simpleString()
+    asked = assigned.filter("asked").select("key", "vector", "beam", "near").mapInArrow(
+        lambda batches: _asked(batches, sizes, parts, first_part, shard, k),
+        f"shard int, key long, query {kind}, units array<int>")
+    chunks = np.zeros(int(shard.max()) + 1, np.int64)
+    for r in asked.groupBy("shard").count().collect():  # one of about SHARD vectors
+        chunks[r["shard"]] = -(-r["count"] // CHUNK)
+    chunk_of = F.pmod(F.xxhash64("key"), F.element_at(F.lit(chunks.tolist()), F.col("shard") + 1)).cast("int")
+    postings = assigned.select("key", "ids", "vector", "lists").mapInArrow(
+        lambda batches: _postings(batches, parts, first_part, shard, chunks),
+        f"shard int, chunk int, unit int, ids array<long>, vector {kind}")
+    best = asked.withColumn("chunk", chunk_of).groupBy("shard", "chunk").cogroup(postings.groupBy("shard", "chunk")).applyInArrow(
+        lambda _, q, p: _best(q, p, k), "key long, vec_id long, score double")
+
+    def first(found: DataFrame, of: str, most: int) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(of).orderBy(F.desc("score"), "vec_id"))
+        found = found.groupBy(of, "vec_id").agg(F.max("score").alias("score"))
+        return found.withColumn("rank", rank).filter(F.col("rank") <= most)
+
+    found = first(best, "key", k + 1).groupBy("key").agg(F.collect_list(F.struct("vec_id", "score")).alias("found"))
+    found = found.join(assigned.filter("asked").select("key", "name", "vector"), "key").drop("key")
+    asking = held.filter(queries).select(F.col("vec_id").alias("query_id"), F.xxhash64("vector").alias("name"), "vector")
+    counts = asking.groupBy("name", "vector").agg(F.count(F.lit(1)).alias("n"))
+    joined = spread_join(asking, found, ["name", "vector"], "query_id", counts)
+    rows = joined.select("query_id", F.explode("found").alias("f")).select("query_id", "f.*").filter("vec_id != query_id")
+    return first(rows, "query_id", k).select("query_id", "rank", "vec_id", "score")
 
 
 def _layout(centroids: np.ndarray, sizes: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,80 +309,85 @@ def _layout(centroids: np.ndarray, sizes: np.ndarray, parts: np.ndarray) -> tupl
     return first, ((np.cumsum(each) - each) // SHARD).astype(np.int64)
 
 
-def _postings(batches, parts, first_part, shard):
+def _postings(batches, parts, first_part, shard, chunks):
+    """The vectors of each unit, once for every chunk of queries of its shard."""
     for batch in batches:
         lists = batch["lists"]
         count = np.diff(lists.offsets.to_numpy())
         owner = np.repeat(np.arange(batch.num_rows), count)
         flat = lists.flatten().to_numpy()
-        ids = batch["vec_id"].to_numpy()
-        spread = (ids[owner].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.int64)
+        keys = batch["key"].to_numpy()
+        spread = (keys[owner].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.int64)
         unit = first_part[flat] + spread % parts[flat]
-        at = pa.array(owner)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(shard[unit], pa.int32()), pa.array(unit, pa.int32()), batch["vec_id"].take(at), batch["vector"].take(at)],
-            ["shard", "unit", "vec_id", "vector"])
+        for chunk in range(int(chunks[shard[unit]].max(initial=0))):
+            held = np.flatnonzero(chunks[shard[unit]] > chunk)
+            at = pa.array(owner[held])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard[unit[held]], pa.int32()), pa.array(np.full(len(held), chunk), pa.int32()),
+                 pa.array(unit[held], pa.int32()), batch["ids"].take(at), batch["vector"].take(at)],
+                ["shard", "chunk", "unit", "ids", "vector"])
 
 
-def _asked(batches, index, sizes, parts, first_part, shard, k):
+def _asked(batches, sizes, parts, first_part, shard, k):
     """For each query and shard the units (parts of lists) to read there."""
     enough = COPIES * (k + 1)
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            points = _matrix(part["vector"])
-            points = np.concatenate([points, np.zeros((len(points), 1))], 1)
-            lists, far = index.search(points)
-            rows = {"shard": [], "row": [], "units": []}
-            for i in range(len(points)):
-                chosen, near = lists[i], far[i]
-                read = (near <= READ_RATIO * near[0]) | (np.append(0, np.cumsum(sizes[chosen])[:-1]) < enough)
-                chosen = chosen[read]
-                if sizes[chosen].sum() < enough:  # too few lists in the beam: take all
-                    chosen = np.arange(len(sizes))
-                units = np.concatenate([np.arange(first_part[c], first_part[c] + parts[c]) for c in chosen])
-                held = shard[units]
-                for s in np.unique(held):
-                    rows["shard"].append(int(s))
-                    rows["row"].append(i)
-                    rows["units"].append(units[held == s].tolist())
-            at_row = pa.array(rows["row"], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["shard"], pa.int32()), part["vec_id"].take(at_row), part["vector"].take(at_row), pa.array(rows["units"], pa.list_(pa.int32()))],
-                ["shard", "query_id", "query", "units"])
+        rows = {"shard": [], "row": [], "units": []}
+        for i, (beam, near) in enumerate(zip(batch["beam"].to_pylist(), batch["near"].to_pylist(), strict=True)):
+            chosen = np.array(beam)
+            read = (np.arange(len(chosen)) < near) | (np.append(0, np.cumsum(sizes[chosen])[:-1]) < enough)
+            chosen = chosen[read]
+            if sizes[chosen].sum() < enough:  # too few lists in the beam: take all
+                chosen = np.arange(len(sizes))
+            units = np.concatenate([np.arange(first_part[c], first_part[c] + parts[c]) for c in chosen])
+            held = shard[units]
+            for s in np.unique(held):
+                rows["shard"].append(int(s))
+                rows["row"].append(i)
+                rows["units"].append(units[held == s].tolist())
+        at_row = pa.array(rows["row"], pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rows["shard"], pa.int32()), batch["key"].take(at_row), batch["vector"].take(at_row), pa.array(rows["units"], pa.list_(pa.int32()))],
+            ["shard", "key", "query", "units"])
 
 
-def _ranked(score: np.ndarray, ids: np.ndarray, k: int, first: int) -> np.ndarray:
-    """Places of the k best distinct ids; looks at the ``first`` best rows, at more if ids repeat."""
+def _ranked(score: np.ndarray, rows: np.ndarray, start: np.ndarray, ids: np.ndarray, k: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best distinct ids of the rows and their scores; looks at the ``first`` best rows, at more if ids repeat."""
     while True:
         held = np.arange(len(score))
         if len(score) > first:
             held = np.flatnonzero(score >= np.partition(score, len(score) - first)[len(score) - first])
-        ranked = held[np.lexsort((ids[held], -score[held]))]
-        _, at = np.unique(ids[ranked], return_index=True)
+        count = start[rows[held] + 1] - start[rows[held]]
+        at = np.repeat(start[rows[held]] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        mine, each = ids[at], np.repeat(score[held], count)
+        ranked = np.lexsort((mine, -each))
+        _, at = np.unique(mine[ranked], return_index=True)
         if len(at) >= k or len(held) == len(score):
-            return ranked[np.sort(at)][:k]
+            ranked = ranked[np.sort(at)][:k]
+            return mine[ranked], each[ranked]
         first *= 4
 
 
 def _best(asked: pa.Table, postings: pa.Table, k: int) -> pa.Table:
-    """The k best of this shard's units for each query."""
-    queries, vectors = _matrix(asked["query"]), _matrix(postings["vector"])
-    query_ids, ids = asked["query_id"].to_numpy(), postings["vec_id"].to_numpy()
+    """The k + 1 best ids of this shard's units for each query."""
+    vectors, lists = _matrix(postings["vector"]), postings["ids"].combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    ids, start = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
     unit = postings["unit"].to_numpy()
     order = np.argsort(unit, kind="stable")
-    vectors, ids, unit = vectors[order] if len(order) else vectors, ids[order], unit[order]
-    found = {"query_id": [], "vec_id": [], "score": []}
-    for i, wanted in enumerate(asked["units"].to_pylist()):
-        low, high = np.searchsorted(unit, wanted), np.searchsorted(unit, wanted, "right")
-        at = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)])
-        at = at[ids[at] != query_ids[i]]
-        if not len(at):
-            continue
-        score, mine = vectors[at] @ queries[i], ids[at]
-        ranked = _ranked(score, mine, k, COPIES * k)
-        found["query_id"] += [query_ids[i]] * len(ranked)
-        found["vec_id"] += mine[ranked].tolist()
-        found["score"] += score[ranked].tolist()
-    return pa.table({"query_id": pa.array(found["query_id"], pa.int64()), "vec_id": pa.array(found["vec_id"], pa.int64()),
-                     "score": pa.array(found["score"], pa.float64())})
+    unit = unit[order]
+    found = {"key": [], "vec_id": [], "score": []}
+    for slice_at in range(0, asked.num_rows, 512):
+        some = asked.slice(slice_at, 512)
+        queries, keys = _matrix(some["query"]), some["key"].to_numpy()
+        for i, wanted in enumerate(some["units"].to_pylist()):
+            low, high = np.searchsorted(unit, wanted), np.searchsorted(unit, wanted, "right")
+            at = order[np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)])]
+            if not len(at):
+                continue
+            best, score = _ranked(vectors[at] @ queries[i], at, start, ids, k + 1, COPIES * (k + 1))
+            found["key"].append(np.full(len(best), keys[i]))
+            found["vec_id"].append(best)
+            found["score"].append(score)
+    kinds = {"key": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
+    return pa.table({n: pa.array(np.concatenate(v) if v else [], kinds[n]) for n, v in found.items()})

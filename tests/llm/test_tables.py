@@ -141,6 +141,31 @@ def clustered_neighbours(spark, path, rows=300_000, every=1501):
     return rare, hot
 
 
+def test_equal_vectors_are_searched_once(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    vectors = np.round(rng.normal(size=(6000, 12)), 3)
+    vectors[0, 3] = 0.0
+    vectors[::3] = vectors[0]
+    vectors[3, 3] = -0.0
+    rows = [(i, v) for i, v in enumerate(vectors.tolist())]
+    table = spark.createDataFrame(rows + rows[:30], "vec_id long, embedding array<double>").repartition(5)
+    held, ask = neighbours.valid_vectors(table, "vec_id", "embedding"), F.col("vec_id") % 20 == 0
+    found = neighbours.distinct_vectors(held, ask, 20).collect()
+    assert len(found) == 4001
+    assert [(r.ids, r.asked) for r in found if len(r.ids) > 1] == [(list(range(0, 63, 3)), True)]
+    assert sum(r.asked for r in found) == 201  # of 300 rows that ask, 100 have the common vector
+    monkeypatch.setattr(neighbours, "CHUNK", 16)
+    got = {}
+    for r in neighbours.nearest(table, ask).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = exact_neighbours(rows)
+    assert set(got) == set(want) and all(len(g) == 20 for g in got.values())
+    for q in range(0, 6000, 60):
+        assert [i for i, _ in got[q]] == [i for i in range(0, 66, 3) if i != q][:20]
+        assert [x for _, x in got[q]] == pytest.approx([x for _, x in want[q]])
+    assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 20 for q in want if q % 60]) >= 0.9
+
+
 def test_recall_above_a_thousand_lists(spark, tmp_path):
     rare, hot = clustered_neighbours(spark, tmp_path / "vectors")
     assert np.mean(rare) >= 0.97 and np.mean(hot) == 1
