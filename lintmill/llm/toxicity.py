@@ -37,7 +37,7 @@ from lintmill.session import materialize
 
 SAMPLE = 20_000
 ENTRIES = 20_000   # words a lexicon holds at most, the strongest
-LEAST_TEXTS = 3    # toxic texts that a learned word occurs in
+LEAST_TEXTS = 3    # toxic texts that a learned word occurs in, at every size; the smoothed log odds decide on the rest
 LEAST_WEIGHT = 2.0
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -171,21 +171,28 @@ def features(clauses: np.ndarray) -> np.ndarray:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 50) -> np.ndarray:
-    """Ridge logistic regression by Newton steps."""
+    """Ridge logistic regression by Newton steps, each halved until the loss falls."""
     weights = np.zeros(x.shape[1])
     bound = np.diag([ridge] * (x.shape[1] - 1) + [1e-3])
+
+    def loss(w: np.ndarray) -> float:
+        return np.logaddexp(0, x @ w).sum() - y @ (x @ w) + w @ bound @ w / 2
+
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
         slope = x.T @ (p - y) + bound @ weights
         bend = (x * (p * (1 - p))[:, None]).T @ x + bound
         step = np.linalg.solve(bend, slope)
-        weights -= np.clip(step, -3, 3)
+        before = loss(weights)
+        while np.abs(step).max() >= 1e-6 and loss(weights - step) > before:
+            step = step / 2
         if np.abs(step).max() < 1e-6:
             break
+        weights -= step
     return weights
 
 
-def _learned_words(rows: DataFrame, least_texts: int) -> tuple[np.ndarray, np.ndarray]:
+def _learned_words(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Names and log odds of words that toxic texts hold and clean ones do not."""
 
     def count(batches):
@@ -205,7 +212,7 @@ def _learned_words(rows: DataFrame, least_texts: int) -> tuple[np.ndarray, np.nd
     found = (
         rows.mapInArrow(count, "name long, toxic long, texts long").groupBy("name")
         .agg(F.sum("toxic").alias("toxic"), F.sum("texts").alias("texts"))
-        .filter(F.col("toxic") >= least_texts).withColumn("weight", odds).filter(F.col("weight") >= LEAST_WEIGHT)
+        .filter(F.col("toxic") >= LEAST_TEXTS).withColumn("weight", odds).filter(F.col("weight") >= LEAST_WEIGHT)
         .orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "name").limit(ENTRIES).select("name", "weight").collect()
     )
     return np.array([r.name for r in found], np.int64).view(np.uint64), np.array([r.weight for r in found], float)
@@ -229,7 +236,7 @@ def train(
         return None
     few = found[0] < FEW
     seen, unseen = (rows, rows) if few else (rows.filter("fold < 2"), rows.filter("fold = 2"))
-    lexicon = Lexicon.build(*_learned_words(seen.select("text", "label"), LEAST_TEXTS + 3 * int(found[0] > 1000)))
+    lexicon = Lexicon.build(*_learned_words(seen.select("text", "label")))
     automaton = grammar()
 
     def measure(batches):

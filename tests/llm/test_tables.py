@@ -225,6 +225,42 @@ def test_classifiers_on_odd_rows(spark):
             assert toxicity.score(df, model).filter("score between 0 and 1").count() == df.count()
 
 
+def test_logistic_reaches_the_least_loss():
+    """Few positive rows, nearly told apart by features that depend on each other."""
+    rng = np.random.default_rng(8)
+    y = (np.arange(5000) < 500).astype(float)
+    total = np.where(y == 1, rng.exponential(60, 5000) + 15, rng.exponential(3, 5000) * (rng.random(5000) < 0.3))
+    parts = np.where(total > 0, rng.integers(1, 6, 5000), 0)
+    x = toxicity.features(np.stack([total, total / np.maximum(parts, 1), parts, np.full(5000, 5.0)], 1))
+    weights = toxicity.logistic(x, y)
+    p = 1 / (1 + np.exp(-x @ weights))
+    assert np.abs(x.T @ (p - y) + np.array([0.5] * 4 + [1e-3]) * weights).max() < 1e-2
+    assert np.mean((p > 0.5) == y) > 0.99
+
+
+def test_toxicity_with_many_training_rows(spark):
+    sf = "/root/testdata/check_s"  # 1,619 toxic training rows
+    scored = queries.op10_toxicity(spark, sf).filter("held_out")
+    rows = scored.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("toxic", "predicted").collect()
+    toxic = [r.predicted for r in rows if r.toxic == 1]
+    assert sum(toxic) / len(toxic) >= 0.95 and sum(r.toxic == r.predicted for r in rows) / len(rows) >= 0.97
+
+
+def test_rare_words_are_learned_at_every_size(spark):
+    """Toxic texts of 4 or 5 rows a word, as in a smaller table, among more than 1,000 toxic rows."""
+    toxic = [f"some common text zork{i % 300} and more" for i in range(1350)]
+    clean = [f"some common text leaf{i % 300} and more" for i in range(2700)]
+    docs = spark.createDataFrame(list(enumerate(toxic + clean)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 1350)) for i in range(4050)], "doc_id long, toxic int")
+    held_out = F.col("doc_id") >= 4050
+    learned = toxicity.train(docs, labels, held_out).lexicon.names
+    fold = docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)).alias("fold"))
+    seen = {r.doc_id for r in fold.filter("fold < 2").collect()}
+    often = [w for w in range(300) if sum(i in seen for i in range(w, 1350, 300)) >= toxicity.LEAST_TEXTS]
+    names = toxicity._tokens(pa.array([f"zork{w}" for w in often])).name
+    assert len(often) > 100 and np.isin(names, learned).all()
+
+
 def test_grammar_weighs_clauses():
     import pyarrow as pa
 
