@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ LISTS = {
     INSULT: "idiot moron stupid fool loser scum trash worthless pathetic disgusting",
     THREAT: "kill hurt destroy burn shoot beat murder matar toeten tuer",
     TARGET: "you your youre u he she they him her them tu vous du ihr sie usted ustedes",
-    NEGATION: "not no never isnt arent dont nicht kein keine pas jamais no nunca",
+    NEGATION: "not no never isnt arent dont nicht kein keine pas jamais no nunca wasnt werent doesnt didnt cant wont",
     REPORT: "said says say told called wrote claimed quoted according sagte dit dijo",
 }
 LISTED_WEIGHTS = {INSULT: 4.0, THREAT: 1.0}
@@ -54,6 +55,7 @@ FEW = 150  # toxic training rows below which words and weights are fitted on the
 
 _SPACE = W.SPACE.copy()
 _SPACE[[b for b in range(128) if not chr(b).isalnum()]] = True
+_CONTRACTION = "(?i)(n)['’](t)\\b"  # isn't is the word isnt
 _CLAUSE = np.isin(np.arange(256), np.frombuffer(b".!?;\n", np.uint8))
 
 
@@ -91,6 +93,7 @@ def grammar() -> Transducer:
 
 
 def _tokens(texts: pa.Array | pa.ChunkedArray) -> W.Words:
+    texts = pc.replace_substring_regex(texts.cast(pa.large_string()), _CONTRACTION, r"\1\2")
     return W.split_words(texts, lower=True, space=_SPACE)
 
 

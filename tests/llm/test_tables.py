@@ -270,6 +270,13 @@ def test_grammar_weighs_clauses():
     assert none == 0 < denied < plain < aimed and told < aimed and apart == plain
 
 
+def test_contractions_deny():
+    lexicon = toxicity.Lexicon.build(np.zeros(0, np.uint64), np.zeros(0))
+    texts = pa.array(["this isn't an idiot", "this ISN’T an idiot", "this isnt an idiot", "this is an idiot", "an 'idiot'", None])
+    apart, curly, joined, plain, quoted, none = toxicity.clause_scores(texts, lexicon, toxicity.grammar())[:, 0]
+    assert none == 0 < apart == curly == joined < plain == quoted
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     (_, good), (_, near), (_, cut), (_, mix), (_, pack) = corpus_pipeline.STAGES
