@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintmill.llm import fingerprints, jaccard_join, lm_scoring, mixing, neighbours, packing, quality, substring_dedup, toxicity, warc
+from lintmill.llm import (
+    chat_format, fingerprints, jaccard_join, lm_scoring, mixing, neighbours, packing, quality, repair, substring_dedup, toxicity,
+    vector_codes, warc,
+)
 from lintmill.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -118,6 +121,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(_table(spark, sf_dir, "conversations"))
+
+
+#: A conversation of control strings, formatted with the table's own.
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    path = scratch_path(spark, "chats")
+    chat_format.write_formatted(table.unionByName(more), path)
+    back = chat_format.read_back(chat_format.read_formatted(spark, path)).withColumnRenamed("conv", "conv_id")
+    return back.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -129,6 +154,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_chat_format": op13_chat_format,
 }
 
 ORACLE: dict[str, str] = {}
