@@ -159,4 +159,3 @@ QUERIES = {
     "op13_chat_format": op13_chat_format,
 }
 
-ORACLE: dict[str, str] = {}
