@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lintmill.session import scratch_path
 
@@ -75,12 +76,17 @@ def _partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def row_columns(df: DataFrame) -> list:
+def row_columns(df: DataFrame, without: set[str] = frozenset()) -> list:
     """The documents' own columns, out of the struct."""
-    names = [f.name for f in df.schema["row"].dataType.fields if f.name != "llm_end"]
+    names = [f.name for f in df.schema["row"].dataType.fields if f.name != "llm_end" and f.name not in without]
     return [F.col(f"row.`{n}`").alias(n) for n in names]
 
 
+def with_row(df: DataFrame, columns: str) -> T.StructType:
+    """The documents' own columns, whatever their names, and further ones."""
+    return T.StructType([df.schema["row"], *T.StructType.fromDDL(columns).fields])
+
+
 def edges(names: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket's share of the sorted names begins and ends."""
     starts = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)

@@ -9,125 +9,95 @@ end, and cut where a window is full. Only the last window can be short; it is cu
 into powers of two, which need no padding.
 
 Which sequence and offset a piece gets follows from its length and its rank among
-the pieces of that length; ranks are counted within hashed shares of a length, so
-a length that a third of all documents have is spread like any other.
+the pieces of that length. A rank is counted within a part of the input and begins
+where the parts before it end, so a length that a third of all documents have is spread
+like any other, and no text or id is moved to be ranked.
 
 Edge cases: NULL and empty texts are the end token alone. Repeated rows are packed
-each. Special tokens' strings in a text are ordinary text. Empty tables give no
-pieces. The documents' other columns stay in the result.
+each. An added token's string in a text is that token, as the tokenizer has it. Empty
+tables give no pieces. The documents' other columns stay in the result; those named
+like results are replaced.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lintmill.llm.blocks import row_columns
+from lintmill.llm.blocks import row_columns, write_bucketed
 from lintmill.session import materialize
 
 WINDOW = 2048
-SHARE = 4096          # pieces of one length that are ranked together
-CACHED_WORDS = 200_000  # words whose ids a worker remembers, in each of two generations
+TOKENIZED = ["doc_tokens", "rest", "nth", "first_sequence"]
 PASSES = 12           # of the least-squares solver
 PACKED = 1 << 62      # sequences of combinations and rests count from here
 
-#: A word with the space before it, or spaces; ids of a text are the ids of these in turn.
-_CHUNK = re.compile(r" ?[^\t\n\r ]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]")
-#: Texts with other spaces than these four are encoded whole.
-_ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
-#: Texts with none of these have single spaces, and one or two line breaks, between words.
-_RUNS = ("  ", " \n", "\n ", "\n\n\n", "\t", "\r", "\0")
+#: How a byte-level tokenizer cuts texts; no longer run of spaces is given to the fast library.
+_PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+_LONG_GAP = r"\s{4096}"
 
 
-def _chunks(text: str) -> list[str]:
-    """What _CHUNK finds; plainly spaced texts are split without a pattern."""
-    if text[0] in " \n" or text[-1] in " \n" or any(r in text for r in _RUNS):
-        return _CHUNK.findall(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace("\0\0", "\0").split("\0")
+def _byte_of() -> dict[str, int]:
+    """Which byte each character of a byte-level vocabulary stands for: itself if it prints, else 256 and up."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(rest)}}
 
 
 class _Encoder:
-    """Ids as packed bytes. Words are looked up once and then remembered."""
+    """Ids as packed bytes, those of the tokenizer's file.
+
+    A plain byte-level BPE is run by a faster library with the same vocabulary. Texts
+    that hold an added token's string or a very long gap, and all texts of other
+    tokenizers, go through the tokenizer itself.
+    """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.kind).tobytes()
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        pieces = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
-        self.spaced = np.array([p.startswith("\u0120") for p in pieces])  # byte-level sign for a space
-        self.marks = dict(zip(",.", self._ids([",", "."]), strict=True))
-        self.line = np.array([p == "\u010a" for p in pieces])             # and for a line break
-        pre = self.tokenizer.pre_tokenizer
-        self.by_word = type(pre).__name__ == "ByteLevel" and not getattr(pre, "add_prefix_space", True) \
-            and self.tokenizer.normalizer is None
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(f.ids, self.kind).tobytes() for f in found]
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words: many in one text, which is cut where a token begins with a space or a line."""
-        spaced = [w for w in words if w[0] == " " and len(w) > 1]
-        bare = [w for w in words if w[0] not in "\t\n\r "]
-        known = {}
-        for group, text, opens, skip in (
-            (spaced, "".join(spaced), self.spaced, 0), (bare, "".join("\n" + w for w in bare), self.line, 1),
-        ):
-            if not group:
-                continue
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-            at = np.append(np.flatnonzero(opens[ids]), len(ids)) * self.kind.itemsize
-            if len(at) != len(group) + 1:  # a word holds such a token itself
-                known.update(zip(group, self._ids(group), strict=True))
-                continue
-            packed, skip = ids.tobytes(), skip * self.kind.itemsize
-            known.update((w, packed[a + skip:b]) for w, a, b in zip(group, at[:-1].tolist(), at[1:].tolist(), strict=True))
-        rest = [w for w in words if w not in known]
-        known.update(zip(rest, self._ids(rest), strict=True))
-        return known
+        with open(path, encoding="utf-8") as file:
+            self.fast = self._fast(json.load(file))
+
+    def _fast(self, spec: dict):
+        model, pre = spec["model"], spec["pre_tokenizer"] or {}
+        added = [t["content"] for t in spec["added_tokens"]]
+        merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model.get("merges", [])]
+        plain = (
+            model["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+            and spec["normalizer"] is None and not model.get("dropout") and not model.get("ignore_merges")
+            and None not in merged and merged == sorted(merged)
+        )
+        self.odd = re.compile("|".join([_LONG_GAP, *map(re.escape, added)]))
+        if not plain:
+            return None
+        import tiktoken
+
+        byte = _byte_of()
+        ranks = {bytes(byte[c] for c in piece): i for piece, i in model["vocab"].items() if piece not in added}
+        return tiktoken.Encoding("vocabulary", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if t and (not self.by_word or _ODD_SPACE.search(t))]
         out = [self.end] * len(texts)
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids + self.end
-        skipped, split, missing, wanted = set(whole), {}, {}, set()
-        known = self.known
+        whole = []
         for i, text in enumerate(texts):
-            if text and i not in skipped:
-                words = _chunks(text)
-                split[i] = list(map(known.get, words))
-                missing[i] = [(k, words[k]) for k, ids in enumerate(split[i]) if ids is None]
-                wanted.update(w for _, w in missing[i])
-        # Words of the last generation that are still in use move to this one.
-        known.update({w: self.old[w] for w in wanted if w in self.old})
-        new = {w for w in wanted if w not in known}
-        # A comma or full stop behind a letter is a token of its own.
-        marked = [w for w in new if w[-1] in ",." and w[-2:-1].isascii() and w[-2:-1].isalpha()]
-        new.difference_update(marked)
-        bases = {w[:-1] for w in marked}
-        known.update({w: self.old[w] for w in bases if w in self.old})
-        new |= {w for w in bases if w not in known}
-        known.update(self._learn(list(new)))
-        known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in marked)
-        for i, ids in split.items():
-            for k, w in missing[i]:
-                ids[k] = known[w]
-            out[i] = b"".join(ids) + self.end
-        if len(known) > CACHED_WORDS:
-            self.old, self.known = known, {}
+            if text and self.fast is not None and not self.odd.search(text):
+                out[i] = np.array(self.fast.encode_ordinary(text), self.kind).tobytes() + self.end
+            elif text:
+                whole.append(i)
+        found = self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
+        for i, ids in zip(whole, found, strict=True):
+            out[i] = np.array(ids.ids, self.kind).tobytes() + self.end
         return out
 
 
@@ -142,33 +112,39 @@ def token_width(path: str) -> int:
 
 
 def tokenize(docs: DataFrame, path: str, text: str = "text", end_id: int = 1, window: int = WINDOW) -> DataFrame:
-    """Documents as (uid, row, ids, first_sequence); ids are packed little-endian integers.
+    """Documents as (part, row, ids, doc_tokens, rest, nth, first_sequence); ids are packed little-endian integers.
 
-    ``first_sequence`` numbers whole windows within a partition of the input.
+    ``part`` is the partition of the input. ``rest`` is what a document has beyond whole
+    windows, ``nth`` counts the earlier documents of its part with as long a rest, and
+    ``first_sequence`` numbers whole windows.
     """
     others = [F.col(f"`{c}`") for c in docs.columns if c != text]
     keyed = docs.select(
-        F.monotonically_increasing_id().alias("uid"),
+        F.spark_partition_id().cast("long").alias("part"),
         F.struct(*others, F.lit(None).cast("boolean").alias("llm_end")).alias("row"), F.col(f"`{text}`").alias("text"),
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before = _encoder(path, end_id), 0
+        encoder, before, seen = _encoder(path, end_id), 0, np.zeros(window, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = encoder.encode(part["text"].to_pylist())
-                uid = part["uid"].to_numpy()
-                full = np.array([len(x) // encoder.kind.itemsize // window for x in ids], np.int64)
-                first = (uid >> 33 << 33) + before + np.cumsum(full) - full
+                size = np.array([len(x) for x in ids], np.int64) // encoder.kind.itemsize
+                full, rest, nth = size // window, size % window, np.zeros(len(size), np.int64)
+                for i, r in enumerate(rest.tolist()):
+                    nth[i] = seen[r]
+                    seen[r] += 1
+                first = (part["part"].to_numpy() << 33) + before + np.cumsum(full) - full
                 before += int(full.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [part["uid"], part["row"], pa.array(ids, pa.binary()), pa.array(first)],
-                    ["uid", "row", "ids", "first_sequence"],
+                    [part["part"], part["row"], pa.array(ids, pa.binary()), *map(pa.array, (size, rest, nth, first))],
+                    ["part", "row", "ids", *TOKENIZED],
                 )
 
-    row = keyed.schema["row"].dataType.simpleString()
-    return keyed.mapInArrow(encode, f"uid long, row {row}, ids binary, first_sequence long")
+    schema = T.StructType([
+        *keyed.schema.fields[:2], T.StructField("ids", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in TOKENIZED]])
+    return keyed.mapInArrow(encode, schema)
 
 
 def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
@@ -252,94 +228,56 @@ def pack(tokens: DataFrame, width: int, window: int = WINDOW) -> DataFrame:
     """Pieces of all documents, each with its sequence and offset.
 
     ``tokens`` as from ``tokenize``. Returns the documents' columns and start,
-    length, ids, doc_tokens, sequence_id and offset.
+    length, ids, doc_tokens, sequence_id and offset. The ids are written once and stay
+    where they are: what each part of them needs is one row, the ranks at which its
+    rests begin.
     """
-    spark = tokens.sparkSession
-    held = materialize(tokens, "tokens").withColumn("doc_tokens", (F.octet_length("ids") / width).cast("long"))
-    full = F.floor(F.col("doc_tokens") / window)
-    cut = lambda start, length: F.substring("ids", (start * width + 1).cast("int"), (length * width).cast("int"))
-    names = ["row", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-    whole = held.filter(full > 0).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), full - 1))).select(
-        "row", (F.col("k") * window).alias("start"), F.lit(window).cast("long").alias("length"),
-        cut(F.col("k") * window, F.lit(window)).alias("ids"), "doc_tokens",
-        (F.col("first_sequence") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
-    )
-    rests = held.withColumn("r", F.col("doc_tokens") % window).filter("r > 0")
-    found = rests.groupBy("r").count().collect()  # at most window - 1 rows
+    held = write_bucketed(tokens, "part")
+    counts = materialize(held.filter("rest > 0").groupBy("part", "rest").agg(F.count(F.lit(1)).alias("n")), "rests")
     histogram = np.zeros(window + 1, np.int64)
-    for r, n in found:
+    for r, n in counts.groupBy("rest").agg(F.sum("n")).collect():  # at most window - 1 rows
         histogram[r] = n
     slots, taken, sequences = plan(histogram, window)
-    left = histogram - taken
-    sizes = np.arange(window + 1) * left
-    base = (np.cumsum(sizes[::-1])[::-1] - sizes).tolist()  # long rests first
-    total = int(sizes.sum())
-    by_length: dict[int, list] = {int(r): [] for r, _ in found}
+    sizes = np.arange(window + 1) * (histogram - taken)
+    base = np.cumsum(sizes[::-1])[::-1] - sizes  # long rests first
+    by_length: dict[int, list] = {int(r): [] for r in np.flatnonzero(histogram)}
     for r, *slot in slots:
         by_length[r].append(tuple(slot))
-    lookup = spark.createDataFrame(
-        [(r, -(-int(histogram[r]) // SHARE), int(taken[r]), int(base[r]), s) for r, s in by_length.items()],
-        f"r long, shares long, taken long, base long, slots {SLOTS}",
-    )
-    pieces = _ranked(rests, F.broadcast(lookup))  # at most window - 1 rows
-    placed = _slots(pieces, sequences, total, window)
-    tail = F.col("doc_tokens") - F.col("r") + F.col("skip")
-    part = placed.select(
-        "row", tail.alias("start"), "length",
-        F.substring("ids", (F.col("skip") * width + 1).cast("int"), (F.col("length") * width).cast("int")).alias("ids"),
-        "doc_tokens", "sequence_id", "offset",
-    )
-    out = whole.select(*names).unionByName(part.select(*names))
-    new = names[1:]
-    return out.select(*[c for c in _own(out, new)], *new)
-
-
-def _own(df: DataFrame, new: list[str]) -> list[Column]:
-    kept = {f.name for f in df.schema["row"].dataType.fields} - set(new)
-    return [c for f, c in zip([f.name for f in df.schema["row"].dataType.fields if f.name != "llm_end"], row_columns(df), strict=True) if f in kept]
-
-
-def _ranked(rests: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Rank of each rest among those of its length, without a group of all of them."""
-    from pyspark.sql import Window
-
-    shared = rests.join(lookup, "r").withColumn("share", F.pmod(F.xxhash64("uid"), "shares"))
-    sizes = rests.select("r", "uid").join(lookup, "r").withColumn("share", F.pmod(F.xxhash64("uid"), "shares"))
-    sizes = sizes.groupBy("r", "share").count()
-    before = F.sum("count").over(Window.partitionBy("r").orderBy("share").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("r", "share", F.coalesce(before, F.lit(0)).alias("before"))
-    width = F.octet_length("ids") / F.col("doc_tokens")
-    return (
-        shared.withColumn("ids", F.substring("ids", ((F.col("doc_tokens") - F.col("r")) * width + 1).cast("int"), (F.col("r") * width).cast("int")))
-        .join(sizes, ["r", "share"])
-        .withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("r", "share").orderBy("uid")) - 1)
-    )
-
-
-def _slots(pieces: DataFrame, sequences: int, total: int, window: int) -> DataFrame:
-    """Sequence, offset, skipped ids and length of each piece of a rest."""
+    lookup = tokens.sparkSession.createDataFrame(
+        [(r, int(taken[r]), int(base[r]), s) for r, s in by_length.items()], f"rest long, taken long, base long, slots {SLOTS}")
+    earlier = F.sum("n").over(Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select("part", "rest", F.coalesce(earlier, F.lit(0).cast("long")).alias("before")).groupBy("part").agg(
+        F.map_from_entries(F.collect_list(F.struct("rest", "before"))).alias("before"))  # at most window - 1 entries
+    ranked = held.join(before, "part", "left").withColumn("rank", F.expr("try_element_at(before, rest) + nth"))
+    pieces = ranked.join(F.broadcast(lookup), "rest", "left").withColumn(  # at most window - 1 rows
+        "piece", F.explode(_pieces(sequences, int(sizes.sum()), window)))
+    cut = F.substring("ids", (F.col("piece.start") * width + 1).cast("int"), (F.col("piece.length") * width).cast("int"))
+    new = {"start": F.col("piece.start"), "length": F.col("piece.length"), "ids": cut, "doc_tokens": F.col("doc_tokens"),
+           "sequence_id": F.col("piece.sequence_id"), "offset": F.col("piece.offset")}
+    return pieces.select(*row_columns(pieces, without=set(new)), *[c.alias(n) for n, c in new.items()])
+
+
+def _pieces(sequences: int, total: int, window: int) -> Column:
+    """Array of a document's pieces: whole windows, then its rest in a combination or end to end with others."""
     last = total // window * window  # the last, short window holds powers of two
-    ends = np.cumsum([0, *powers(total - last)]).tolist()
-    bounds = F.array(*[F.lit(last + e).cast("long") for e in ends])
-    slot = F.expr("filter(slots, s -> rank >= s.low and rank < s.high)[0]")
-    inside = F.col("rank") < F.col("taken")
-    packed = pieces.filter(inside).withColumn("slot", slot).withColumn("nth", F.col("rank") - F.col("slot.low")).select(
-        "row", "ids", "doc_tokens", "r", F.lit(0).cast("long").alias("skip"), F.col("r").alias("length"),
-        (F.lit(PACKED) + F.col("slot.sequence") + F.floor(F.col("nth") / F.col("slot.uses"))).alias("sequence_id"),
-        F.expr("slot.offsets[cast(nth % slot.uses as int)]").alias("offset"),
-    )
-    at = F.col("base") + (F.col("rank") - F.col("taken")) * F.col("r")
-    loose = pieces.filter(~inside).withColumn("at", at).withColumn("end", F.col("at") + F.col("r"))
-    loose = loose.withColumn("full", (F.floor(F.col("at") / window) + 1) * window).withColumn("bounds", bounds)
-    cuts = F.expr("array_sort(array_distinct(concat(array(at), filter(array(full), c -> c < end), filter(bounds, c -> c > at and c < end))))")
-    loose = loose.withColumn("cuts", cuts).select("*", F.posexplode("cuts").alias("nth", "begin"))
-    stop = F.coalesce(F.expr("try_element_at(cuts, nth + 2)"), F.col("end"))
-    short = F.expr("size(filter(bounds, c -> c <= begin))")  # from 1 within the last window
-    number = F.when(F.col("begin") < last, F.floor(F.col("begin") / window)).otherwise(F.lit(last // window) + short - 1)
-    origin = F.when(F.col("begin") < last, F.floor(F.col("begin") / window) * window).otherwise(
-        F.expr("array_max(filter(bounds, c -> c <= begin))"))
-    loose = loose.select(
-        "row", "ids", "doc_tokens", "r", (F.col("begin") - F.col("at")).alias("skip"), (stop - F.col("begin")).alias("length"),
-        (F.lit(PACKED + sequences) + number).alias("sequence_id"), (F.col("begin") - origin).alias("offset"),
-    )
-    return packed.unionByName(loose)
+    ends = [last, *(last + np.cumsum(powers(total - last))).tolist()]
+    bounds = f"array({', '.join(f'{int(e)}L' for e in ends)})"
+    piece = lambda start, length, sequence, offset: (
+        f"named_struct('start', {start}, 'length', {length}, 'sequence_id', {sequence}, 'offset', {offset})")
+    whole = f"transform(sequence(0L, doc_tokens div {window} - 1), k -> {piece(f'k * {window}L', f'{window}L', 'first_sequence + k', '0L')})"
+    slot = "filter(slots, s -> rank >= s.low and rank < s.high)"
+    packed = f"transform({slot}, s -> " + piece(
+        "doc_tokens - rest", "rest", f"{PACKED}L + s.sequence + (rank - s.low) div s.uses", "s.offsets[cast((rank - s.low) % s.uses as int)]") + ")"
+    at = "(base + (rank - taken) * rest)"
+    end = f"({at} + rest)"
+    cuts = (f"array_sort(array_distinct(concat(array({at}), filter(array(({at} div {window} + 1) * {window}L), c -> c < {end}), "
+            f"filter({bounds}, c -> c > {at} and c < {end}))))")
+    held = f"filter({bounds}, e -> e <= c)"
+    loose = f"transform({cuts}, (c, i) -> " + piece(
+        f"c - {at} + doc_tokens - rest", f"coalesce(try_element_at({cuts}, i + 2), {end}) - c",
+        f"{PACKED + sequences}L + if(c < {last}, c div {window}, {last // window}L + size({held}) - 1)",
+        f"c - if(c < {last}, c div {window} * {window}L, array_max({held}))") + ")"
+    none = f"filter(array({piece('0L', '0L', '0L', '0L')}), p -> false)"
+    return F.expr(
+        f"concat(if(doc_tokens >= {window}, {whole}, {none}), "
+        f"case when rest = 0 then {none} when rank < taken then {packed} else {loose} end)")
