@@ -4,19 +4,17 @@ The mix has ``share`` of all words. Sources share it by weight; a target stops a
 ``limit`` times its source's size and what is over is shared by weight again. A
 source gives whole passes first (as many as its target holds); the words beyond
 them are equal-token blocks, apportioned to sources and then to the hashed shards
-of each source by highest quotients votes / (2 seats + 1). A shard takes its
-quota of blocks at even steps from a seeded start, over its documents in seeded
-order, so what a document gives follows from its position alone and blocks are
-never listed.
+of each source by highest quotients votes / (2 seats + 1). A shard's documents lie in
+seeded order, and its quota takes the first blocks of them: whole documents, and the
+beginning of the one at which it ends.
 
-Only one row per source and one per shard are ordered together, never documents
-of a source or of the whole table. The same rows give the same mix however they
-are partitioned.
+Only one row per source and one per shard are ordered together, and within a shard
+its keys, never texts. The same rows give the same mix however they are partitioned.
 
 Edge cases: NULL and empty texts have size 0 and give nothing. A null source is a
-source of its own, the last. Repeated rows are documents of their own; among rows
-equal in id, source and text it does not matter which gives more. Empty tables
-give empty results. Columns named like results are replaced.
+source of its own, the last. Repeated rows are documents of their own; where a quota
+ends among rows equal in id, source and text, each gives the same share of its words,
+rounded down. Empty tables give empty results. Columns named like results are replaced.
 """
 
 from __future__ import annotations
@@ -29,10 +27,12 @@ from lintmill.session import materialize
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 LIMIT = 2
-BLOCK = 8      # words
-SHARD = 4096   # documents
+BLOCK = 8        # words
+SHARD = 4096     # documents, more where there would be more than SHARDS
+SHARDS = 1 << 16
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
+GAP_AND_WORD = r"[\x20\x09-\x0D]*" + WORD
 RESULTS = ("size", "source_size", "target", "taken")
 
 
@@ -73,7 +73,7 @@ def apportion(votes: DataFrame, vote: str, total: Column | str, group: list[str]
     about three per party, since rounding all shares is off by half a seat each.
     """
     whole = Window.partitionBy(*group)
-    share = F.col(vote) / F.sum(vote).over(whole)
+    share = F.try_divide(F.col(vote), F.sum(vote).over(whole))
     parties = F.count(F.lit(1)).over(whole)
     party = F.struct(*[c for c in votes.columns])
     fair = votes.withColumn("all_seats", total if isinstance(total, Column) else F.col(total)).withColumns({
@@ -97,68 +97,74 @@ def apportion(votes: DataFrame, vote: str, total: Column | str, group: list[str]
 
 def mix_sources(
     docs: DataFrame, size: Column, text_key: Column, id_column: str = "doc_id", source: str = "source",
-    weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT, block: int = BLOCK, seed: int = SEED,
+    weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT, block: int = BLOCK, seed: int = SEED, shards: int = SHARDS,
 ) -> DataFrame:
     """What the mix takes of every document.
 
     ``size`` gives a document's words, ``text_key`` tells texts apart. Adds size,
-    source_size, target, taken (words, repeats counted), passes (whole copies),
-    low and high (where the document lies among its shard's words), quota, blocks
-    and turn (which blocks of the shard are taken; see ``taken_before``).
+    source_size, target and taken (words, repeats counted). Only sizes and keys are
+    written and shuffled; the documents meet one row per shard, which says where its
+    quota ends, and stay where they are.
     """
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in RESULTS]
+    names = [c for c in docs.columns if c not in RESULTS]
     key = F.xxhash64(F.col(f"`{id_column}`").cast("string"), text_key, F.lit(seed))
-    held = materialize(
-        docs.select(F.struct(*kept).alias("row"), F.col(f"`{source}`").cast("string").alias("source"), size.alias("size"), key.alias("key"),
-                    F.col(f"`{id_column}`").alias("id")), "mixed",
-    )
+    of = F.col(f"`{source}`").cast("string")
+    held = materialize(docs.select(of.alias("source"), size.alias("size"), key.alias("key")), "sizes")
     sources = targets(
         held.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("source_size")), weights, share, limit
     )
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     beyond = sources.withColumn("passes", passes).withColumn(
         "extra", F.greatest(F.col("target") - F.col("passes") * F.col("source_size"), F.lit(0.0)))
-    beyond = beyond.withColumn("seats_all", F.round(F.sum("extra").over(Window.partitionBy()) / block).cast("long"))
+    everything = Window.partitionBy()
+    beyond = beyond.withColumns({
+        "seats_all": F.round(F.sum("extra").over(everything) / block).cast("long"),
+        "shards": F.greatest(F.least(F.ceil(F.col("docs") / SHARD), F.ceil(shards * F.col("docs") / F.sum("docs").over(everything))), F.lit(1)),
+    })
     sources = materialize(apportion(beyond, "extra", "seats_all", [], "seats").drop("seats_all"), "sources")
 
-    shards = F.greatest(F.ceil(F.col("docs") / SHARD), F.lit(1))
-    placed = held.join(
-        sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")),
-    ).withColumn("shard", F.pmod("key", shards)).drop("of")
-    votes = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats"))
+    # Rows with equal keys are one row here: copies of a document share what they give.
+    groups = held.groupBy("source", "key").agg(F.sum("size").alias("size")).join(
+        sources.select(F.col("source").alias("of"), "shards", "seats"), F.col("source").eqNullSafe(F.col("of"))
+    ).drop("of").withColumn("shard", F.pmod("key", F.col("shards")))
+    votes = groups.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats"))
     quotas = apportion(votes, "shard_size", "seats", ["source"], "quota").select(
-        F.col("source").alias("of"), F.col("shard").alias("at"), "shard_size",
-        F.ceil(F.col("shard_size") / block).alias("blocks"), "quota",
-    ).withColumn("quota", F.least("quota", "blocks"))
-    quotas = quotas.withColumn("turn", F.pmod(F.xxhash64("of", "at", F.lit(seed)), F.greatest("blocks", F.lit(1))))
-
-    shard = Window.partitionBy("source", "shard").orderBy("key", "id")
+        F.col("source").alias("of"), F.col("shard").alias("at"),
+        F.least(F.col("quota") * block, F.col("shard_size")).alias("quota"))
+    placed = groups.join(quotas, F.col("source").eqNullSafe(F.col("of")) & (F.col("shard") == F.col("at")))
+    shard = Window.partitionBy("source", "shard").orderBy("key")
     high = F.sum("size").over(shard.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = placed.join(quotas, F.col("source").eqNullSafe(F.col("of")) & (F.col("shard") == F.col("at"))).withColumn("high", high)
-    out = out.withColumn("low", F.col("high") - F.col("size"))
-    extra = taken_before(F.col("high"), block) - taken_before(F.col("low"), block)
-    return out.select(
-        "row.*", "size", "source_size", "target", (F.col("passes") * F.col("size") + extra).alias("taken"),
-        "passes", "low", "high", "quota", "blocks", "turn",
-    )
-
-
-def taken_before(place: Column, block: int = BLOCK) -> Column:
-    """Words of the taken blocks before a word position of the shard.
-
-    Block k is taken if floor((k + turn + 1) quota / blocks) is above
-    floor((k + turn) quota / blocks): quota of them, at even steps.
+    first_left_out = placed.withColumn("high", high).filter("high > quota").groupBy("source", "shard").agg(
+        F.min(F.struct("key", "size", (F.col("quota") - F.col("high") + F.col("size")).alias("some"))).alias("cut"))
+    cuts = votes.select("source", "shard").join(
+        first_left_out.select(F.col("source").alias("s"), F.col("shard").alias("n"), "cut"),
+        F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("n")), "left",
+    ).select("source", "shard", "cut").join(
+        sources.select(F.col("source").alias("s"), "shards", "source_size", "target", "passes"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    cuts = materialize(cuts, "cuts")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), size.alias("size"), key.alias("key"), of.alias("of"))
+    # A row per source is at most a row per document; beyond the bound Spark decides how to join.
+    few = cuts.select("source", "shards").distinct().count() <= shards and cuts.count() <= 3 * shards
+    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    known = rows.join(small(cuts.select("source", "shards").distinct().withColumnRenamed("shards", "of_shards")),
+                      F.col("of").eqNullSafe(F.col("source")), "left").drop("source")
+    known = known.withColumn("at", F.pmod("key", F.col("of_shards")))
+    joined = known.join(small(cuts), F.col("of").eqNullSafe(F.col("source")) & (F.col("at") == F.col("shard")), "left")
+    extra = F.when(F.col("cut").isNull() | (F.col("key") < F.col("cut.key")), F.col("size")).when(
+        F.col("key") == F.col("cut.key"), F.floor(F.col("size") * F.col("cut.some") / F.col("cut.size"))).otherwise(F.lit(0))
+    return joined.select("row.*", "size", "source_size", "target", (F.col("passes") * F.col("size") + extra).cast("long").alias("taken"))
+
+
+def mixed_texts(mixed: DataFrame, text: str = "text") -> DataFrame:
+    """The mix itself: a row per whole copy, and one for what else is taken of a document.
+
+    That is its beginning, white space kept; only the document at which a shard's quota
+    ends gives such a piece.
     """
-    nth = lambda k: F.floor((k + F.col("turn")) * F.col("quota") / F.greatest("blocks", F.lit(1).cast("long")))
-    k = F.floor(place / block)
-    return ((nth(k) - nth(F.lit(0))) * block + (place - k * block) * (nth(k + 1) - nth(k))).cast("long")
-
-
-def mixed_texts(mixed: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
-    """The mix itself: a row per whole copy, and one for the taken blocks of a document."""
-    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))
-    taken = lambda w, i: taken_before(F.col("low") + i + 1, block) > taken_before(F.col("low") + i, block)
-    some = F.array_join(F.filter(words, taken), " ")
-    whole = mixed.filter("passes > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes")))).drop("copy")
-    part = mixed.filter(F.col("taken") > F.col("passes") * F.col("size")).withColumn(text, some)
-    return whole.unionByName(part)
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
+    rest = (F.col("taken") - whole * F.col("size")).cast("int")
+    takes = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    words = F.regexp_extract_all(F.col(text), F.lit(GAP_AND_WORD), F.lit(0))
+    some = F.array_join(F.slice(words, 1, F.greatest(F.col("_take"), F.lit(0))), "")
+    return mixed.withColumn("_take", F.explode(takes)).withColumn(
+        text, F.when(F.col("_take") < 0, F.col(text)).otherwise(some)).drop("_take")

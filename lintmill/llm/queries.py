@@ -13,7 +13,7 @@ from lintmill.llm import (
     chat_format, fingerprints, jaccard_join, lm_scoring, mixing, neighbours, packing, quality, repair, substring_dedup, toxicity,
     vector_codes, warc,
 )
-from lintmill.session import scratch_path
+from lintmill.session import materialize, scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -102,9 +102,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(
-        "doc_id", "source", mixing.word_count("text").alias("size"), F.xxhash64("text").alias("key")
+        "doc_id", "source", mixing.word_count("text").alias("words"), F.xxhash64("text").alias("text_key")
     )
-    mixed = mixing.mix_sources(docs, F.col("size"), F.col("key"))
+    mixed = mixing.mix_sources(materialize(docs, "words"), F.col("words"), F.col("text_key"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
