@@ -23,6 +23,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -52,7 +53,7 @@ HEADERS = {  # column: header
     "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "payload_bytes": "X-Payload-Length",
 }
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-LISTING = "_files.json"
+LISTING = re.compile(r"_files.*\.json")  # one for each commit, all of them read
 FILE_BYTES = 64 << 20        # a task starts a new file beyond this
 PARTITION_BYTES = 128 << 20  # archives that one task reads, if they are smaller
 STEP = 1 << 16
@@ -118,12 +119,26 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return WarcWriter(self.options["path"], schema.names)
+        return WarcWriter(self.options["path"], schema.names, overwrite)
+
+
+def _listings(system: fs.FileSystem, root: str) -> list[str]:
+    """Lists of the files of all commits to a folder."""
+    found = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    return sorted(i.path for i in found if i.type == fs.FileType.File and LISTING.fullmatch(i.base_name))
+
+
+def _listed(system: fs.FileSystem, listings: list[str]) -> list[tuple[str, int]]:
+    found = []
+    for path in listings:
+        with system.open_input_stream(path) as listing:
+            found.extend((name, size) for name, size in json.loads(listing.read()))
+    return found
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, names: list[str]):
-        self.path, self.names = path.rstrip("/"), names
+    def __init__(self, path: str, names: list[str], overwrite: bool):
+        self.path, self.names, self.overwrite = path.rstrip("/"), names, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         system, root = file_system(self.path)
@@ -147,9 +162,13 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[_Written | None]) -> None:
         system, root = file_system(self.path)
         system.create_dir(root, recursive=True)
+        before = _listings(system, root) if self.overwrite else []
+        old = _listed(system, before)
         listed = [f for m in messages if m for f in m.files]
-        with system.open_output_stream(f"{root}/{LISTING}") as out:
+        with system.open_output_stream(f"{root}/_files-{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps(listed).encode())
+        for path in [*before, *(f"{root}/{name}" for name, _ in old)]:
+            system.delete_file(path)
 
     def abort(self, messages: list[_Written | None]) -> None:
         system, root = file_system(self.path)
@@ -177,9 +196,9 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[_Task]:
         system, root = file_system(self.path)
-        if system.get_file_info(f"{root}/{LISTING}").type == fs.FileType.File:
-            with system.open_input_stream(f"{root}/{LISTING}") as listing:
-                found = [(f"{root}/{name}", size) for name, size in json.loads(listing.read())]
+        listings = _listings(system, root)
+        if listings:
+            found = [(f"{root}/{name}", size) for name, size in _listed(system, listings)]
         else:
             infos = system.get_file_info(fs.FileSelector(root, recursive=True))
             found = [(i.path, i.size) for i in infos if i.path.endswith((".warc", ".warc.gz"))]
@@ -302,10 +321,13 @@ def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFr
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
-def write_archive(records: DataFrame, path: str) -> None:
-    """Write rows with the columns of SCHEMA (headers are made from the others)."""
+def write_archive(records: DataFrame, path: str, mode: str = "append") -> None:
+    """Write rows with the columns of SCHEMA (headers are made from the others).
+
+    Records are added to those below the path, or replace them with ``overwrite``.
+    """
     records.sparkSession.dataSource.register(WarcSource)
-    records.write.format("warc").mode("append").save(path)
+    records.write.format("warc").mode(mode).save(path)
 
 
 def page_records(
