@@ -339,16 +339,16 @@ def _label_flags(classes: DataFrame, buckets: int) -> DataFrame:
         new = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
         low, high = (f.reduceat(mark, new) if len(new) else mark for f in (np.minimum, np.maximum))
         names = token[new]
-        one = np.where(low == high, low, 0).astype(np.uint32)  # 0: several labels
+        one = np.where(low == high, low, np.uint64(0))  # 0: several labels
         return B.sent_rows(t["block"][0].as_py(), names, [names.astype(np.uint32), one], buckets)
 
     def answer(blobs: list[bytes]) -> list[bytes]:
-        sizes = [len(b) // 8 for b in blobs]
+        sizes = [len(b) // 12 for b in blobs]
         names = np.concatenate([np.frombuffer(b, "<u4", k) for b, k in zip(blobs, sizes, strict=True)])
-        marks = np.concatenate([np.frombuffer(b, "<u4", k, 4 * k) for b, k in zip(blobs, sizes, strict=True)])
+        marks = np.concatenate([np.frombuffer(b, "<u8", k, 4 * k) for b, k in zip(blobs, sizes, strict=True)])
         _, place = np.unique(names, return_inverse=True)
-        low = np.full(place.max(initial=-1) + 1, 1 << 32, np.int64)
-        high = np.zeros(len(low), np.int64)
+        low = np.full(place.max(initial=-1) + 1, (1 << 64) - 1, np.uint64)
+        high = np.zeros(len(low), np.uint64)
         np.minimum.at(low, place, marks)
         np.maximum.at(high, place, marks)
         several = ((low != high) | (low == 0))[place]
@@ -358,13 +358,13 @@ def _label_flags(classes: DataFrame, buckets: int) -> DataFrame:
 
 
 def _marked(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """All shingles of a block's classes in order, with a 32-bit mark of their label (never 0)."""
+    """All shingles of a block's classes in order, with a 64-bit mark of their label (never 0)."""
     members = [np.frombuffer(m, np.uint64) for m in t["members"].to_pylist()]
-    mark = W.mix(t["label"].to_numpy().astype(np.uint64)).astype(np.uint32) | np.uint32(1)
+    mark = t["label"].to_numpy().astype(np.int64).view(np.uint64) + np.uint64(1)
     token = np.concatenate(members) if members else np.zeros(0, np.uint64)
     marks = np.repeat(mark, [len(m) for m in members])
     order = np.argsort(token, kind="stable")
-    return token[order], marks[order].astype(np.int64)
+    return token[order], marks[order]
 
 
 def _cross_label_pairs(

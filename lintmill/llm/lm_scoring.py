@@ -102,7 +102,8 @@ def _answer(table: pa.Table) -> pa.Table:
     )
     low, high, count = part("<u4", 0), part("<u2", 4), part("<u4", 6)
     _, first, place = np.unique(high.astype(np.uint64) << np.uint64(32) | low, return_index=True, return_inverse=True)
-    total = np.bincount(place, weights=count).astype(np.uint32)
+    total = np.bincount(place, weights=count).astype(np.uint64)  # exact below 2**53
+    total = total.astype(np.uint32 if total.max(initial=0) < 1 << 32 else np.uint64)
     tokens = total[low[first] & 3 == 1].astype(np.int64)
     replies = [x.tobytes() for x in np.split(total[place], np.cumsum(sizes)[:-1])]
     rows = table.num_rows
@@ -115,6 +116,12 @@ def _answer(table: pa.Table) -> pa.Table:
     })
 
 
+def _totals(edges: np.ndarray, blobs: list[bytes]) -> np.ndarray:
+    """What the buckets answered for a block's sorted names: 4 or 8 bytes a name."""
+    counts = [n for n in np.diff(edges) if n]
+    return np.concatenate([np.frombuffer(b, f"<u{len(b) // n}").astype(np.uint64) for n, b in zip(counts, blobs, strict=True)])
+
+
 def score_texts(
     docs: DataFrame, held_out: Column, order: int = ORDER, strength: float = STRENGTH
 ) -> DataFrame:
@@ -131,13 +138,12 @@ def score_texts(
     found = answers.filter("block = -1").agg(F.sum("tokens"), F.sum("distinct_tokens")).first()
     tokens, distinct = found[0] or 0, found[1] or 0
     documents = made.table.filter("not row.held_out").count()
-    kept_schema = made.table.schema["row"].dataType.simpleString()
 
     def score(key, t, found):
         if not t.num_rows:
             return pa.table({"row": t["row"], **{k: pa.array([], v) for k, v in kinds.items()}})
         block = _Block(t.append_column("held_out", pa.compute.struct_field(t["row"], "held_out")), order)
-        totals = np.concatenate([np.frombuffer(b, "<u4") for b in B.ordered(found)])
+        totals = _totals(B.edges(block.names, buckets), B.ordered(found))
         known, base, total = block.scores(totals, strength, tokens, distinct, documents)
         values = (block.count, known, np.full(len(known), tokens), base, total)
         return pa.table({"row": t["row"], **{k: pa.array(x, kinds[k]) for k, x in zip(kinds, values, strict=True)}})
@@ -145,6 +151,6 @@ def score_texts(
     kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
     whole = made.table.drop("uid")
     out = whole.groupBy("block").cogroup(answers.filter("block >= 0").select("block", "bucket", "blob").groupBy("block")).applyInArrow(
-        score, f"row {kept_schema}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        score, B.with_row(made.table, "n_tokens long, n_known long, train_tokens long, base_score double, score double")
     )
     return out.select(*B.row_columns(out), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lintmill.llm import blocks as B
 from lintmill.llm import words as W
 
 SAMPLE = 20_000
@@ -182,7 +183,6 @@ def score(docs: DataFrame, model: Model | None, prior: float = 0.5, text: str =
                     found = model.score(statistics(part["text"]))
                     yield pa.RecordBatch.from_arrays([part["row"], part["text"], pa.array(found)], ["row", "text", "score"])
 
-        row = held.schema["row"].dataType.simpleString()
-        scored = held.mapInArrow(rate, f"row {row}, text string, score double").select(
+        scored = held.mapInArrow(rate, B.with_row(held, "text string, score double")).select(
             "row.*", F.col("text").alias(text), "score")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -201,7 +201,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     sent = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(windows, B.SENT)
     repeated = B.exchange(sent, _wide_flags)
     answers = shared.withColumn("step", F.lit(1)).unionByName(repeated.withColumn("step", F.lit(2)))
-    kept_schema = table.schema["row"].dataType.simpleString()
 
     def remove(key, t, found):
         steps = found["step"].to_numpy()
@@ -214,6 +213,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
         })
 
     out = table.drop("uid").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        remove, f"row {kept_schema}, text string, n_words long, n_removed long"
+        remove, B.with_row(table, "text string, n_words long, n_removed long")
     )
     return out.select(*B.row_columns(out), "text", "n_words", "n_removed")

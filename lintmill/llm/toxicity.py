@@ -33,6 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lintmill.llm import blocks as B
 from lintmill.llm import words as W
 from lintmill.session import materialize
 
@@ -273,6 +274,5 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", threshold: f
                     part = batch.slice(at, 1024)
                     yield pa.RecordBatch.from_arrays([part["row"], part["text"], pa.array(model.score(part["text"]))], ["row", "text", "score"])
 
-        row = held.schema["row"].dataType.simpleString()
-        scored = held.mapInArrow(rate, f"row {row}, text string, score double").select("row.*", F.col("text").alias(text), "score")
+        scored = held.mapInArrow(rate, B.with_row(held, "text string, score double")).select("row.*", F.col("text").alias(text), "score")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from lintmill.llm import fingerprints, neighbours, quality, queries, toxicity, warc
+from lintmill.llm import (
+    fingerprints, lm_scoring, mixing, neighbours, packing, quality, queries, substring_dedup, toxicity, warc,
+)
 from tests.conftest import SF
 from tests.llm.test_texts import components, repeats, split
 
@@ -42,6 +44,37 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archive(spark, empty).count() == 0
 
 
+def test_warc_appends_and_overwrites(spark, tmp_path):
+    path = str(tmp_path / "warc")
+    page = lambda i: warc.page_records(spark.createDataFrame([(i, "u", f"text {i}")], "page_id long, url string, html string"))
+    ids = lambda: sorted(r.record_id for r in warc.read_archive(spark, path).collect())
+    warc.write_archive(page(1), path)
+    warc.write_archive(page(2), path)
+    assert ids() == ["<urn:x-page:1>", "<urn:x-page:2>"]
+    warc.write_archive(page(3), path, "overwrite")
+    assert ids() == ["<urn:x-page:3>"]
+    warc.write_archive(page(4), path)
+    assert ids() == ["<urn:x-page:3>", "<urn:x-page:4>"]
+
+
+def test_columns_of_odd_names(spark):
+    """Spaces and dots in the names of columns that are carried along."""
+    docs = spark.createDataFrame([(1, "one two three.", "s", 7, "x"), (2, None, None, None, None)],
+                                 "doc_id long, text string, source string, `my col` long, `a.b` string")
+    kept = {"my col", "a.b"}
+    path = queries.tokenizer_path()
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels, F.lit(False))
+    frames = [
+        packing.pack(packing.tokenize(docs, path), packing.token_width(path)), substring_dedup.remove_repeats(docs),
+        lm_scoring.score_texts(docs, F.lit(False)), mixing.mix_sources(docs, mixing.word_count("text"), F.xxhash64("text")),
+        quality.score(docs, *model), toxicity.score(docs, toxicity.train(docs, labels, F.lit(False))),
+    ]
+    for df in frames:
+        assert kept <= set(df.columns)
+        assert {r["my col"] for r in df.collect()} == {7, None}
+
+
 def test_warc_of_others(spark, tmp_path):
     """Members without a length, and records that are not compressed."""
     records = [warc.record({"record_type": t, "record_id": f"<urn:x-page:{i}>", "payload": b"z" * n})
@@ -239,11 +272,23 @@ def test_logistic_reaches_the_least_loss():
 
 
 def test_toxicity_with_many_training_rows(spark):
-    sf = "/root/testdata/check_s"  # 1,619 toxic training rows
-    scored = queries.op10_toxicity(spark, sf).filter("held_out")
-    rows = scored.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("toxic", "predicted").collect()
-    toxic = [r.predicted for r in rows if r.toxic == 1]
-    assert sum(toxic) / len(toxic) >= 0.95 and sum(r.toxic == r.predicted for r in rows) / len(rows) >= 0.97
+    """1,500 toxic training rows; held-out rows hold the same words in other sentences."""
+    rng = np.random.default_rng(5)
+    filler = [f"word{i}" for i in range(400)]
+    bad = [f"slur{i}" for i in range(30)]
+
+    def text(toxic):
+        words = rng.choice(filler, 30).tolist()
+        return " ".join(words[:15] + (["you", str(rng.choice(bad))] if toxic else []) + words[15:]) + "."
+
+    rows = [(i, text(i % 4 == 0), int(i % 4 == 0)) for i in range(8000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    held_out = queries.remainder("doc_id", 4) == 2
+    model = toxicity.train(docs, labels, held_out)
+    found = toxicity.score(docs, model).filter(held_out).join(labels, "doc_id").select("toxic", "predicted").collect()
+    toxic = [r.predicted for r in found if r.toxic == 1]
+    assert sum(toxic) / len(toxic) >= 0.95 and sum(r.toxic == r.predicted for r in found) / len(found) >= 0.97
 
 
 def test_rare_words_are_learned_at_every_size(spark):

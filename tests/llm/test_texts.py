@@ -186,13 +186,11 @@ def test_lm_scores(odd, nothing):
     assert lm_scoring.score_texts(nothing, F.lit(False)).count() == 0
 
 
-def test_packing(odd, nothing, monkeypatch):
-    monkeypatch.setattr(packing, "SHARE", 3)
+def test_packing(odd, nothing):
     path = queries.tokenizer_path()
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     width = packing.token_width(path)
     many = odd.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(9)))).repartition(3)
     pieces = packing.pack(packing.tokenize(many, path, window=64), width, window=64).collect()
@@ -220,23 +218,45 @@ def test_packing(odd, nothing, monkeypatch):
     assert packing.pack(packing.tokenize(nothing, path), width).count() == 0
 
 
-def test_word_ids_are_the_tokenizers():
-    encoder = packing._Encoder(queries.tokenizer_path(), 1)
-    texts = ["a b, c. d.e it's  two\n\nlines\n x <|endoftext|> y", " x 　y", "", None, "\n", " ", "É, 日本。 12.5, ok."]
-    want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
-    for _ in range(2):
-        assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts)] == want
-
+def test_ids_are_the_tokenizers():
+    from tokenizers import Tokenizer
 
-def test_word_ids_after_words_are_forgotten(monkeypatch):
-    monkeypatch.setattr(packing, "CACHED_WORDS", 5)
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
     encoder, rng = packing._Encoder(queries.tokenizer_path(), 1), random.Random(3)
-    parts = [" ", " ", "\n", "a", "b.", "Q", "7", ",", "'s", "\t", "\0", "é", "foo", "\n\n"]
-    for _ in range(300):
-        texts = ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(4)]
-        assert [packing._chunks(t) for t in texts] == [packing._CHUNK.findall(t) for t in texts]
-        want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
-        assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts)] == want
+    texts = ["a b, c. d.e it's  two\n\nlines\n x <|endoftext|> y", " x\u00a0 y", "", None, "\n", " ", "É, 日本。 12.5, ok.",
+             "a <|endoftext|> b", "<|endoftext|>", " " * 5000 + "x", "x" + "\n" * 300_000 + "y", "ab" * 100_000]
+    parts = [" ", " ", "\n", "a", "b.", "Q", "7", ",", "'s", "'LL", "\t", "\0", "é", "foo", "\n\n", "\x1c", "\x85", "\u3000", "٣", "中", "😀", "<|"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(2000)]
+    texts += [f"a{c}b {c}{c} 1{c}  {c}\n{c}'s" for c in map(chr, range(1, 0x3100, 7))]
+    assert encoder.fast is not None
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts)] == want
+    encoder.fast = None
+    assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts[:40])] == want[:40]
+
+
+def test_packing_query(spark):
+    """The registered query against the plain tokenizer: every piece's ids, and where they lie."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    ids = {r.doc_id: tokenizer.encode(r.text or "", add_special_tokens=False).ids + [1] for r in docs}
+    pieces, held = collections.defaultdict(list), collections.defaultdict(list)
+    for p in queries.op2_packing(spark, SF).collect():
+        pieces[p.doc_id].append((p.start, p.length))
+        held[p.sequence_id].append((p.offset, p.length))
+        mine = ids[p.doc_id]
+        assert p.doc_tokens == len(mine)
+        assert p.ids_crc32 == zlib.crc32(np.array(mine[p.start:p.start + p.length], "<u4").tobytes())
+    assert set(pieces) == set(ids)
+    for found, total in [*((pieces[d], len(ids[d])) for d in ids), *((h, None) for h in held.values())]:
+        at = 0
+        for start, length in sorted(found):
+            assert start == at and length > 0
+            at += length
+        assert at == total if total else at == 2048 or at & (at - 1) == 0
+    assert sum(sum(n for _, n in h) < 2048 for h in held.values()) <= 11
 
 
 def test_least_squares_fills_windows():
