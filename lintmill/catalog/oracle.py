@@ -427,6 +427,33 @@ _applied_cells = f"""SELECT c.path, c.cell_index, c.place AS line_no, coalesce(w
   FROM celllines c LEFT JOIN ({_first_new}) w ON w.file_path = c.path AND w.cell_index = c.cell_index AND w.line_number = c.place
   WHERE c.cell_type = 'code'"""
 
+
+
+def _fold(source: str, keys: list[str], kind: str, mods: str) -> str:
+    """Modifications one after the other, each on the first line that holds its code; lines as a list."""
+    key, match = ", ".join(keys), " AND ".join(f"s.{k} = o.{k}" for k in keys)
+    new = "{'no': l[hit].no, 'text': new, 'applied': true}"
+    return f"""WITH RECURSIVE edits AS (
+      SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY proactive, finding_seq, cell_index, line_number) AS k
+      FROM (SELECT file_path AS path, * EXCLUDE (file_path), {kind} AS kind_of, {strip("original_code")} AS code, modified_code AS new FROM mods
+        WHERE {mods})),
+    step AS (
+      SELECT {key}, 0::BIGINT AS k, list({{'no': line_no, 'text': line, 'applied': false}} ORDER BY line_no) AS l FROM {source} GROUP BY {key}
+      UNION ALL
+      SELECT {key}, k, CASE WHEN hit IS NULL OR hit = 0 THEN l WHEN kind_of = 'delete' THEN l[:hit - 1] || l[hit + 1:]
+        WHEN kind_of = 'insert' THEN l[:hit - 1] || [{new}] || l[hit:] ELSE l[:hit - 1] || [{new}] || l[hit + 1:] END
+      FROM (SELECT {", ".join(f"s.{k}" for k in keys)}, o.k, s.l, o.kind_of, o.new,
+          list_position(list_transform(s.l, lambda x: contains({strip("x.text")}, o.code)), true) AS hit
+        FROM step s JOIN edits o ON {match} AND o.k = s.k + 1)),
+    folded AS (SELECT * FROM step QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY k DESC) = 1)
+    SELECT {key}, x.no AS line_no, CAST(row_number() OVER (PARTITION BY {key}, x.no ORDER BY i) - 1 AS INT) AS part, x.text AS line, x.applied
+    FROM (SELECT {key}, unnest(l) AS x, unnest(range(len(l))) AS i FROM folded)"""
+
+
+_mixed = "CASE line_number % 3 WHEN 0 THEN 'replace' WHEN 1 THEN 'insert' ELSE 'delete' END"
+_folded_kinds = _fold("code", ["path"], _mixed, "kind = 'python'")
+_code_cells = "(SELECT path, cell_index, place AS line_no, line FROM celllines WHERE cell_type = 'code')"
+
 _header_rows = ", ".join(f"({i}, {q(line)})" for i, line in enumerate(V.PYTHON_HEADER))
 
 _exec = V.EXECUTIVE_FORMAT
@@ -536,6 +563,15 @@ _BODIES = {
     "top3_validation_issues": "SELECT file_path, validation_type, rank, issue FROM topissues",
     "validation_text": _detail,
     "apply_lines": _applied,
+    "apply_fold": _fold("code", ["path"], "change_type", "kind = 'python'"),
+    "apply_fold_kinds": _folded_kinds,
+    "apply_fold_cells": _fold(_code_cells, ["path", "cell_index"], "change_type", "kind = 'notebook'"),
+    "converted_fold": f"""WITH a AS ({_folded_kinds}), n AS (SELECT path, count(*) AS lines FROM code GROUP BY path),
+      c AS (SELECT path FROM a JOIN n USING (path) GROUP BY path, lines HAVING bool_or(applied) OR count(*) < lines
+        UNION SELECT path FROM n WHERE path NOT IN (SELECT path FROM a))
+      SELECT concat(replace(path, '.py', ''), '_unity_catalog.py') AS converted_path, 0 AS part, k.line_no, k.line, 0 AS sub
+      FROM c CROSS JOIN (VALUES {_header_rows}) k(line_no, line)
+      UNION ALL SELECT concat(replace(path, '.py', ''), '_unity_catalog.py'), 1, line_no, line, part FROM a WHERE path IN (SELECT path FROM c)""",
     "apply_cells": _applied_cells,
     "conversions": """SELECT f.path, CASE WHEN file_type = 'python' THEN concat(replace(filename, '.py', ''), '_unity_catalog.py')
       ELSE concat(replace(filename, '.ipynb', ''), '_unity_catalog.ipynb') END AS converted_path, filename,
@@ -577,6 +613,8 @@ _BODIES = {
 
 
 def _whole(body: str) -> str:
+    if body.startswith("WITH RECURSIVE "):
+        return CTES.replace("WITH", "WITH RECURSIVE", 1) + ", " + body[len("WITH RECURSIVE "):]
     if body.startswith("WITH "):
         return CTES + ", " + body[len("WITH "):]
     return CTES + body

@@ -579,6 +579,32 @@ def apply_fold(spark, sf):
     return apply.apply_in_order(_code(spark, sf), run.modifications)
 
 
+@query
+def apply_fold_cells(spark, sf):
+    run = _notebook_run(spark, sf)
+    lines = matching.cell_lines(views.cells(spark, sf))
+    return apply.apply_in_order(lines, run.modifications, ["path", "cell_index"], apply.CELL_TYPES)
+
+
+def _mixed_kinds(mods):
+    """Modifications as replacements, insertions and deletions by turns."""
+    kinds = F.array(*[F.lit(k) for k in apply.PYTHON_TYPES])
+    return mods.withColumn("change_type", F.element_at(kinds, (F.col("line_number") % 3 + 1).cast("int")))
+
+
+@query
+def apply_fold_kinds(spark, sf):
+    run = _python_run(spark, sf)
+    return apply.apply_in_order(_code(spark, sf), _mixed_kinds(run.modifications))
+
+
+@query
+def converted_fold(spark, sf):
+    run = _python_run(spark, sf)
+    folded = apply.fold(_code(spark, sf), _mixed_kinds(run.modifications))
+    return apply.converted_lines(run.files, folded).drop("path")
+
+
 @query
 def apply_cells(spark, sf):
     run = _notebook_run(spark, sf)

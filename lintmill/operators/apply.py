@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lintmill import fixed_values as V
 from lintmill.functions.text import strip, strings, swap
 from lintmill.operators.matching import code_hits
+from lintmill.operators.edits import Lines
 from lintmill.operators.modify import order_chunk
 from lintmill.operators.skew import running_total, salted_join, spread_join
 from lintmill.session import materialize
 
 PYTHON_TYPES = ("replace", "insert", "delete")
 CELL_TYPES = ("replace", "insert", "delete", "modify")
+BATCH = 10_000  # edited lines sent at once
 
 
 def _by_path(mods: DataFrame) -> DataFrame:
@@ -47,14 +50,22 @@ def apply_in_order(
 ) -> DataFrame:
     """Apply modifications one after the other, each to the first line holding its code.
 
-    Rows come back as (keys, line_no, part, line); ``part`` orders lines that were
-    inserted in front of ``line_no``.
+    Rows come back as (keys, line_no, part, line, applied); ``part`` orders lines that
+    were inserted in front of ``line_no``, ``applied`` tells which ones changed.
+    """
+    return fold(lines, mods, keys, kinds).filter("line is not null")
+
+
+def fold(
+    lines: DataFrame, mods: DataFrame, keys: list[str] | None = None, kinds: tuple[str, ...] = PYTHON_TYPES
+) -> DataFrame:
+    """As ``apply_in_order``, with deleted lines as NULL.
 
     A code whose lines hold no other code, before or after any change, does not
     meet the others. For such codes the order is worked out set-based: a change
     that removes the code from its line moves the next change on to the next
-    line. Only codes that meet each other, and the lines they touch, are played
-    through in sequence, per key.
+    line. Only codes that meet each other, and the lines they touch, are edited
+    in sequence, per key.
     """
     keys = keys or ["path"]
     ops = (
@@ -86,32 +97,24 @@ def apply_in_order(
         .union(codes.filter(F.col("_inserts") | (F.col("code") == "")).select(*keys, "code"))
         .distinct().withColumn("_tangled", F.lit(True))
     )
-    touched = spread_join(
-        numbered.select(*keys, "line_no", "text"), hits, [*keys, "text"], "line_no", sizes
-    )
+    hits = materialize(hits.join(entangled, [*keys, "code"], "left"), "hits")
+    entangled = hits.filter("_tangled").select(*keys, "code").distinct()
+    touched = materialize(spread_join(numbered, hits, [*keys, "text"], "line_no", sizes).drop("text"), "touched")
     holds = hits.select(*keys, "code", F.col("text").alias("_after")).withColumn("_stays", F.lit(True))
-
-    def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        marked = df.join(entangled, [*keys, "code"], "left")
-        return marked.filter("_tangled is null").drop("_tangled"), marked.filter("_tangled").drop("_tangled")
-
-    free_lines, tangled_lines = split(touched.select(*keys, "code", "line_no"))
-    free_ops, tangled_ops = split(ops)
-    changed = _free_changes(free_lines, free_ops, holds, keys)
-    played = _played(
-        tangled_lines.select(*keys, "line_no").distinct().join(numbered, [*keys, "line_no"]),
-        tangled_ops, keys,
-    )
-
-    gone = changed.withColumn("part", F.lit(0)).select(*keys, "line_no", "part", "line").unionByName(played)
-    handled = (
-        changed.select(*keys, "line_no")
-        .union(tangled_lines.select(*keys, "line_no")).distinct()
+    changed = _free_changes(
+        touched.filter("_tangled is null").select(*keys, "code", "line_no"),
+        ops.join(entangled, [*keys, "code"], "left_anti"), holds.filter("_tangled is null"), keys,
     )
-    rest = numbered.join(handled, [*keys, "line_no"], "left_anti").select(
-        *keys, "line_no", F.lit(0).alias("part"), "line"
+    held = hits.filter("_tangled").groupBy(*keys, F.col("text").alias("_after")).agg(F.collect_list("code").alias("codes"))
+    played = _edited(
+        touched.filter("_tangled").groupBy(*keys, "line_no").agg(F.first("line").alias("line"), F.collect_list("code").alias("codes")),
+        ops.join(entangled, [*keys, "code"], "left_semi").join(held, [*keys, "_after"], "left"), keys,
     )
-    return rest.unionByName(gone.filter("line is not null"))
+    new = changed.select(*keys, "line_no", F.lit(0).alias("part"), "line", F.lit(True).alias("applied")).unionByName(played)
+    handled = changed.select(*keys, "line_no").union(touched.filter("_tangled").select(*keys, "line_no")).distinct()
+    return numbered.join(handled, [*keys, "line_no"], "left_anti").select(
+        *keys, "line_no", F.lit(0).alias("part"), "line", F.lit(False).alias("applied")
+    ).unionByName(new)
 
 
 def _free_changes(touched: DataFrame, ops: DataFrame, holds: DataFrame, keys: list[str]) -> DataFrame:
@@ -132,62 +135,63 @@ def _free_changes(touched: DataFrame, ops: DataFrame, holds: DataFrame, keys: li
     return ranked.join(last, [*keys, "code", "_rank"]).select(*keys, "line_no", "_new.line")
 
 
-def _played(lines: DataFrame, ops: DataFrame, keys: list[str]) -> DataFrame:
-    """Play changes through in sequence over the lines they may touch.
+def _edited(lines: DataFrame, ops: DataFrame, keys: list[str]) -> DataFrame:
+    """Edit lines in sequence. Both sides carry ``codes``, those that their texts hold.
 
     Rows of a key come in order, lines first, then changes, and are taken one by
     one: only the lines a key's changes may touch are held, never the changes.
     """
-    n_keys = len(keys)
-    names = [*keys, "line_no", "part", "line"]
-
-    def play(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, []
-
-        def finished() -> pd.DataFrame:
-            part: dict[int, int] = {}
-            rows = []
-            for no, text in state:
-                part[no] = part.get(no, -1) + 1
-                rows.append((*key, no, part[no], text))
-            return pd.DataFrame(rows, columns=names)
+    from pyspark.sql.pandas.types import to_arrow_schema
 
+    n_keys = len(keys)
+    schema = T.StructType([
+        *[lines.schema[k] for k in keys], T.StructField("line_no", T.IntegerType()), T.StructField("part", T.IntegerType()),
+        T.StructField("line", T.StringType()), T.StructField("applied", T.BooleanType()),
+    ])
+    arrow = to_arrow_schema(schema)
+
+    def edited(key: tuple, state: Lines) -> Iterator[pa.RecordBatch]:
+        rows, number, part = [], None, 0
+        for line in state:
+            if line.number != number:
+                number, part = line.number, 0
+            rows.append((*key, number, part, line.text, line.edited))
+            part += line.text is not None
+            if len(rows) == BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    def play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, Lines()
         for batch in batches:
-            for row in batch.itertuples(index=False, name=None):
+            for row in zip(*[column.to_pylist() for column in batch.columns]):
                 if row[:n_keys] != key:
-                    if state:
-                        yield finished()
-                    key, state = row[:n_keys], []
-                kind, number, text, code = row[n_keys:]
+                    if key is not None:
+                        yield from edited(key, state)
+                    key, state = row[:n_keys], Lines()
+                kind, number, text, code, codes = row[n_keys:]
+                held = frozenset(codes or ())
                 if kind == "line":
-                    state.append((int(number), text))
-                    continue
-                at = next((i for i, (_, held) in enumerate(state) if code in held), None)
-                if at is None:
-                    continue
-                if kind == "delete":
-                    del state[at]
-                elif kind == "insert":
-                    state.insert(at, (state[at][0], text))
+                    state.append(number, text, held)
                 else:
-                    state[at] = (state[at][0], text)
-        if state:
-            yield finished()
+                    state.edit(kind, code, text, held)
+        if key is not None:
+            yield from edited(key, state)
 
     none = F.lit(None)
     empty_seq = none.cast(ops.schema["seq"].dataType)
     stream = lines.select(
-        *keys, F.lit("line").alias("kind"), F.col("line_no").alias("number"), F.col("line").alias("text"),
-        F.lit("").alias("code"), F.lit(0).alias("_turn"), empty_seq.alias("_seq"),
+        *keys, F.lit("line").alias("kind"), F.col("line_no").cast("int").alias("number"), F.col("line").alias("text"),
+        F.lit("").alias("code"), "codes", F.lit(0).alias("_turn"), empty_seq.alias("_seq"),
     ).unionByName(ops.select(
         *keys, F.col("change_type").alias("kind"), none.cast("int").alias("number"),
-        F.col("modified_code").alias("text"), "code", F.lit(1).alias("_turn"), F.col("seq").alias("_seq"),
+        F.col("modified_code").alias("text"), "code", "codes", F.lit(1).alias("_turn"), F.col("seq").alias("_seq"),
     ))
-    types = dict(lines.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", line_no int, part int, line string"
     return (
         stream.repartition(*keys).sortWithinPartitions(*keys, "_turn", "number", "_seq")
-        .select(*keys, "kind", "number", "text", "code").mapInPandas(play, schema)
+        .select(*keys, "kind", "number", "text", "code", "codes").mapInArrow(play, schema)
     )
 
 
@@ -214,7 +218,11 @@ def converted_lines(files: DataFrame, applied: DataFrame) -> DataFrame:
     """Lines of converted Python files: the header (part 0), then the body (part 1).
 
     Only files with a changed line are converted. ``path`` tells files of one name apart.
+    ``applied`` is the output of ``apply_at_position`` or of ``fold``, whose inserted
+    lines are told apart by ``sub`` and whose deleted lines count as changes.
     """
+    sub = [F.col("part").alias("sub")] if "part" in applied.columns else []
+    applied = applied.select("path", "line_no", *sub, "line", "applied")
     changed = (
         applied.filter("applied").select("path").distinct()
         .join(files.select("path", "filename", "file_type"), "path")
@@ -222,9 +230,10 @@ def converted_lines(files: DataFrame, applied: DataFrame) -> DataFrame:
     )
     header = changed.select(
         "path", "converted_path", F.lit(0).alias("part"),
-        F.posexplode(strings(V.PYTHON_HEADER)).alias("line_no", "line"),
+        F.posexplode(strings(V.PYTHON_HEADER)).alias("line_no", "line"), *[F.lit(0).alias("sub") for _ in sub],
     )
-    body = applied.join(changed, "path").select("path", "converted_path", F.lit(1).alias("part"), "line_no", "line")
+    body = applied.filter("line is not null").join(changed, "path").select(
+        "path", "converted_path", F.lit(1).alias("part"), "line_no", "line", *(["sub"] if sub else []))
     return header.unionByName(body)
 
 

@@ -61,7 +61,7 @@ def test_entry_has_rows(spark):
 
 def test_queries_without_sql(spark):
     missing = set(entry.QUERIES) - set(entry.ORACLE)
-    assert missing == {"syntax_parse", "validations_parsed", "apply_fold"}
+    assert missing == {"syntax_parse", "validations_parsed"}
     assert set(entry.ORACLE) <= set(entry.QUERIES)
     parsed = entry.queries()["validations_parsed"](spark, SF)
     static = entry.queries()["validations"](spark, SF)
