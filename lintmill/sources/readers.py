@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import functools
 import io
 import logging
@@ -49,7 +50,7 @@ def _load(spark: SparkSession, path: str, fmt: str, **options) -> DataFrame | No
         return None
 
 
-def _file_system(path: str) -> tuple[fs.FileSystem, str, str]:
+def file_system(path: str) -> tuple[fs.FileSystem, str, str]:
     """File system of a path, what stands before its own paths, and the path in it."""
     path = re.sub(r"^file:/+", "/", path)
     path = path.rstrip("/") or "/"
@@ -59,10 +60,19 @@ def _file_system(path: str) -> tuple[fs.FileSystem, str, str]:
     return system, path[:len(path) - len(inner)], inner
 
 
+def known_store(path: str) -> bool:
+    """Whether Arrow can list a path: no pattern, and a store it knows."""
+    try:
+        system, _, inner = file_system(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        return False
+    return not set(path) & set("*?[{") or system.get_file_info(inner).type != fs.FileType.NotFound
+
+
 def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for folder in batch["path"].to_pylist():
-            system, prefix, inner = _file_system(folder)
+            system, prefix, inner = file_system(folder)
             found = [i for i in system.get_file_info(fs.FileSelector(inner)) if i.type != fs.FileType.NotFound]
             yield pa.RecordBatch.from_pydict({
                 "path": pa.array([prefix + i.path for i in found], pa.string()),
@@ -74,7 +84,7 @@ def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path in batch["path"].to_pylist():
-            system, _, inner = _file_system(path)
+            system, _, inner = file_system(path)
             with system.open_input_stream(inner, compression=None) as opened:
                 yield pa.RecordBatch.from_pydict({"path": [path], "content": pa.array([opened.read()], pa.binary())})
 
@@ -86,14 +96,11 @@ def _listing(spark: SparkSession, path: str, recursive: bool = False) -> DataFra
     listed in tasks, a job for each level. Patterns and stores that Arrow does not
     know are left to Spark's listing, which is logged.
     """
-    try:
-        system, prefix, inner = _file_system(path)
-    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
-        system = None
-    if system is None or (set(path) & set("*?[{") and system.get_file_info(inner).type == fs.FileType.NotFound):
+    if not known_store(path):
         log.warning("listed by Spark, without names that start with _ or '.': %s", path)
         listed = _load(spark, path, "binaryFile", recursiveFileLookup=str(recursive).lower())
         return None if listed is None else listed.select(_plain_path(F.col("path")).alias("path"), "length")
+    system, prefix, inner = file_system(path)
     info = system.get_file_info(inner)
     if info.type == fs.FileType.NotFound:
         log.error("input not found: %s", path)
@@ -307,13 +314,15 @@ def scan_lint(spark: SparkSession, path: str) -> DataFrame:
 
 
 def preflight(spark: SparkSession, folder: str, lint_path: str, pattern: str = "*.py") -> DataFrame:
-    """What is missing before a run: (check, ok, message). Reads listings only."""
-    def exists(path: str, **options) -> tuple[bool, bool]:
-        found = _load(spark, path, "binaryFile", **options)
-        return found is not None, found is not None and bool(found.select("path").limit(1).take(1))
+    """What is missing before a run: (check, ok, message). Reads listings only.
 
-    there, any_file = exists(folder, pathGlobFilter=pattern)
-    _, log_there = exists(lint_path)
+    The listings are those of the scans, so files count whatever their names.
+    """
+    listed, logs = _listing(spark, folder), _listing(spark, lint_path)
+    there = listed is not None
+    wanted = base_name(F.col("path")).rlike(fnmatch.translate(pattern))
+    any_file = there and not listed.filter(wanted).isEmpty()
+    log_there = logs is not None and not logs.isEmpty()
     rows = [
         ("folder", there, "" if there else f"Input folder does not exist: {folder}"),
         ("files", any_file, "" if any_file else f"No files like {pattern} found in: {folder}"),

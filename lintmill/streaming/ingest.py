@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,13 +10,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lintmill.operators.findings import parse_findings, severity_counts
+from lintmill.sources.readers import known_store
+from lintmill.streaming.log_source import LogSource
+
+log = logging.getLogger(__name__)
 
 
 def lint_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines ``(seq, raw)`` of log files that appear in a folder.
+    """Lines ``(seq, raw)`` of log files that appear in a folder, whatever their names.
 
-    A stream cannot number rows, so ``seq.row`` is filled in per batch.
+    Path patterns, and stores that Arrow does not know, are left to Spark's own stream,
+    which hides names that start with ``_`` or ``.``; a warning says so. It cannot number
+    rows, so ``seq.row`` is then filled in per batch.
     """
+    if known_store(folder):
+        spark.dataSource.register(LogSource)
+        return spark.readStream.format("lint_logs").load(folder)
+    log.warning("streamed by Spark, without names that start with _ or '.': %s", folder)
     place = F.struct(
         F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"),
         F.lit(None).cast("bigint").alias("row"),
@@ -32,7 +43,8 @@ def write_findings(raw: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 
     def save(lines: DataFrame, batch: int) -> None:
         if numbered:
-            lines = lines.withColumn("seq", F.col("seq").withField("row", F.monotonically_increasing_id()))
+            row = F.coalesce(F.col("seq.row"), F.monotonically_increasing_id())
+            lines = lines.withColumn("seq", F.col("seq").withField("row", row))
         parse_findings(lines).write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     return (

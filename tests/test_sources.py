@@ -182,6 +182,10 @@ def test_missing_inputs(spark, tmp_path):
     (tmp_path / "lint.txt").write_text("x")
     checks = {r.check: r.ok for r in readers.preflight(spark, str(tmp_path), str(tmp_path / "lint.txt")).collect()}
     assert checks == {"folder": True, "files": False, "log": True}
+    (tmp_path / "__init__.py").write_text("x")
+    (tmp_path / "_a.txt").write_text("x")
+    checks = {r.check: r.ok for r in readers.preflight(spark, str(tmp_path), str(tmp_path / "_a.txt")).collect()}
+    assert checks == {"folder": True, "files": True, "log": True}
 
 
 def test_whole_run_from_files(spark, tmp_path):
