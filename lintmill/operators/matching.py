@@ -7,14 +7,18 @@ when the matched spots are attached to them.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintmill.functions.text import base_name, strip
-from lintmill.operators.skew import running_total, salted_join, spread_join
+from lintmill.operators.containment import finder, first_hits, hits
+from lintmill.operators.skew import running_total, spread_join
+from lintmill.session import materialize
 
 
 _TAIL, _SLOTS, _SHORT = 3, 1024, -1
+NAMES = 4 << 20  # characters of file names that one automaton holds, some 50 bytes each
 
 
 def length_index(codes: DataFrame, code: str, keys: list[str]) -> DataFrame:
@@ -52,18 +56,31 @@ def pieces(df: DataFrame, text: str, index: Column, name: str) -> DataFrame:
     )
 
 
-def match_contains(paths: DataFrame, names: DataFrame) -> DataFrame:
+def match_contains(paths: DataFrame, names: DataFrame, most: int = NAMES) -> DataFrame:
     """Pairs (file_path, filename) where the lint path contains the file name.
 
-    Both sides are made distinct first. Paths are cut into the substrings that
-    may be file names, so the containment test becomes an equi join: no path is
-    compared with a name it does not hold.
+    Both sides are made distinct first. Names of at most ``most`` characters in all are
+    compiled into an automaton that reads each path once, where it lies. Beyond that
+    paths are cut into the substrings that may be file names, so the containment test
+    becomes an equi join: no path is compared with a name it does not hold.
     """
     lint = paths.select("file_path").distinct()
-    known = names.select("filename").distinct()
-    index = length_index(names, "filename", []).scalar()
-    cut = pieces(lint.withColumn("_index", index), "file_path", F.col("_index"), "filename").drop("_index")
-    return _pairs(cut, known).distinct()
+    known = materialize(names.select("filename").distinct(), "names")
+    size = known.agg(F.sum(F.length("filename"))).first()[0] or 0
+    if size > most:
+        index = length_index(known, "filename", []).scalar()
+        cut = pieces(lint.withColumn("_index", index), "file_path", F.col("_index"), "filename").drop("_index")
+        return _pairs(cut, known).distinct()
+    held = [n for n in known.toArrow()["filename"].to_pylist() if n is not None]  # ``most`` characters
+
+    def read(batches):
+        find = finder(held)
+        for batch in batches:
+            found = [(path, name) for path in batch["file_path"].to_pylist() if path is not None for name in find(path)]
+            yield pa.RecordBatch.from_pydict({
+                "file_path": pa.array([p for p, _ in found], pa.string()), "filename": pa.array([n for _, n in found], pa.string())})
+
+    return lint.mapInArrow(read, "file_path string, filename string")
 
 
 def match_basename(paths: DataFrame, names: DataFrame) -> DataFrame:
@@ -236,38 +253,23 @@ def notebook_source(cells: DataFrame) -> DataFrame:
     )
 
 
-def _cut(texts: DataFrame, codes: DataFrame, keys: list[str]) -> DataFrame:
-    """Pieces of each text that may be a code of the same key."""
-    index = length_index(codes, "code", keys)
-    return pieces(
-        salted_join(texts, index, keys, "text"), "text", F.col("_index"), "code"
-    ).drop("_index")
-
-
 def code_hits(texts: DataFrame, codes: DataFrame, keys: list[str]) -> DataFrame:
     """Which texts contain which codes, within each key: (keys, text, code).
 
     ``texts`` holds distinct (keys, text), ``codes`` distinct (keys, code).
     """
-    cut = _cut(texts.select(*keys, "text"), codes, keys)
-    return salted_join(cut, codes.select(*keys, "code"), [*keys, "code"], "text").distinct()
+    return hits(texts, codes, keys)
 
 
 def first_matching_line(lines: DataFrame, mods: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Each modification with ``first_line``, where its original code first occurs.
 
-    Modifications found nowhere drop out. Equal lines count once, and each piece
-    keeps its first position only, before pieces meet codes.
+    Modifications found nowhere drop out. Lines are read once, past the codes of
+    their file.
     """
     keys = keys or ["path"]
-    texts = (
-        lines.withColumn("text", strip(F.col("line"))).groupBy(*keys, "text")
-        .agg(F.min("line_no").alias("line_no"))
-    )
+    texts = lines.select(*keys, "line_no", strip(F.col("line")).alias("text"))
     wanted = mods.withColumn("code", strip(F.col("original_code")))
     codes = _count(wanted, [*keys, "code"])
-    first = (
-        _cut(texts, codes, keys).groupBy(*keys, "code").agg(F.min("line_no").alias("first_line"))
-        .join(codes.drop("n"), [*keys, "code"])
-    )
+    first = first_hits(texts, codes, keys, "line_no").withColumnRenamed("line_no", "first_line")
     return spread_join(wanted, first, [*keys, "code"], "seq", codes).drop("code")
