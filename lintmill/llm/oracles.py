@@ -49,6 +49,35 @@ def _codes(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 102
     FROM coded JOIN kept USING (vec_id), books"""
 
 
+WARC = """WITH held AS (
+        SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+    ), firsts AS (
+        SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS first_id FROM held
+    )
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN first_id <> page_id THEN first_id END AS refers_to FROM firsts"""
+
+
+def _links() -> str:
+    """Sets of five-word shingles, links by counted shingles, components as reachable documents."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""WITH RECURSIVE docs AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), sets AS MATERIALIZED (
+        SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM docs
+    ), shingles AS MATERIALIZED (
+        SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+    ), links AS MATERIALIZED (
+        SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+    ), reached AS (
+        SELECT doc_id, doc_id AS other FROM sets UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a
+    )
+    SELECT s.doc_id, len(s.s) AS n_shingles, least_id AS component_id
+    FROM sets s JOIN (SELECT doc_id, min(other) AS least_id FROM reached GROUP BY doc_id) USING (doc_id)"""
+
+
 def _repairs() -> str:
     """Conversation repair: a recursive search over rows, with (cost, script) of the four states in each."""
     of = lambda cost, script: f"{{'c': {cost}, 's': {script}}}"
@@ -145,6 +174,8 @@ def _chats() -> str:
 
 
 ORACLE: dict[str, str] = {
+    "op1_warc": WARC,
+    "op5_ngram_jaccard_join": _links(),
     "op11_vector_codes": _codes(),
     "op12_conversation_repair": _repairs(),
     "op13_chat_format": _chats(),
