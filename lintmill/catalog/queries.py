@@ -13,7 +13,6 @@ from lintmill.functions import checks, classify, rewrite as rules
 from lintmill.functions.text import clean_utf8, is_code, split_lines, strip
 from lintmill.operators import advice, apply, lineage, matching, modify, planning, reporting, validate
 from lintmill.operators import findings as found
-
 from lintmill.plans.assessment import Assessment, assess, notebook_files, python_files
 from lintmill.session import scratch_path
 from lintmill.sources import readers
