@@ -463,6 +463,9 @@ _BODIES = {
     "file_metrics": f"""SELECT path, CAST(len(string_split(content, chr(10))) AS INT) AS line_count,
       CAST(len(list_filter(string_split(content, chr(10)), lambda l: {strip("l")} <> '' AND NOT starts_with({strip("l")}, '#'))) AS INT)
       AS code_line_count FROM docs""",
+    "archive_scan": f"""SELECT path, CAST(len(lines) AS INT) AS line_count,
+      CAST(len(list_filter(lines, lambda l: {strip("l")} <> '' AND NOT starts_with({strip("l")}, '#'))) AS INT) AS code_line_count
+      FROM (SELECT path, string_split(regexp_replace(coalesce(content, ''), '\\r\\n?', chr(10), 'g'), chr(10)) AS lines FROM docs)""",
     "notebook_metrics": "SELECT path, cell_count, code_cell_count FROM nbfiles",
     "input_summary": """SELECT (SELECT count(*) FROM pyfiles) AS files, count(*) AS findings,
       count(DISTINCT file_path) AS files_with_findings FROM issues""",

@@ -15,7 +15,7 @@ from lintmill.operators import advice, apply, lineage, matching, modify, plannin
 from lintmill.operators import findings as found
 from lintmill.plans.assessment import Assessment, assess, notebook_files, python_files
 from lintmill.session import scratch_path
-from lintmill.sources import readers
+from lintmill.sources import archives, readers
 from lintmill.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,6 +130,15 @@ def notebook_scan(spark, sf):
     return cells.select("path", "cell_index", "cell_type", F.posexplode("source").alias("line_no", "line"))
 
 
+@query
+def archive_scan(spark, sf):
+    """Documents packed into zip archives, whose members are read back."""
+    folder = scratch_path(spark, "archives")
+    archives.pack(views.files(spark, sf), folder, per_archive=100)
+    found = readers.scan_archive(spark, folder)
+    return found.select(F.substring_index("path", "!/", -1).alias("path"), "line_count", "code_line_count")
+
+
 @query
 def decode_bytes(spark, sf):
     """Whole documents as bytes with invalid ones put around them, read leniently."""

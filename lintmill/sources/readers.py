@@ -4,15 +4,9 @@ from __future__ import annotations
 
 import fnmatch
 import functools
-import io
 import logging
-import os
-import re
-import zipfile
-import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.errors import AnalysisException
@@ -24,11 +18,12 @@ from lintmill import schemas
 from lintmill.functions.text import base_name, clean_utf8, is_code, split_lines, universal_newlines
 from lintmill.operators.findings import parse_findings
 from lintmill.session import materialize
+from lintmill.sources import archives
+from lintmill.sources.paths import file_system, known_store
 
 log = logging.getLogger(__name__)
 
 READ_BYTES = 128 << 20  # of whole files, for one task
-_MEMBER = "path string, content string, reason string"
 _NOTEBOOK = T.StructType([
     T.StructField("cells", T.ArrayType(T.StringType())),
     T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
@@ -50,25 +45,6 @@ def _load(spark: SparkSession, path: str, fmt: str, **options) -> DataFrame | No
         return None
 
 
-def file_system(path: str) -> tuple[fs.FileSystem, str, str]:
-    """File system of a path, what stands before its own paths, and the path in it."""
-    path = re.sub(r"^file:/+", "/", path)
-    path = path.rstrip("/") or "/"
-    if "://" not in path:
-        return fs.LocalFileSystem(), "", os.path.abspath(path)
-    system, inner = fs.FileSystem.from_uri(path)
-    return system, path[:len(path) - len(inner)], inner
-
-
-def known_store(path: str) -> bool:
-    """Whether Arrow can list a path: no pattern, and a store it knows."""
-    try:
-        system, _, inner = file_system(path)
-    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
-        return False
-    return not set(path) & set("*?[{") or system.get_file_info(inner).type != fs.FileType.NotFound
-
-
 def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for folder in batch["path"].to_pylist():
@@ -161,31 +137,6 @@ def scan_tree(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Members of archives; what cannot be opened is a row with the reason."""
-    def row(path: str, content: str | None, reason: str | None) -> pd.DataFrame:
-        return pd.DataFrame({"path": [path], "content": [content], "reason": [reason]}, dtype=object)
-
-    for batch in batches:
-        for archive, content in zip(batch["path"], batch["content"]):
-            try:
-                opened = zipfile.ZipFile(io.BytesIO(content))
-            except zipfile.BadZipFile as error:
-                yield row(archive, None, f"not an archive: {error}")
-                continue
-            with opened:
-                for info in opened.infolist():
-                    if info.is_dir() or not info.filename.endswith(".py"):
-                        continue
-                    path = f"{archive}!/{info.filename}"
-                    try:
-                        text = opened.read(info).decode("utf-8", errors="ignore")
-                    except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError) as error:
-                        yield row(path, None, f"cannot be unpacked: {error}")
-                    else:
-                        yield row(path, text, None)
-
-
 def skipped_inputs(spark: SparkSession, path: str) -> DataFrame:
     """What the scans of a folder leave out, and why: (path, reason)."""
     listed = _listing(spark, path)
@@ -197,17 +148,19 @@ def skipped_inputs(spark: SparkSession, path: str) -> DataFrame:
     unread = F.when(~F.is_valid_utf8(text), "not UTF-8")
     found = of(".py").select("path", unread.alias("reason")).union(
         of(".ipynb").select("path", unread.when(~parsed, "not a notebook").alias("reason"))
-    ).union(of(".zip").mapInPandas(_members, _MEMBER).select("path", "reason"))
+    ).union(archives.members(listed.filter(F.col("path").endswith(".zip")), ".py").select("path", "reason"))
     return found.filter("reason is not null")
 
 
 def scan_archive(spark: SparkSession, path: str) -> DataFrame:
-    """The ``.py`` members of zip archives; archives are opened in parallel."""
-    raw = _whole_files(spark, path, ".zip")
-    if raw is None:
+    """The ``.py`` members of zip archives, unpacked in many tasks an archive; invalid bytes are dropped."""
+    listed = _listing(spark, path)
+    if listed is None:
         return spark.createDataFrame([], schemas.FILE)
-    found = raw.mapInPandas(_members, _MEMBER).filter("reason is null")
-    return _as_python_files(found.select("path", universal_newlines(F.col("content")).alias("content")))
+    found = archives.members(listed.filter(F.col("path").endswith(".zip")), ".py").filter("reason is null")
+    return _as_python_files(
+        found.select("path", universal_newlines(clean_utf8(F.col("content"))).alias("content"))
+    )
 
 
 def normal_source(cell: Column) -> Column:

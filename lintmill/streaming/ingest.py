@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lintmill.operators.findings import parse_findings, severity_counts
-from lintmill.sources.readers import known_store
+from lintmill.sources.paths import known_store
 from lintmill.streaming.log_source import LogSource
 
 log = logging.getLogger(__name__)

@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-from lintmill.sources.readers import file_system
+from lintmill.sources.paths import file_system
 
 MAX_AGE = 7 * 24 * 3600  # seconds
 TASK_BYTES = 64 << 20    # of files, for one task

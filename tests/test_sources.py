@@ -2,6 +2,7 @@
 
 import json
 import zipfile
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from lintmill.functions.text import clean_utf8, strip
 from lintmill.operators import apply, lineage, reporting
 from lintmill.operators import findings as found
 from lintmill.plans.assessment import assess
-from lintmill.sources import readers, writers
+from lintmill.sources import archives, readers, writers
 from tests.conftest import rows
 
 
@@ -57,6 +58,54 @@ def test_archives(spark, tmp_path):
     assert rows(files, "path")[0] == (f"{tmp_path}/one.zip!/b.py",)
 
 
+def test_one_archive_goes_to_many_tasks(spark, tmp_path):
+    files = [(f"p/{i}.py", "".join(f"line {i} {j}\n" for j in range(i % 40))) for i in range(1000)]
+    with zipfile.ZipFile(tmp_path / "big.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in files:
+            z.writestr(name, text)
+    listed = spark.createDataFrame([(f"{tmp_path}/big.zip",)], "path string")
+    found = archives.members(listed, ".py", part_bytes=4096)
+    got = found.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.path.split("!/")[1], bytes(r.content).decode()) for r in got) == sorted(files)
+    per_task = Counter(r.task for r in got)
+    assert len(per_task) >= 4 and max(per_task.values()) < 500
+    assert len({r.path for r in got}) == 1000 and {r.reason for r in got} == {None}
+
+
+def test_odd_members_are_rows_with_a_reason(spark, tmp_path):
+    path = tmp_path / "odd.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("good.py", "x = 1")
+        z.writestr("bad.py", "spoilt = 1" * 50)
+        z.writestr("squeezed.py", "y = 2", compress_type=zipfile.ZIP_BZIP2)
+        z.writestr("rare.py", "z = 3", compress_type=zipfile.ZIP_LZMA)
+        z.writestr("empty.py", "")
+        z.writestr("folder/", "")
+    raw = path.read_bytes()
+    path.write_bytes(b"before" + raw.replace(b"spoilt = 1" * 50, b"spoilt = 2" * 50, 1))
+    (tmp_path / "none.zip").write_bytes(b"no archive")
+    (tmp_path / "void.zip").write_bytes(b"")
+    with zipfile.ZipFile(tmp_path / "nothing.zip", "w"):
+        pass
+    scanned = readers.scan_archive(spark, str(tmp_path))
+    assert rows(scanned, "filename", "content") == [("empty.py", ""), ("good.py", "x = 1"), ("squeezed.py", "y = 2")]
+    skipped = {r.path.rpartition("/")[2]: r.reason for r in readers.skipped_inputs(spark, str(tmp_path)).collect()}
+    assert set(skipped) == {"bad.py", "rare.py", "none.zip", "void.zip"}
+    assert "checksum" in skipped["bad.py"] and "method 14" in skipped["rare.py"]
+    assert readers.scan_archive(spark, str(tmp_path / "gone")).count() == 0
+
+
+def test_packed_archives_hold_every_file_once(spark, tmp_path):
+    files = spark.range(25).select(
+        F.concat(F.lit("d/"), "id", F.lit(".py")).alias("path"), F.when(F.col("id") > 0, F.concat(F.lit("é"), "id")).alias("content"))
+    for _ in range(2):  # again into the same folder
+        archives.pack(files.coalesce(1), str(tmp_path / "out"), per_archive=10)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"000000-00000{i}.zip" for i in range(3)]
+    back = readers.scan_archive(spark, str(tmp_path / "out"))
+    assert rows(back.select(F.substring_index("path", "!/", -1).alias("p"), "content")) == sorted(
+        (f"d/{i}.py", f"é{i}" if i else "") for i in range(25))
+
+
 NOTEBOOK = {
     "cells": [
         {"cell_type": "code", "source": ["# first\n", "df = spark.table('a.b')\n", "df.show()"], "outputs": []},
