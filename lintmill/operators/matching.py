@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lintmill.functions.text import base_name, strip
 from lintmill.operators.containment import finder, first_hits, hits
-from lintmill.operators.skew import running_total, spread_join
+from lintmill.operators.skew import HOT_ROWS, grid_join, running_total, spread_join
 from lintmill.session import materialize
 
 
@@ -155,27 +155,55 @@ def spots(findings: DataFrame) -> DataFrame:
     return _count(findings, ["file_path", "line_number"])
 
 
-def spot_files(places: DataFrame, pairs: DataFrame, files: DataFrame) -> DataFrame:
-    """Spots with the ``path`` of every file they belong to."""
+def spot_files(places: DataFrame, pairs: DataFrame, files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Spots with the ``path`` of every file they belong to.
+
+    A path of many spots may mean many files, and a name of many files may be meant by
+    many spots, so both joins are cut on both sides.
+    """
     spot = places.drop("n")
-    meant = spread_join(spot, pairs, ["file_path"], "line_number", _count(spot, ["file_path"]))
+    meant = grid_join(spot, pairs, ["file_path"], "line_number", "filename",
+                      _count(spot, ["file_path"]), _count(pairs, ["file_path"]), hot_rows)
     named = files.select("path", "filename")
-    return spread_join(named, meant, ["filename"], "path", _count(named, ["filename"])).drop("filename")
+    return grid_join(named, meant, ["filename"], "path", ["file_path", "line_number"],
+                     _count(named, ["filename"]), _per_name(spot, pairs), hot_rows).drop("filename")
+
+
+def _per_name(spot: DataFrame, pairs: DataFrame) -> DataFrame:
+    """How many spots mean each file name, from the spots of each path: the join itself is not made."""
+    per_path = _count(spot, ["file_path"]).withColumnRenamed("n", "_n")
+    return pairs.join(per_path, "file_path").groupBy("filename").agg(F.sum("_n").alias("n"))
 
 
-def attach(findings: DataFrame, matched: DataFrame, places: DataFrame) -> DataFrame:
-    """Findings with what their spot was matched to, one row per match."""
-    return spread_join(findings, matched, ["file_path", "line_number"], "seq", counts=places)
+def _files_per_path(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """How many files a lint path means, with equal names counted as often as they occur."""
+    per_name = _count(files, ["filename"]).withColumnRenamed("n", "_n")
+    return pairs.join(per_name, "filename").groupBy("file_path").agg(F.sum("_n").alias("n"))
+
+
+def attach(
+    findings: DataFrame, matched: DataFrame, places: DataFrame, pairs: DataFrame, files: DataFrame, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Findings with what their spot was matched to, one row per match.
+
+    A spot may have many findings and mean many files. It has at most as many
+    matches as its path has files, so matches need not be counted.
+    """
+    many = _files_per_path(pairs, files).filter(F.col("n") > hot_rows)
+    matches = places.drop("n").join(many, "file_path")
+    return grid_join(findings, matched, ["file_path", "line_number"], "seq", "path", places, matches, hot_rows)
 
 
-def finding_lines(findings: DataFrame, pairs: DataFrame, files: DataFrame, source: DataFrame) -> DataFrame:
+def finding_lines(
+    findings: DataFrame, pairs: DataFrame, files: DataFrame, source: DataFrame, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Findings with the source line they point at; those outside the file drop out.
 
     ``source`` comes from :func:`python_source` and/or :func:`notebook_source`.
     """
     places = spots(findings)
-    meant = spot_files(places, pairs, files).join(source, ["path", "line_number"])
-    return attach(findings, meant, places)
+    meant = spot_files(places, pairs, files, hot_rows).join(source, ["path", "line_number"])
+    return attach(findings, meant, places, pairs, files, hot_rows)
 
 
 def cell_spans(cells: DataFrame) -> DataFrame:
@@ -217,7 +245,7 @@ def finding_cells(findings: DataFrame, pairs: DataFrame, notebooks: DataFrame, c
     """Findings with notebook ``path``, ``cell_index`` and ``cell_line``."""
     places = spots(findings)
     placed = spot_files(places, pairs, notebooks)
-    return attach(findings, spot_cells(placed, cell_spans(cells)), places)
+    return attach(findings, spot_cells(placed, cell_spans(cells)), places, pairs, notebooks)
 
 
 def cell_lines(cells: DataFrame) -> DataFrame:

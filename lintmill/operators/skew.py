@@ -52,6 +52,44 @@ def spread_join(
     return left.drop("_parts").join(right.drop("_parts"), [*keys, "_part"]).drop("_part")
 
 
+def grid_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    left_by: str | list[str],
+    right_by: str | list[str],
+    left_counts: DataFrame,
+    right_counts: DataFrame,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Inner join for keys that may be hot on both sides.
+
+    Each side of a key is cut into parts of about ``hot_rows`` rows by its own count
+    (``left_counts``, ``right_counts``: keys and ``n``), r and c of them. The r x c cells
+    are dealt separately, and every part of one side meets every part of the other
+    exactly once, so a task takes about ``hot_rows`` rows of each side for a cell. Keys
+    that are hot on neither side make one cell and are not repeated; a row is
+    repeated once for every part of the other side. ``left_by`` and ``right_by`` vary
+    within a key; rows equal in them stay together.
+    """
+    def parts(counts: DataFrame, name: str) -> DataFrame:
+        return counts.filter(F.col("n") > hot_rows).select(*keys, F.ceil(F.col("n") / hot_rows).cast("int").alias(name))
+
+    hot = parts(left_counts, "_rows").join(parts(right_counts, "_columns"), keys, "full")
+    n_rows, n_columns = F.coalesce("_rows", F.lit(1)), F.coalesce("_columns", F.lit(1))
+
+    def own(by: str | list[str], n: Column) -> Column:
+        return F.pmod(F.xxhash64(*([by] if isinstance(by, str) else by)), n).cast("int")
+
+    def every(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), n - 1))
+
+    one = left.join(hot, keys, "left").withColumn("_row", own(left_by, n_rows)).withColumn("_column", every(n_columns))
+    two = right.join(hot, keys, "left").withColumn("_column", own(right_by, n_columns)).withColumn("_row", every(n_rows))
+    cut = ("_rows", "_columns")
+    return one.drop(*cut).join(two.drop(*cut), [*keys, "_row", "_column"]).drop("_row", "_column")
+
+
 def chunk_of(position: Column, kind: T.DataType, size: int = CHUNK) -> Column:
     """Groups neighbouring positions, at most ``size`` integers to a group.
 

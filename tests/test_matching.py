@@ -125,3 +125,18 @@ def test_files_that_share_a_name(spark):
     spots = matching.spots(findings)
     assert rows(matching.spot_files(spots, pairs, files), "path", "line_number") == [
         ("p/__init__.py", 1), ("p/__init__.py", 2), ("q/__init__.py", 1), ("q/__init__.py", 2)]
+
+
+def test_spots_and_files_hot_on_both_sides(spark):
+    """One path of many findings and spots means many files: split as finely as can be, nothing is lost."""
+    findings = spark.range(240).select(
+        F.col("id").alias("seq"), F.when(F.col("id") < 180, "x/u.py").otherwise("y.py").alias("file_path"),
+        (F.col("id") % 30).cast("int").alias("line_number"))
+    files = spark.range(40).select(
+        F.concat(F.lit("d"), "id").alias("path"), F.when(F.col("id") < 30, "u.py").otherwise("y.py").alias("filename"))
+    source = files.crossJoin(spark.range(25)).select(
+        "path", F.col("id").cast("int").alias("line_number"), F.concat("path", F.lit(" "), "id").alias("line"))
+    pairs = matching.match_contains(findings, files)
+    whole = rows(matching.finding_lines(findings, pairs, files, source), "seq", "path", "line")
+    assert len(whole) == 150 * 30 + 50 * 10
+    assert rows(matching.finding_lines(findings, pairs, files, source, hot_rows=4), "seq", "path", "line") == whole

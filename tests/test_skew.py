@@ -69,6 +69,41 @@ def test_hot_key_is_spread_over_partitions(spark):
     assert sum(sizes) == 4000 and max(sizes) < 2000
 
 
+def test_grid_join_equals_plain_join(spark):
+    def side(n, shift):
+        key = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.col("id") % 20 + shift))
+        return spark.range(n).select(key.alias("key"), F.col("id").alias(f"v{shift}"))
+
+    left, right = side(600, 0), side(400, 10)
+    count = lambda df: df.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    plain = rows(left.join(right, "key"), "key", "v0", "v10")
+    assert len(plain) > 200 * 130
+    for hot_rows in (10, 50, 150, 10**6):  # hot on both sides, on one, on none
+        out = skew.grid_join(left, right, ["key"], "v0", ["v10"], count(left), count(right), hot_rows)
+        assert out.columns == ["key", "v0", "v10"] and rows(out) == plain
+    none = left.limit(0)
+    assert skew.grid_join(none, right, ["key"], "v0", "v10", count(none), count(right), 5).count() == 0
+
+
+def test_key_hot_on_both_sides_is_spread_over_partitions(spark):
+    left = spark.range(1000).select(F.lit("hot").alias("key"), F.col("id").alias("a"))
+    right = spark.range(1000).select(F.lit("hot").alias("key"), F.col("id").alias("b"))
+    count = lambda df: df.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+                "spark.sql.shuffle.partitions": "200"}
+    kept = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        out = skew.grid_join(left, right, ["key"], "a", "b", count(left), count(right), hot_rows=100)
+        seen = out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("a").alias("a"), F.count_distinct("b").alias("b")).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(r.n for r in seen) == 1_000_000
+    assert len(seen) > 50 and max(r.n for r in seen) < 60_000  # a cell has about 10,000 pairs
+
+
 def test_first_rows_are_limited_before_the_shuffle(spark):
     df = spark.range(100).select("id", (F.col("id") % 4).alias("key"))
     out = skew.first_rows(df, ["key"], ["id"], 3)
