@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lintmill.session import materialize
+
 HOT_ROWS = 1_000_000  # rows of one key that one task may take in a join
 CHUNK = 65_536        # rows of one key that one window group may hold
 SALTS = 16
@@ -70,12 +72,15 @@ def grid_join(
     exactly once, so a task takes about ``hot_rows`` rows of each side for a cell. Keys
     that are hot on neither side make one cell and are not repeated; a row is
     repeated once for every part of the other side. ``left_by`` and ``right_by`` vary
-    within a key; rows equal in them stay together.
+    within a key; rows equal in them stay together. Counts are worked out at once:
+    without hot keys this is a plain join, and neither side moves for its parts.
     """
     def parts(counts: DataFrame, name: str) -> DataFrame:
         return counts.filter(F.col("n") > hot_rows).select(*keys, F.ceil(F.col("n") / hot_rows).cast("int").alias(name))
 
-    hot = parts(left_counts, "_rows").join(parts(right_counts, "_columns"), keys, "full")
+    hot = materialize(parts(left_counts, "_rows").join(parts(right_counts, "_columns"), keys, "full"), "hot")
+    if hot.isEmpty():
+        return left.join(right, keys)
     n_rows, n_columns = F.coalesce("_rows", F.lit(1)), F.coalesce("_columns", F.lit(1))
 
     def own(by: str | list[str], n: Column) -> Column:
