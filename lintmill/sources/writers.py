@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lintmill.functions.text import base_name, strings
 from lintmill.operators.apply import converted_name
+from lintmill.session import materialize
+from lintmill.sources.paths import file_system
 
 
 def write_json(tables: dict[str, DataFrame], root: str) -> None:
@@ -42,36 +48,58 @@ def write_loose_files(converted: DataFrame, folder: str, root: str | None = None
     """Converted lines as one text file each, in a folder all executors share.
 
     Files keep their place below ``root``, the folder they were read from. Each
-    file's lines are sorted by Spark and streamed to disk, never gathered in
-    memory. A file appears under its name only when complete, so a task that
-    runs twice does no harm.
+    file's lines are sorted by Spark and streamed out, never gathered in memory.
+
+    Written in two phases, in any store that Arrow knows. First each attempt of a task
+    writes its files to a folder of its own below ``folder``; Spark commits the list of
+    those of the attempts that count. Then the listed files are moved to their places,
+    which may be done again. If the first phase fails, no file of ``folder`` has changed;
+    the pending files are removed either way.
     """
-    def write(rows: Iterator[Row]) -> None:
-        current, temporary, out = None, None, None
-
-        def close() -> None:
-            if out is not None:
-                out.close()
-                os.replace(temporary, os.path.join(folder, current))
-
-        for row in rows:
-            if row.target != current:
-                close()
-                current = row.target
-                target = os.path.join(folder, current)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                temporary = f"{target}.{uuid.uuid4().hex}.tmp"
-                out = open(temporary, "w", encoding="utf-8", newline="")
-            else:
-                out.write("\n")
-            out.write(row.line)
-        close()
+    system, _, inner = file_system(folder)
+    pending = f"{inner.rstrip('/')}/_pending-{uuid.uuid4().hex}"
+    system.create_dir(pending, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _, _ = file_system(folder)
+        context = TaskContext.get()
+        place = f"{pending}/{context.partitionId()}-{context.taskAttemptId()}"
+        store.create_dir(place)
+        lines = ((t, x) for b in batches for t, x in zip(b["target"].to_pylist(), b["line"].to_pylist(), strict=True))
+        for number, (target, group) in enumerate(itertools.groupby(lines, key=lambda pair: pair[0])):
+            staged = f"{place}/{number}"
+            with store.open_output_stream(staged, compression=None) as out:
+                for at, (_, line) in enumerate(group):
+                    out.write(("\n" if at else "").encode() + line.encode("utf-8"))
+            yield pa.RecordBatch.from_pydict({"staged": [staged], "target": [target]})
+
+    def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _, _ = file_system(folder)
+        for batch in batches:
+            for staged, target in zip(batch["staged"].to_pylist(), batch["target"].to_pylist(), strict=True):
+                publish_file(store, staged, f"{inner.rstrip('/')}/{target}")
+            yield batch.select(["target"])
 
     order = [c for c in ("part", "line_no", "sub") if c in converted.columns]
-    (
+    sorted_lines = (
         _with_target(converted, F.col("converted_path"), root).repartition("path")
-        .sortWithinPartitions("path", *order).select("target", "line").foreachPartition(write)
+        .sortWithinPartitions("path", *order).select("target", "line")
     )
+    try:
+        listed = materialize(sorted_lines.mapInArrow(write, "staged string, target string"), "staged")
+        listed.mapInArrow(publish, "target string").count()
+    finally:
+        system.delete_dir(pending)
+
+
+def publish_file(store: fs.FileSystem, staged: str, target: str) -> None:
+    """Move a written file to its place; nothing is left to do if an earlier attempt has moved it."""
+    there = store.get_file_info(staged).type == fs.FileType.File
+    if there:
+        store.create_dir(target.rpartition("/")[0], recursive=True)
+        store.move(staged, target)
+    elif store.get_file_info(target).type != fs.FileType.File:
+        raise FileNotFoundError(f"neither written nor in place: {target}")
 
 
 def write_notebooks(texts: DataFrame, folder: str, root: str | None = None) -> None:
