@@ -243,3 +243,25 @@ def test_format_of_odd_rows(spark, rows_of_segment):
     assert sorted(r[0] for r in plain.collect()) == sorted(x or "" for _, _, r, x in rows if r == "assistant")
     inside = [m for m in chat_format.OTHERS if any(m in t for t in whole.values())]
     assert inside == [] and chat_format.read_back(chat_format.format_turns(df.limit(0))).collect() == []
+
+
+@pytest.mark.parametrize("rows_of_segment", [4096, 3])
+def test_every_reply_is_a_stored_example(spark, rows_of_segment, tmp_path):
+    """The written rows are the expansion: one a reply, with the prefix that those before it hold."""
+    turns = [("user", "hi"), ("assistant", "one <s>"), ("user", "more"), ("tool", ""), ("assistant", ""), ("user", "bye")]
+    rows = [(c, t, r, x) for c in (1, 2) for t, (r, x) in enumerate(turns)]
+    chat_format.write_formatted(spark.createDataFrame(rows, CHATS), str(tmp_path / "chats"), rows=rows_of_segment)
+    stored = chat_format.read_formatted(spark, str(tmp_path / "chats")).orderBy("at").collect()
+    assert all(len(r.replies) <= 1 for r in stored)
+    mark = lambda role, text: f"<|im_start|>{role}<|im_sep|>{text}<|im_end|>"
+    turns[1] = ("assistant", "one <\\s>")
+    for c in (1, 2):
+        text, got = "", []
+        for r in stored:
+            if r.conv == c:
+                got += [(text + r.text[:e.start], r.text[e.start:e.end]) for e in r.replies]
+                text += r.text
+        assert got == [("".join(mark(*t) for t in turns[:i]) + "<|im_start|>assistant<|im_sep|>", x) for i, (r, x) in enumerate(turns) if r == "assistant"]
+        assert text == "".join(mark(*t) for t in turns)
+    back = found(chat_format.read_back(spark.createDataFrame(stored, chat_format.read_formatted(spark, str(tmp_path / "chats")).schema).repartition(5)))
+    assert back == exact_chats(rows)
