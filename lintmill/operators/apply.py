@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lintmill import fixed_values as V
 from lintmill.functions.text import strip, strings, swap
+from lintmill.operators.containment import finder
 from lintmill.operators.matching import code_hits
 from lintmill.operators.edits import Lines
 from lintmill.operators.modify import order_chunk
@@ -20,6 +23,8 @@ from lintmill.session import materialize
 PYTHON_TYPES = ("replace", "insert", "delete")
 CELL_TYPES = ("replace", "insert", "delete", "modify")
 BATCH = 10_000  # edited lines sent at once
+SMALL = 65_536  # lines and changes of one key that are edited whole, in one place
+BUCKETS = 65_536
 
 
 def _by_path(mods: DataFrame) -> DataFrame:
@@ -61,13 +66,148 @@ def fold(
 ) -> DataFrame:
     """As ``apply_in_order``, with deleted lines as NULL.
 
+    Lines and changes move once, to the place of their key. Keys with more than
+    ``SMALL`` of both are worked out apart (``_fold_large``), so a task never holds more.
+    """
+    keys = keys or ["path"]
+    lines, changes = lines.select(*keys, "line_no", "line"), mods.filter(F.col("change_type").isin(*kinds))
+    placed = _by_path(changes).dropna(subset=keys)
+    large = _large_keys(lines, placed, keys, SMALL)
+    if large is None:
+        return _fold_small(lines, placed, keys)
+    own = large.withColumnsRenamed({"path": "file_path"})
+    return _fold_small(lines.join(large, keys, "left_anti"), placed.join(large, keys, "left_anti"), keys).unionByName(
+        _fold_large(lines.join(large, keys, "left_semi"), changes.join(own, own.columns, "left_semi"), keys, kinds))
+
+
+def _large_keys(lines: DataFrame, changes: DataFrame, keys: list[str], most: int) -> DataFrame | None:
+    """Keys with more lines and changes than ``most``; None if there are none.
+
+    Rows are counted by a hash of the key first, so few numbers move; only keys of
+    full buckets are counted themselves.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias("_bucket")
+    both = lines.select(*keys, bucket).unionByName(changes.select(*keys, bucket)).dropna(subset=keys)
+    full = materialize(both.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select("_bucket"), "full")
+    if full.isEmpty():
+        return None
+    counted = both.join(full, "_bucket", "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = materialize(counted.filter(F.col("_n") > most).select(*keys), "large")
+    return None if large.isEmpty() else large
+
+
+def _schema(lines: DataFrame, keys: list[str]) -> T.StructType:
+    return T.StructType([
+        *[lines.schema[k] for k in keys], T.StructField("line_no", T.IntegerType()), T.StructField("part", T.IntegerType()),
+        T.StructField("line", T.StringType()), T.StructField("applied", T.BooleanType()),
+    ])
+
+
+def _fold_small(lines: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key's changes played on its lines. Rows come by key, changes first.
+
+    Lines of keys without changes go through as they are, a batch at a time; of the
+    others one key is held at once.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    n_keys, schema = len(keys), _schema(lines, keys)
+    arrow = to_arrow_schema(schema)
+
+    def runs(batch: pa.RecordBatch) -> np.ndarray:
+        """Numbers the runs of equal keys in a batch, from 0."""
+        new = np.zeros(batch.num_rows, bool)
+        for column in batch.columns[:n_keys]:
+            new[1:] |= pc.fill_null(pc.not_equal(column[1:], column[:-1]), True).to_numpy(zero_copy_only=False)
+        return np.cumsum(new)
+
+    def edited(key: tuple, changes: list[tuple], lines: list[tuple]) -> list[tuple]:
+        find, known, state = finder(list({code for _, _, code in changes})), {}, Lines()
+
+        def held(text: str | None) -> frozenset[str]:
+            if text is None:
+                return frozenset()
+            if text not in known:
+                known[text] = frozenset(find(text.strip(V.SPACES)))
+            return known[text]
+
+        for number, text in lines:
+            state.append(number, text, held(text))
+        for kind, text, code in changes:
+            state.edit(kind, code, text, frozenset() if kind == "delete" else held(text))
+        return [(*key, *row) for row in _numbered(state)]
+
+    def play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, changes, held, rows = None, [], [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            run, change = runs(batch), batch.column("kind").is_valid().to_numpy(zero_copy_only=False)
+            played = np.zeros(run[-1] + 1, bool)
+            played[run[change]] = True
+            if key is not None and tuple(c[0].as_py() for c in batch.columns[:n_keys]) == key:
+                played[0] = True  # begun in the batch before
+            taken = played[run]
+            idle = batch.filter(pa.array(~taken))
+            if idle.num_rows:
+                yield pa.RecordBatch.from_arrays([
+                    *idle.columns[:n_keys], idle.column("number"), pa.array(np.zeros(idle.num_rows, np.int32)), idle.column("text"),
+                    pa.array(np.zeros(idle.num_rows, bool))], schema=arrow)
+            for row in zip(*[column.to_pylist() for column in batch.filter(pa.array(taken)).columns]):
+                if row[:n_keys] != key:
+                    if key is not None:
+                        rows += edited(key, changes, held)
+                        if len(rows) >= BATCH:
+                            yield _batch(rows, arrow)
+                            rows = []
+                    key, changes, held = row[:n_keys], [], []
+                kind, number, text, code = row[n_keys:]
+                if kind is None:
+                    held.append((number, text))
+                elif code is not None:
+                    changes.append((kind, text, code))
+        if key is not None:
+            rows += edited(key, changes, held)
+        if rows:
+            yield _batch(rows, arrow)
+
+    none = F.lit(None)
+    stream = changes.select(
+        *keys, F.col("change_type").alias("kind"), none.cast("int").alias("number"), F.col("modified_code").alias("text"),
+        strip(F.col("original_code")).alias("code"), F.lit(0).alias("_turn"), F.col("seq").alias("_seq"),
+    ).unionByName(lines.select(
+        *keys, none.cast("string").alias("kind"), F.col("line_no").cast("int").alias("number"), F.col("line").alias("text"),
+        none.cast("string").alias("code"), F.lit(1).alias("_turn"), none.cast(changes.schema["seq"].dataType).alias("_seq"),
+    ))
+    return (
+        stream.repartition(*keys).sortWithinPartitions(*keys, "_turn", "number", "_seq")
+        .select(*keys, "kind", "number", "text", "code").mapInArrow(play, schema)
+    )
+
+
+def _numbered(state: Lines) -> Iterator[tuple]:
+    """(line_no, part, line, applied) of edited lines; ``part`` counts those in front of a line."""
+    number, part = None, 0
+    for line in state:
+        if line.number != number:
+            number, part = line.number, 0
+        yield number, part, line.text, line.edited
+        part += line.text is not None
+
+
+def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+
+def _fold_large(lines: DataFrame, mods: DataFrame, keys: list[str], kinds: tuple[str, ...]) -> DataFrame:
+    """``fold`` for keys with more lines and changes than a task should hold.
+
     A code whose lines hold no other code, before or after any change, does not
     meet the others. For such codes the order is worked out set-based: a change
     that removes the code from its line moves the next change on to the next
     line. Only codes that meet each other, and the lines they touch, are edited
     in sequence, per key.
     """
-    keys = keys or ["path"]
     ops = (
         _by_path(mods).filter(F.col("change_type").isin(*kinds))
         .withColumn("code", strip(F.col("original_code")))
@@ -143,25 +283,18 @@ def _edited(lines: DataFrame, ops: DataFrame, keys: list[str]) -> DataFrame:
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    n_keys = len(keys)
-    schema = T.StructType([
-        *[lines.schema[k] for k in keys], T.StructField("line_no", T.IntegerType()), T.StructField("part", T.IntegerType()),
-        T.StructField("line", T.StringType()), T.StructField("applied", T.BooleanType()),
-    ])
+    n_keys, schema = len(keys), _schema(lines, keys)
     arrow = to_arrow_schema(schema)
 
     def edited(key: tuple, state: Lines) -> Iterator[pa.RecordBatch]:
-        rows, number, part = [], None, 0
-        for line in state:
-            if line.number != number:
-                number, part = line.number, 0
-            rows.append((*key, number, part, line.text, line.edited))
-            part += line.text is not None
+        rows = []
+        for row in _numbered(state):
+            rows.append((*key, *row))
             if len(rows) == BATCH:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+                yield _batch(rows, arrow)
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+            yield _batch(rows, arrow)
 
     def play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, Lines()
@@ -222,7 +355,7 @@ def converted_lines(files: DataFrame, applied: DataFrame) -> DataFrame:
     lines are told apart by ``sub`` and whose deleted lines count as changes.
     """
     sub = [F.col("part").alias("sub")] if "part" in applied.columns else []
-    applied = applied.select("path", "line_no", *sub, "line", "applied")
+    applied = materialize(applied.select("path", "line_no", *sub, "line", "applied"), "applied")
     changed = (
         applied.filter("applied").select("path").distinct()
         .join(files.select("path", "filename", "file_type"), "path")

@@ -108,3 +108,40 @@ def test_converted_metadata(spark):
     df = spark.createDataFrame([({"kernel": '"k"'},)], "metadata map<string,string>")
     got = df.select(apply.converted_metadata(F.col("metadata")).alias("m")).first().m
     assert set(got) == {"kernel", "unity_catalog_converted", "conversion_timestamp", "conversion_tool"}
+
+
+@pytest.mark.parametrize("small", [0, 25, 65_536])
+def test_keys_of_any_size_are_folded_alike(spark, monkeypatch, small):
+    """Large keys go apart, small ones whole; nothing is lost between them, nor changes without a file."""
+    monkeypatch.setattr(apply, "SMALL", small)
+    lines, mods = _case(2, ["a", "ab", "b", "abc"], ["replace", "insert", "delete"], 90)
+    lines += [("idle", n, f"line {n}") for n in range(5)] + [(None, 1, "a")] + [("f0", 50 + n, "a b") for n in range(20)]
+    mods += [((0, 900, None, None), None, 0, "delete", "a", "x"), ((0, 901, None, None), "none", 0, "replace", "a", "x")]
+    out = apply.apply_in_order(spark.createDataFrame(lines, "path string, line_no int, line string"), spark.createDataFrame(mods, MODS))
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: (r.path or "", r.line_no, r.part)):
+        got.setdefault(r.path, []).append(r.line)
+    expected = play([l for l in lines if l[0]], [m for m in mods if m[1]], apply.PYTHON_TYPES)
+    assert got == {p: t for p, t in expected.items() if t} | {None: ["a"]}
+
+
+def test_small_keys_move_once(spark):
+    lines, mods = _case(1, ["a", "ab", "b"], ["replace", "insert", "delete"], 60)
+    out = apply.fold(spark.createDataFrame(lines, "path string, line_no int, line string"), spark.createDataFrame(mods, MODS))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_converted_lines_fold_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    schema = "path string, line_no int, part int, line string, applied boolean"
+    applied = spark.createDataFrame([("f.py", 1, 0, "x", True), ("f.py", 2, 0, "y", False)], schema).mapInArrow(count, schema)
+    files = spark.createDataFrame([("f.py", "f.py", "python")], "path string, filename string, file_type string")
+    apply.converted_lines(files, applied).collect()
+    assert seen.value == 2
