@@ -14,7 +14,7 @@ from lintmill.functions.text import clean_utf8, is_code, split_lines, strip
 from lintmill.operators import advice, apply, lineage, matching, modify, planning, reporting, validate
 from lintmill.operators import findings as found
 from lintmill.plans.assessment import Assessment, assess, notebook_files, python_files
-from lintmill.session import scratch_path
+from lintmill.session import materialize, scratch_path
 from lintmill.sources import archives, readers
 from lintmill.streaming import ingest
 from lintmill.streaming.maintained import MaintainedTotals
@@ -40,6 +40,11 @@ def _code(spark, sf) -> DataFrame:
     return views.code(spark, sf).select("path", "line_no", "line")
 
 
+def _stored_code(spark, sf) -> DataFrame:
+    """Lines as a run reads them: for its file names, its source and where changes are applied."""
+    return materialize(_code(spark, sf), "lines")
+
+
 def _analysis(spark, sf) -> DataFrame:
     """Analysis per lint path, from the log alone."""
     return found.analyse(found.finding_totals(_findings(spark, sf)))
@@ -51,7 +56,7 @@ def _plans(spark, sf) -> DataFrame:
 
 def _run(spark, sf, parse: bool = False, **options) -> Assessment:
     """Python files and notebooks assessed together."""
-    lines, cells = _code(spark, sf), views.cells(spark, sf)
+    lines, cells = _stored_code(spark, sf), views.cells(spark, sf)
     findings = _findings(spark, sf).unionByName(_notebook_findings(spark, sf))
     return assess(
         findings, python_files(lines), lines, notebook_files(cells), cells, parse=parse, **options
@@ -59,7 +64,7 @@ def _run(spark, sf, parse: bool = False, **options) -> Assessment:
 
 
 def _python_run(spark, sf, **options) -> Assessment:
-    lines = _code(spark, sf)
+    lines = _stored_code(spark, sf)
     return assess(_findings(spark, sf), python_files(lines), lines, parse=False, **options)
 
 
@@ -560,7 +565,7 @@ def validations_parsed(spark, sf):
 
 @query
 def validation_summary(spark, sf):
-    return reporting.validation_summary(_run(spark, sf).validations)
+    return reporting.validation_summary(_run(spark, sf).validation_rows)
 
 
 @query
@@ -571,7 +576,7 @@ def top3_validation_issues(spark, sf):
 @query
 def validation_text(spark, sf):
     run = _run(spark, sf)
-    return validate.detail_text(run.validations, run.issues)
+    return validate.detail_text(run.validation_rows, run.issues)
 
 
 # --- applying ---------------------------------------------------------------------------------
@@ -579,13 +584,13 @@ def validation_text(spark, sf):
 @query
 def apply_lines(spark, sf):
     run = _python_run(spark, sf)
-    return apply.apply_at_position(_code(spark, sf), run.modifications)
+    return apply.apply_at_position(run.lines, run.modifications)
 
 
 @query
 def apply_fold(spark, sf):
     run = _python_run(spark, sf)
-    return apply.apply_in_order(_code(spark, sf), run.modifications)
+    return apply.apply_in_order(run.lines, run.modifications)
 
 
 @query
@@ -604,13 +609,13 @@ def _mixed_kinds(mods):
 @query
 def apply_fold_kinds(spark, sf):
     run = _python_run(spark, sf)
-    return apply.apply_in_order(_code(spark, sf), _mixed_kinds(run.modifications))
+    return apply.apply_in_order(run.lines, _mixed_kinds(run.modifications))
 
 
 @query
 def converted_fold(spark, sf):
     run = _python_run(spark, sf)
-    folded = apply.fold(_code(spark, sf), _mixed_kinds(run.modifications))
+    folded = apply.fold(run.lines, _mixed_kinds(run.modifications))
     return apply.converted_lines(run.files, folded).drop("path")
 
 
@@ -629,7 +634,7 @@ def conversions(spark, sf):
 @query
 def converted_content(spark, sf):
     run = _python_run(spark, sf)
-    return apply.converted_lines(run.files, apply.apply_at_position(_code(spark, sf), run.modifications)).drop("path")
+    return apply.converted_lines(run.files, apply.apply_at_position(run.lines, run.modifications)).drop("path")
 
 
 @query

@@ -201,7 +201,7 @@ def finding_lines(
 
     ``source`` comes from :func:`python_source` and/or :func:`notebook_source`.
     """
-    places = spots(findings)
+    places = materialize(spots(findings), "spots")
     meant = spot_files(places, pairs, files, hot_rows).join(source, ["path", "line_number"])
     return attach(findings, meant, places, pairs, files, hot_rows)
 
@@ -243,7 +243,7 @@ def spot_cells(placed: DataFrame, spans: DataFrame, bucket: int = 64) -> DataFra
 
 def finding_cells(findings: DataFrame, pairs: DataFrame, notebooks: DataFrame, cells: DataFrame) -> DataFrame:
     """Findings with notebook ``path``, ``cell_index`` and ``cell_line``."""
-    places = spots(findings)
+    places = materialize(spots(findings), "spots")
     placed = spot_files(places, pairs, notebooks)
     return attach(findings, spot_cells(placed, cell_spans(cells)), places, pairs, notebooks)
 

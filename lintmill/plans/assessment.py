@@ -41,14 +41,19 @@ class Assessment:
         self._parsed = findings
         self.match, self.parse = match, parse
         self.rewriting = {"rules": rules, "emit_noop": emit_noop, "extra": extra}
+        self.lines, self.cells = lines, cells
         corpora = [df.select(*FILE_COLUMNS) for df in (files, notebooks) if df is not None]
         self._corpus = reduce(DataFrame.unionByName, corpora)
+
+    @cached_property
+    def source(self) -> DataFrame:
+        """Lines as rewriting reads them, numbered within their notebook once; ``lines`` are read as given."""
         sources = []
-        if lines is not None:
-            sources.append(matching.python_source(lines))
-        if cells is not None:
-            sources.append(matching.notebook_source(cells))
-        self.source = reduce(DataFrame.unionByName, sources)
+        if self.lines is not None:
+            sources.append(matching.python_source(self.lines))
+        if self.cells is not None:
+            sources.append(materialize(matching.notebook_source(self.cells), "source"))
+        return reduce(DataFrame.unionByName, sources)
 
     @cached_property
     def findings(self) -> DataFrame:
@@ -94,9 +99,14 @@ class Assessment:
     def issues(self) -> DataFrame:
         return validate.issues(self.checked)
 
+    @property
+    def validation_rows(self) -> DataFrame:
+        """As ``validations``, not stored: for one reader, who works out only the columns that are read."""
+        return validate.validations(self.files, self.checked)
+
     @cached_property
     def validations(self) -> DataFrame:
-        return materialize(validate.validations(self.files, self.checked), "validations")
+        return materialize(self.validation_rows, "validations")
 
     @property
     def conversions(self) -> DataFrame:

@@ -140,3 +140,21 @@ def test_spots_and_files_hot_on_both_sides(spark):
     whole = rows(matching.finding_lines(findings, pairs, files, source), "seq", "path", "line")
     assert len(whole) == 150 * 30 + 50 * 10
     assert rows(matching.finding_lines(findings, pairs, files, source, hot_rows=4), "seq", "path", "line") == whole
+
+
+def test_a_run_works_out_its_lines_and_spots_once(spark, monkeypatch):
+    """A query reads its lines back; spots are stored, and validation rows only where they are read again."""
+    from lintmill.catalog import queries
+    from lintmill.plans import assessment
+    from tests.conftest import SF
+
+    kinds = []
+    for module in (queries, matching, assessment):
+        stored = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, kind, stored=stored: kinds.append(kind) or stored(df, kind))
+    run = queries._python_run(spark, SF)
+    run.modifications
+    assert "Aggregate" not in run.source._jdf.queryExecution().optimizedPlan().toString()
+    assert kinds.count("lines") == kinds.count("spots") == 1
+    queries.validation_summary(spark, SF).collect()
+    assert "validations" not in kinds
