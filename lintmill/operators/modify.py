@@ -56,13 +56,14 @@ def from_findings(
     clean = F.col("_clean")
     new = rewrite(clean, F.col("category"), F.col("message"), rules, prefix, extra)
     # The rewritten text is compared with the line as it stands, indentation
-    # included, so an untouched indented line counts as changed. Filtering the
-    # one-element array keeps the costly rewrite from being evaluated twice.
+    # included, so an untouched indented line counts as changed. Exploding a
+    # one-element array stores the costly rewrite, in compiled code; the filter
+    # reads it and does not evaluate it again.
     before = F.col("line") if emit_noop else clean
     changed = (
         matching.finding_lines(findings, pairs, files, source)
         .withColumn("_clean", strip(F.col("line")))
-        .withColumn("_new", F.explode(F.filter(F.array(new), lambda text: text != before)))
+        .withColumn("_new", F.explode(F.array(new))).filter(F.col("_new") != before)
         .withColumn("_new", strip(F.col("_new")))
     )
     none = F.lit(None)
