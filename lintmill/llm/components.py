@@ -11,22 +11,22 @@ from lintmill.session import materialize
 def least_labels(links: DataFrame) -> DataFrame:
     """From links (a, b) to (node, label): the smallest node that links reach.
 
-    Every round takes the least label among the neighbours and then the label of
-    that label, so long chains take logarithmically many rounds. Each round is
-    written to the shared folder; only a count of changes reaches the driver.
+    Every round takes the least label among the neighbours, the node itself and the
+    node that its label names, so long chains take logarithmically many rounds. A round
+    is one join and one minimum, as the driver keeps threads, plans and tables of
+    small joins for every one. Each round is written to the shared folder; only
+    whether labels changed reaches the driver.
     """
-    both = materialize(
-        links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).filter("a <> b").distinct(), "links"
-    )
+    back = F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    both = links.filter("a <> b").select(F.explode(F.array(F.struct("a", "b"), back)).alias("link"))  # links are worked out once
+    both = materialize(both.select("link.*").distinct(), "links")
     labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"))
                          .withColumnRenamed("a", "node"), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        hop = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        asked = both.union(labels.select("node", F.explode(F.array("node", "label"))))
         new = materialize(
-            labels.join(near.withColumnRenamed("a", "node"), "node").join(hop, "label", "left")
-            .select("node", F.col("label").alias("old"), F.least("label", "near", F.coalesce("far", "label")).alias("label")),
-            "labels",
+            asked.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
+            .agg(F.max(F.expr("if(a = b, label, null)")).alias("old"), F.min("label").alias("label")), "labels",
         )
         labels = new.select("node", "label")
         if new.filter("old <> label").isEmpty():

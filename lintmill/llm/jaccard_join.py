@@ -162,8 +162,8 @@ def _first_tokens(batches):
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
-    """Those of the pairs (a, b) that link. ``g`` groups pairs whose sets one task holds."""
-    wanted = pairs.select(F.col("g").alias("held"), F.col("a").alias("cid")).union(pairs.select("g", "b")).distinct()
+    """Components of those pairs (a, b) that link. ``g`` groups pairs whose sets one task holds."""
+    wanted = pairs.select(F.col("g").alias("held"), F.explode(F.array("a", "b")).alias("cid")).distinct()
     sets = wanted.join(classes, "cid")
 
     def check(key, asked: pa.Table, held: pa.Table) -> pa.Table:
@@ -189,20 +189,17 @@ def _verify(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
             ends = np.cumsum(size)
             both = hits[ends] - hits[ends - size]
             linked[part] = 100 * both >= similarity * (n[a[part]] + n[b[part]] - both)
-        return pa.table({"a": asked["a"].filter(pa.array(linked)), "b": asked["b"].filter(pa.array(linked))})
+        kept = asked.filter(pa.array(linked))
+        return pa.table({"a": kept["a_component"], "b": kept["b_component"]})
 
-    return pairs.select("g", "a", "b").groupBy("g").cogroup(sets.groupBy("held")).applyInArrow(
+    return pairs.select("g", "a", "b", "a_component", "b_component").groupBy("g").cogroup(sets.groupBy("held")).applyInArrow(
         lambda key, p, s: check(key, p, s), "a long, b long"
     )
 
 
 def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after verified links between classes."""
-    of = lambda end: component.select(F.col("cid").alias(end), F.col("component").alias(f"{end}_component"))
-    found = links.join(of("a"), "a").join(of("b"), "b").select(
-        F.col("a_component").alias("a"), F.col("b_component").alias("b")
-    )
-    labels = least_labels(found)
+    """Components after verified links between them."""
+    labels = least_labels(links)
     return materialize(
         component.join(labels.select(F.col("node").alias("component"), F.col("label").alias("least")), "component", "left")
         .select("cid", "n", F.coalesce("least", "component").alias("component"), "label"), "components",
@@ -214,7 +211,7 @@ def _fits(similarity: int):
 
 
 def _hub_round(tokens: DataFrame, component: DataFrame, classes: DataFrame, similarity: int, turn: int):
-    """Link each class to at most one hub; None if no list spans components."""
+    """Links of each class to at most one hub, as components; None if no list spans components."""
     held = tokens.join(component.select("cid", "component"), "cid")
     hubs = held.groupBy("token").agg(
         F.min("component").alias("low"), F.max("component").alias("high"),
@@ -222,14 +219,16 @@ def _hub_round(tokens: DataFrame, component: DataFrame, classes: DataFrame, simi
     ).filter("low <> high").select("token", F.col("hub.cid").alias("b"), F.col("hub.n").alias("b_n"), F.col("hub.component").alias("hub"))
     votes = (
         held.join(hubs, "token").withColumnRenamed("n", "a_n").filter("component <> hub").filter(_fits(similarity))
-        .groupBy(F.col("cid").alias("a"), "b").count()
-        .groupBy("a").agg(F.max_by("b", F.struct("count", F.xxhash64("a", "b"))).alias("b"))
+        .groupBy(F.col("cid").alias("a"), F.col("component").alias("a_component"), "b", F.col("hub").alias("b_component")).count()
+        .groupBy("a", "a_component").agg(
+            F.max_by(F.struct("b", "b_component"), F.struct("count", F.xxhash64("a", "b"))).alias("found"))
+        .select("a", "a_component", "found.*")
     )
     votes = materialize(votes, "pairs")
     if votes.isEmpty():
         return None
     size = votes.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / (2 * GROUP)).alias("parts"))
-    pairs = votes.join(size, "b").select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), "parts")).alias("g"))
+    pairs = votes.join(size, "b").select("a", "b", "a_component", "b_component", F.xxhash64("b", F.pmod(F.xxhash64("a"), "parts")).alias("g"))
     return _verify(pairs, classes, similarity)
 
 
@@ -263,7 +262,7 @@ def _labels(tokens: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _same_label_links(classes: DataFrame, component: DataFrame, similarity: int) -> DataFrame:
-    """Links between components of one label. Tiles hold about GROUP sets; those of one component are not compared."""
+    """Links between components of one label, as components. Tiles hold about GROUP sets; those of one component are not compared."""
     held = component.select("cid", "component", "label")
     sizes = held.groupBy("label", "component").count()
     open_labels = sizes.groupBy("label").agg(F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("label")
@@ -278,15 +277,15 @@ def _same_label_links(classes: DataFrame, component: DataFrame, similarity: int)
     other = tiles.select(F.col("label").alias("l"), F.col("big").alias("b"), F.col("tile").alias("t"))
     pairs = tiles.join(other, (F.col("label") == F.col("l")) & (F.col("tile") <= F.col("t"))).filter(
         "big is null or b is null or big <> b").select(F.xxhash64("tile", "t").alias("g"), "tile", "t")
-    ends = pairs.select("g", "tile").union(pairs.select("g", "t")).distinct()
+    ends = pairs.select("g", F.explode(F.array("tile", "t")).alias("tile")).distinct()
     whole = tiled.join(classes, "cid").join(ends, "tile").select("g", "tile", "cid", "component", "n", "members")
     return whole.groupBy("g").applyInArrow(lambda key, t: _tile_links(t, similarity), "a long, b long")
 
 
 def _tile_links(held: pa.Table, similarity: int) -> pa.Table:
-    """Links between two tiles (or within one), by products of their membership matrices."""
+    """Links between two tiles (or within one), by products of their membership matrices, as components."""
     tile, n = held["tile"].to_numpy(), held["n"].to_numpy().astype(np.int64)
-    cid, component = held["cid"].to_numpy(), held["component"].to_numpy()
+    component = held["component"].to_numpy()
     members = [np.frombuffer(m, np.uint64) for m in held["members"].to_pylist()]
     left = np.flatnonzero(tile == tile.min())
     right = np.flatnonzero(tile == tile.max())
@@ -306,8 +305,8 @@ def _tile_links(held: pa.Table, similarity: int) -> pa.Table:
         both += matrices[0] @ matrices[1].T
     union = n[left][:, None] + n[right][None, :] - both
     linked = (100 * both >= similarity * union) & (component[left][:, None] != component[right][None, :])
-    i, j = _forest(left, right, linked, len(cid))
-    return pa.table({"a": pa.array(cid[i], pa.int64()), "b": pa.array(cid[j], pa.int64())})
+    i, j = _forest(left, right, linked, len(component))
+    return pa.table({"a": pa.array(component[i], pa.int64()), "b": pa.array(component[j], pa.int64())})
 
 
 def _forest(left: np.ndarray, right: np.ndarray, linked: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -396,13 +395,13 @@ def _cross_label_pairs(
         side("a").join(side("b"), "token")
         .filter("a_cid < b_cid and a_component <> b_component and a_label <> b_label").filter(_fits(similarity))
         .filter(f"token % 2 = 0 or greatest(a_n, b_n) > {boundary}")
-        .select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b"),
+        .select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b"), "a_component", "b_component",
                 F.xxhash64(F.least("a_label", "b_label"), F.greatest("a_label", "b_label")).alias("labels")).distinct()
     )
     pairs = materialize(pairs, "pairs")
     sizes = pairs.groupBy("labels").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / (GROUP * GROUP))).alias("parts"))
     return pairs.join(sizes, "labels").select(
-        "a", "b", F.xxhash64("labels", F.pmod(F.xxhash64("a"), "parts"), F.pmod(F.xxhash64("b"), "parts")).alias("g"))
+        "a", "b", "a_component", "b_component", F.xxhash64("labels", F.pmod(F.xxhash64("a"), "parts"), F.pmod(F.xxhash64("b"), "parts")).alias("g"))
 
 
 def linked_documents(

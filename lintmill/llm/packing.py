@@ -64,10 +64,11 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = np.array([end_id], self.kind).tobytes()
         with open(path, encoding="utf-8") as file:
-            self.fast = self._fast(json.load(file))
+            spec = json.load(file)
+        self.kind = np.dtype(f"<u{_width(spec)}")
+        self.end = np.array([end_id], self.kind).tobytes()
+        self.fast = self._fast(spec)
 
     def _fast(self, spec: dict):
         model, pre = spec["model"], spec["pre_tokenizer"] or {}
@@ -107,8 +108,19 @@ def _encoder(path: str, end_id: int) -> _Encoder:
 
 
 def token_width(path: str) -> int:
-    """Bytes of one id in the packed column."""
-    return _encoder(path, 0).kind.itemsize
+    """Bytes of one id in the packed column.
+
+    Read off the tokenizer's file: the driver asks for it too, and a tokenizer once
+    built there would take its memory for good.
+    """
+    with open(path, encoding="utf-8") as file:
+        return _width(json.load(file))
+
+
+def _width(spec: dict) -> int:
+    vocabulary = spec["model"]["vocab"]
+    pieces = set(vocabulary) if isinstance(vocabulary, dict) else {piece for piece, _ in vocabulary}
+    return 2 if len(pieces | {t["content"] for t in spec["added_tokens"]}) <= 1 << 16 else 4
 
 
 def tokenize(docs: DataFrame, path: str, text: str = "text", end_id: int = 1, window: int = WINDOW) -> DataFrame:

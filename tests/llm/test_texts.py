@@ -13,6 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lintmill.llm import jaccard_join, lm_scoring, mixing, packing, queries, substring_dedup, words
+from lintmill.llm.components import least_labels
+from lintmill.session import materialize
 from tests.conftest import SF
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -157,6 +159,33 @@ def test_jaccard_join_compares_tiles_and_labels(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept) == sorted({c for _, _, c in components(near_copies())})
 
 
+def test_jaccard_join_plans_few_joins(spark, monkeypatch):
+    """Every join costs the driver memory, however small its tables."""
+    joins = []
+
+    def counted(df, kind):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return materialize(df, kind)
+
+    monkeypatch.setattr("lintmill.llm.jaccard_join.materialize", counted)
+    monkeypatch.setattr("lintmill.llm.components.materialize", counted)
+    docs = spark.createDataFrame(near_copies(), "doc_id long, text string")
+    got = jaccard_join.linked_documents(docs).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == components(near_copies())
+    assert sum(joins) <= 45
+
+
+def test_least_labels(spark):
+    rng = random.Random(5)
+    chain = list(range(100, 160))
+    rng.shuffle(chain)
+    links = [*zip(chain, chain[1:]), (7, 7), (3, 9), (9, 3), (9, 11), *[(200 + i, 299) for i in range(40)]]
+    rng.shuffle(links)
+    got = least_labels(spark.createDataFrame(links, "a long, b long")).collect()
+    want = {**dict.fromkeys(chain, 100), **dict.fromkeys((3, 9, 11), 3), **dict.fromkeys((*range(200, 240), 299), 200)}
+    assert sorted((r.node, r.label) for r in got) == sorted(want.items())
+
+
 def test_lm_scores(odd, nothing):
     rows = [(r[0], r[1]) for r in odd_rows()]
     held = lambda d: zlib.crc32(str("" if d is None else d).encode()) % 5 == 1
@@ -235,6 +264,16 @@ def test_ids_are_the_tokenizers():
     assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts[:40])] == want[:40]
 
 
+def test_token_width_builds_no_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    packing._encoder.cache_clear()
+    width = packing.token_width(path)
+    assert not packing._encoder.cache_info().currsize
+    assert width == (2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4) == packing._Encoder(path, 1).kind.itemsize
+
+
 def test_packing_query(spark):
     """The registered query against the plain tokenizer: every piece's ids, and where they lie."""
     from tokenizers import Tokenizer
